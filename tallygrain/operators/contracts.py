@@ -92,14 +92,18 @@ def unexpected_values(frame: DataFrame, table: str, column: str, allowed: Sequen
     )
 
 
+def _member_rules(table: str, allowed: Mapping[tuple[str, str], Sequence[str]]) -> dict[str, Column]:
+    return {
+        f"{column} has an unexpected value": F.col(column).isNotNull() & ~F.col(column).isin(*members)
+        for (owner, column), members in allowed.items()
+        if owner == table
+    }
+
+
 def member_rules(tables: Tables, allowed: Mapping[tuple[str, str], Sequence[str]] = ALLOWED_VALUES) -> DataFrame:
     """V3: rows with a member outside its allowed set; nulls are not judged."""
-    frames = dict(tables.items())
-    by_table: dict[str, dict[str, Column]] = {}
-    for (table, column), members in allowed.items():
-        rule = F.col(column).isNotNull() & ~F.col(column).isin(*members)
-        by_table.setdefault(table, {})[f"{column} has an unexpected value"] = rule
-    return _union([_one_pass(frames[table], table, rules) for table, rules in by_table.items()])
+    rules = {name: _member_rules(name, allowed) for name, _ in tables.items()}
+    return _union([_one_pass(frame, name, rules[name]) for name, frame in tables.items() if rules[name]])
 
 
 def orphan_rule(child: DataFrame, column: str, parent: DataFrame, key: str, table: str, name: str) -> DataFrame:
@@ -119,34 +123,34 @@ def relation_rules(tables: Tables) -> DataFrame:
     )
 
 
+def _subscription_rules() -> dict[str, Column]:
+    active, ended = F.col("subscription_status") == "active", F.col("end_date").isNotNull()
+    return {
+        "end_date does not fit the status": F.coalesce(active, F.lit(False)) == ended,
+        "renewal_date is before start_date": F.col("renewal_date") < F.col("start_date"),
+        "end_date is before start_date": F.col("end_date") < F.col("start_date"),
+        "price or seats is not positive": (F.col("monthly_price") <= 0) | (F.col("seats") <= 0),
+    }
+
+
 def subscription_rules(subscriptions: DataFrame) -> DataFrame:
     """V5 and V9 on subscriptions."""
-    active, ended = F.col("subscription_status") == "active", F.col("end_date").isNotNull()
-    return _one_pass(
-        subscriptions,
-        "subscriptions",
-        {
-            "end_date does not fit the status": F.coalesce(active, F.lit(False)) == ended,
-            "renewal_date is before start_date": F.col("renewal_date") < F.col("start_date"),
-            "end_date is before start_date": F.col("end_date") < F.col("start_date"),
-            "price or seats is not positive": (F.col("monthly_price") <= 0) | (F.col("seats") <= 0),
-        },
-    )
+    return _one_pass(subscriptions, "subscriptions", _subscription_rules())
+
+
+def _ticket_rules() -> dict[str, Column]:
+    is_open, resolved = F.col("status") == "open", F.col("resolved_date").isNotNull()
+    return {
+        "resolved_date does not fit the status": F.coalesce(is_open, F.lit(False)) == resolved,
+        "resolved_date is before created_date": F.col("resolved_date") < F.col("created_date"),
+        "satisfaction_score is outside 1 to 5": ~F.col("satisfaction_score").between(1, 5),
+        "resolution_hours is not positive": F.col("resolution_hours") <= 0,
+    }
 
 
 def ticket_rules(tickets: DataFrame) -> DataFrame:
     """V6 and V9 on tickets."""
-    is_open, resolved = F.col("status") == "open", F.col("resolved_date").isNotNull()
-    return _one_pass(
-        tickets,
-        "support_tickets",
-        {
-            "resolved_date does not fit the status": F.coalesce(is_open, F.lit(False)) == resolved,
-            "resolved_date is before created_date": F.col("resolved_date") < F.col("created_date"),
-            "satisfaction_score is outside 1 to 5": ~F.col("satisfaction_score").between(1, 5),
-            "resolution_hours is not positive": F.col("resolution_hours") <= 0,
-        },
-    )
+    return _one_pass(tickets, "support_tickets", _ticket_rules())
 
 
 def status_rule(customers: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -194,50 +198,80 @@ def off_by_more(left: Column, right: Column, absolute: str, relative: str = "0")
     return F.abs(left - right) > allowed
 
 
+def _sales_rules(absolute: str = "0.02", relative: str = "0.00001") -> dict[str, Column]:
+    amounts = ("gross_revenue", "discount_amount", "net_revenue")
+    return {
+        "an amount is negative": any_true([F.col(c) < 0 for c in amounts]),
+        "net_revenue does not reconcile": off_by_more(
+            F.col("gross_revenue") - F.col("discount_amount"), F.col("net_revenue"), absolute, relative
+        ),
+    }
+
+
 def sales_rules(sales: DataFrame, *, absolute: str = "0.02", relative: str = "0.00001") -> DataFrame:
     """V9 and V10 on sales."""
-    amounts = ("gross_revenue", "discount_amount", "net_revenue")
-    return _one_pass(
-        sales,
-        "sales",
-        {
-            "an amount is negative": any_true([F.col(c) < 0 for c in amounts]),
-            "net_revenue does not reconcile": off_by_more(
-                F.col("gross_revenue") - F.col("discount_amount"), F.col("net_revenue"), absolute, relative
-            ),
-        },
-    )
+    return _one_pass(sales, "sales", _sales_rules(absolute, relative))
 
 
 def _components() -> Column:
     return reduce(lambda a, b: a + b, [F.col(c) for c in COST_COMPONENTS])
 
 
+def _cost_rules(absolute: str = "0.03", relative: str = "0.00001") -> dict[str, Column]:
+    return {"total_cost does not reconcile": off_by_more(_components(), F.col("total_cost"), absolute, relative)}
+
+
 def cost_rules(costs: DataFrame, *, absolute: str = "0.03", relative: str = "0.00001") -> DataFrame:
     """V10 on costs."""
-    return _one_pass(
-        costs,
-        "cloud_costs",
-        {"total_cost does not reconcile": off_by_more(_components(), F.col("total_cost"), absolute, relative)},
-    )
+    return _one_pass(costs, "cloud_costs", _cost_rules(absolute, relative))
+
+
+def row_rules(tables: Tables, allowed: Mapping[tuple[str, str], Sequence[str]] = ALLOWED_VALUES) -> DataFrame:
+    """V3, V5, V6, V9, V10 and the null counts of V11, with one pass over each table."""
+    own = {
+        "subscriptions": _subscription_rules(),
+        "sales": _sales_rules(),
+        "cloud_costs": _cost_rules(),
+        "support_tickets": _ticket_rules(),
+    }
+    parts = []
+    for name, frame in tables.items():
+        rules = {**_member_rules(name, allowed), **own.get(name, {})}
+        counted = frame.agg(
+            *[tally(broken).alias(rule) for rule, broken in rules.items()],
+            F.coalesce(F.sum(_null_cells(frame)), F.lit(0)).alias("missing values"),
+        )
+        parts.append(
+            counted.unpivot([], counted.columns, "rule", "violations").select(
+                F.lit(name).alias("table"),
+                "rule",
+                F.when(F.col("rule") == "missing values", WARNING).otherwise(ERROR).alias("severity"),
+                "violations",
+            )
+        )
+    return _union(parts)
+
+
+def _null_cells(frame: DataFrame) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in frame.columns])
 
 
 def missing_values(frame: DataFrame, table: str) -> DataFrame:
     """Null cells in a table."""
-    cells = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in frame.columns])
-    return _result(frame.agg(F.sum(cells).alias("n")), table, "missing values", WARNING, "n")
+    return _result(frame.agg(F.sum(_null_cells(frame)).alias("n")), table, "missing values", WARNING, "n")
+
+
+def duplicate_warning(tickets: DataFrame) -> DataFrame:
+    """Ticket rows that repeat an earlier business event."""
+    repeats = duplicate_events(tickets, "ticket_id")
+    return _result(repeats, "support_tickets", "duplicate business records", WARNING, "duplicates")
 
 
 def warnings(tables: Tables) -> DataFrame:
     """Repeated ticket events and null cells per table."""
-    repeats = _result(
-        duplicate_events(tables.support_tickets, "ticket_id"),
-        "support_tickets",
-        "duplicate business records",
-        WARNING,
-        "duplicates",
+    return _union(
+        [duplicate_warning(tables.support_tickets), *[missing_values(frame, name) for name, frame in tables.items()]]
     )
-    return _union([repeats, *[missing_values(frame, name) for name, frame in tables.items()]])
 
 
 def validate(
@@ -251,15 +285,11 @@ def validate(
     return _union(
         [
             *[key_rules(frames[name], name, key) for name, key in PRIMARY_KEYS.items()],
-            member_rules(tables, allowed),
+            row_rules(tables, allowed),
             relation_rules(tables),
-            subscription_rules(tables.subscriptions),
-            ticket_rules(tables.support_tickets),
             status_rule(tables.customers, tables.subscriptions),
             owner_rules(tables.sales, tables.subscriptions, tables.customers),
-            sales_rules(tables.sales),
-            cost_rules(tables.cloud_costs),
-            warnings(tables),
+            duplicate_warning(tables.support_tickets),
         ]
     )
 
