@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrain.functions.exprs import side_by_side
 from tallygrain.session import materialize
 
 
@@ -109,3 +110,40 @@ def average_ranks(counts: DataFrame, *, by: Sequence[str] = (), extra: Sequence[
     return ranked.select(
         *by, "value", "n", *extra, "n_total", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("average_rank")
     )
+
+
+def weighted_shape(
+    placed: DataFrame, quantiles: Mapping[str, float], *, by: Sequence[str] = (), few_groups: bool = False
+) -> DataFrame:
+    """Size, mean, extremes, quantiles, sample deviation and skewness from placed value counts.
+
+    Deviations are summed around the mean in a second step, which keeps their digits. The counts are
+    read from the cut lineage, so the facts are scanned once. ``few_groups`` states that the group
+    rows are bounded, for example one per column of a table, and may be broadcast.
+    """
+    shape = placed.groupBy(*by).agg(
+        F.sum("n").alias("count"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        *quantile_columns(quantiles),
+    )
+    if by:
+        means = shape.select(*by, "mean")
+        centred = placed.join(F.broadcast(means) if few_groups else means, list(by))
+    else:
+        centred = placed.withColumn("mean", shape.select("mean").scalar())
+    off = F.col("value") - F.col("mean")
+    spread = centred.groupBy(*by).agg(
+        F.sum("n").alias("_n"),
+        F.sum(F.col("n") * off * off).alias("_m2"),
+        F.sum(F.col("n") * off * off * off).alias("_m3"),
+    )
+    n, m2 = F.col("_n"), F.col("_m2")
+    population = F.col("_m3") / n / F.nullif(F.pow(m2 / n, F.lit(1.5)), F.lit(0.0))
+    measures = spread.select(
+        *by,
+        F.sqrt(m2 / F.nullif(n - 1, F.lit(0))).alias("std"),
+        F.when(n > 2, population * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))).alias("skewness"),
+    )
+    return shape.join(measures, list(by)) if by else side_by_side(shape, measures)

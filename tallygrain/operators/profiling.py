@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrain.functions.exprs import as_double, ratio
-from tallygrain.functions.ranking import average_ranks, quantile_columns, running_totals, value_counts
+from tallygrain.functions.ranking import (
+    average_ranks,
+    quantile_columns,
+    running_totals,
+    value_counts,
+    weighted_shape,
+)
 
 
 def numeric_columns(frame: DataFrame) -> list[str]:
@@ -61,24 +67,8 @@ def numerical_summary(frame: DataFrame, columns: Sequence[str] | None = None) ->
     """Count, mean, median, sample deviation, extremes and exact quartiles per numeric column."""
     columns = list(columns or numeric_columns(frame))
     placed = running_totals(value_counts(frame, columns), order=["value"], sums=["n"], by=["column"])
-    shape = placed.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        *quantile_columns({"p25": 0.25, "p50": 0.5, "p75": 0.75}),
-        F.max("value").alias("max"),
-    )
-    spread = (
-        placed.join(shape.select("column", "mean"), "column")
-        .groupBy("column")
-        .agg(
-            F.sqrt(
-                F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), F.lit(2.0)))
-                / F.nullif(F.sum("n") - 1, F.lit(0))
-            ).alias("std")
-        )
-    )
-    return shape.join(spread, "column").select(
+    shape = weighted_shape(placed, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["column"], few_groups=True)
+    return shape.select(
         "column", "count", "mean", F.col("p50").alias("median"), "std", "min", "p25", "p50", "p75", "max"
     )
 
@@ -121,7 +111,7 @@ def iqr_outliers(frame: DataFrame, columns: Sequence[str] | None = None, *, mult
     )
     beyond = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
     return (
-        placed.join(fences, "column")
+        placed.join(F.broadcast(fences), "column")
         .groupBy(*fences.columns)
         .agg(
             F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outlier_count"),

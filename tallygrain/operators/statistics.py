@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.functions.exprs import as_double, ratio, side_by_side, tally
-from tallygrain.functions.ranking import average_ranks, quantile_columns, running_totals
+from tallygrain.functions.exprs import as_double, ratio, tally
+from tallygrain.functions.ranking import average_ranks, running_totals, weighted_shape
 from tallygrain.functions.tails import (
     chi_square_p_value,
     normal_p_value,
@@ -47,29 +47,19 @@ def _check_level(value: float, name: str) -> None:
 # --- descriptives and intervals --------------------------------------------------------------
 
 
-def _moments(value: Column | str) -> dict[str, Column]:
-    v = as_double(value)
-    return {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "variance": F.var_samp(v), "_skew": F.skewness(v)}
-
-
 def descriptive_statistics(frame: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFrame:
     """Location, spread, exact quartiles and bias-corrected skewness; needs two values."""
-    m = _moments("value")
-    values = frame.select(*by, as_double(value).alias("value")).filter("value IS NOT NULL")
-    counts = values.groupBy(*by, "value").agg(F.count("*").alias("n"))
-    quartiles = (
-        running_totals(counts, order=["value"], sums=["n"], by=by)
-        .groupBy(*by)
-        .agg(*quantile_columns({"median": 0.5, "p25": 0.25, "p75": 0.75}))
-    )
-    shape = values.groupBy(*by).agg(
-        *[column.alias(name) for name, column in m.items()], F.min("value").alias("min"), F.max("value").alias("max")
+    counts = (
+        frame.select(*by, as_double(value).alias("value"))
+        .filter("value IS NOT NULL")
+        .groupBy(*by, "value")
+        .agg(F.count("*").alias("n"))
     )
-    n = F.col("n")
-    skewness = F.when(n > 2, F.col("_skew") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))
-    joined = shape.join(quartiles, list(by)) if by else side_by_side(shape, quartiles)
-    return joined.filter("n >= 2").select(
-        *by, "n", "mean", "median", "std", "min", "p25", "p75", "max", skewness.alias("skewness")
+    placed = running_totals(counts, order=["value"], sums=["n"], by=by)
+    return (
+        weighted_shape(placed, {"median": 0.5, "p25": 0.25, "p75": 0.75}, by=by)
+        .filter(F.col("count") >= 2)
+        .select(*by, F.col("count").alias("n"), "mean", "median", "std", "min", "p25", "p75", "max", "skewness")
     )
 
 

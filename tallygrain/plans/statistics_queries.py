@@ -11,7 +11,7 @@ from tallygrain.sources import roles
 
 STATISTICS = Registry()
 
-SHIFT = 288  # months from 2024-01 back to 2000-01
+SHIFT = 336  # months from 2024-01 back to 1996-01
 SUPPORT_ROLES = ["customers", "subscriptions", "sales", f"support_tickets-{SHIFT}"]
 
 SUPPORT_SQL = """
@@ -213,7 +213,7 @@ expected AS (SELECT o, sum(o) OVER (PARTITION BY plan_type) * sum(o) OVER (PARTI
   sum(o) OVER () AS n FROM cells)
 SELECT '{st.CHI_SQUARE}' AS test_used, CAST(max(n) AS BIGINT) AS n_observations, count(*) AS n_cells,
   count(*) FILTER (WHERE e < 5) AS n_cells_expected_below_five, round(sum((o - e) ** 2 / e), 8) AS statistic,
-  '{st.CRAMERS_V}' AS effect_size_name, round(sqrt(sum((o - e) ** 2 / e) / max(n)), 8) AS effect_size,
+  '{st.CRAMERS_V.replace("'", "''")}' AS effect_size_name, round(sqrt(sum((o - e) ** 2 / e) / max(n)), 8) AS effect_size,
   0.05::DOUBLE AS alpha, round(exp(-sum((o - e) ** 2 / e) / 2), 12) AS p_value FROM expected"""
 
 
