@@ -5,11 +5,12 @@ from __future__ import annotations
 from tallygrain.plans.base import Query
 from tallygrain.plans.contract_queries import CONTRACTS
 from tallygrain.plans.feature_queries import FEATURES
+from tallygrain.plans.forecast_queries import FORECAST
 from tallygrain.plans.kpi_queries import KPI
 from tallygrain.plans.profile_queries import PROFILE
 from tallygrain.plans.statistics_queries import STATISTICS
 
-FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES)
+FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST)
 
 
 def queries() -> dict[str, Query]:
