@@ -136,61 +136,51 @@ def simple_forecasts(monthly: DataFrame, config: ForecastConfig, *, by: Sequence
     )
 
 
-def _smoothing_states(config: ForecastConfig, first_origin: Column) -> Column:
+def _smoothing_states() -> Column:
     """Fold one parameter triple over a series; an array of solved states, one per origin.
 
     Level and trend are linear in their unknown start values, so each is carried as
-    constant + a * start level + b * start trend. The start values that minimise the squared
-    one-step errors then have a closed form from nine running sums, at every prefix of the series.
+    constant + a * start level + b * start trend (``l0 l1 l2`` and ``b0 b1 b2``). The start values
+    that minimise the squared one-step errors then have a closed form from nine running sums, at
+    every prefix of the series. ``f`` is the one-step forecast in the same three parts.
     """
-    alpha, beta, phi = F.col("alpha"), F.col("beta"), F.col("phi")
-    zero, one = F.lit(0.0), F.lit(1.0)
     sums = ("s11", "s12", "s22", "c1", "c2", "rr", "r", "f1", "f2")
-    start = F.struct(
-        *[v.alias(n) for n, v in zip(("l0", "l1", "l2"), (zero, one, zero))],
-        *[v.alias(n) for n, v in zip(("b0", "b1", "b2"), (zero, zero, one))],
-        *[zero.alias(n) for n in sums],
-        F.lit(0).alias("seen"),
-        F.array().cast("array<struct<origin:int,sse:double,level:double,trend:double,bias:double>>").alias("states"),
-    )
-
-    def solved(s: Column) -> Column:
-        det = F.nullif(s["s11"] * s["s22"] - s["s12"] * s["s12"], zero)
-        level0 = (s["c1"] * s["s22"] - s["c2"] * s["s12"]) / det
-        trend0 = (s["c2"] * s["s11"] - s["c1"] * s["s12"]) / det
-        return F.struct(
-            s["seen"].alias("origin"),
-            (s["rr"] - level0 * s["c1"] - trend0 * s["c2"]).alias("sse"),
-            (s["l0"] + s["l1"] * level0 + s["l2"] * trend0).alias("level"),
-            (s["b0"] + s["b1"] * level0 + s["b2"] * trend0).alias("trend"),
-            ((s["r"] - s["f1"] * level0 - s["f2"] * trend0) / s["seen"]).alias("bias"),
-        )
-
-    def step(s: Column, y: Column) -> Column:
-        f = [s[f"l{i}"] + phi * s[f"b{i}"] for i in range(3)]
-        rest = y - f[0]
-        level = [alpha * y + (1 - alpha) * f[0], (1 - alpha) * f[1], (1 - alpha) * f[2]]
-        trend = [beta * (level[i] - s[f"l{i}"]) + (1 - beta) * phi * s[f"b{i}"] for i in range(3)]
-        moved = F.struct(
-            *[level[i].alias(f"l{i}") for i in range(3)],
-            *[trend[i].alias(f"b{i}") for i in range(3)],
-            (s["s11"] + f[1] * f[1]).alias("s11"),
-            (s["s12"] + f[1] * f[2]).alias("s12"),
-            (s["s22"] + f[2] * f[2]).alias("s22"),
-            (s["c1"] + f[1] * rest).alias("c1"),
-            (s["c2"] + f[2] * rest).alias("c2"),
-            (s["rr"] + rest * rest).alias("rr"),
-            (s["r"] + rest).alias("r"),
-            (s["f1"] + f[1]).alias("f1"),
-            (s["f2"] + f[2]).alias("f2"),
-            (s["seen"] + 1).alias("seen"),
-        )
+    start = {**dict.fromkeys(("l0", "l1", "l2", "b0", "b1", "b2", *sums), "0D"), "l1": "1D", "b2": "1D"}
+    states_type = "array<struct<origin:int,sse:double,level:double,trend:double,bias:double>>"
+    f = [f"(s.l{i} + phi * s.b{i})" for i in range(3)]
+    rest = f"(y - {f[0]})"
+    level = [f"(alpha * y + (1 - alpha) * {f[0]})", f"((1 - alpha) * {f[1]})", f"((1 - alpha) * {f[2]})"]
+    det = "nullif(s.s11 * s.s22 - s.s12 * s.s12, 0D)"
+    level0 = f"((s.c1 * s.s22 - s.c2 * s.s12) / {det})"
+    trend0 = f"((s.c2 * s.s11 - s.c1 * s.s12) / {det})"
+    solved = f"""named_struct('origin', s.seen,
+        'sse', s.rr - {level0} * s.c1 - {trend0} * s.c2,
+        'level', s.l0 + s.l1 * {level0} + s.l2 * {trend0},
+        'trend', s.b0 + s.b1 * {level0} + s.b2 * {trend0},
+        'bias', (s.r - s.f1 * {level0} - s.f2 * {trend0}) / s.seen)"""
+    moved = {
+        **{f"l{i}": level[i] for i in range(3)},
+        **{f"b{i}": f"beta * ({level[i]} - s.l{i}) + (1 - beta) * phi * s.b{i}" for i in range(3)},
+        "s11": f"s.s11 + {f[1]} * {f[1]}",
+        "s12": f"s.s12 + {f[1]} * {f[2]}",
+        "s22": f"s.s22 + {f[2]} * {f[2]}",
+        "c1": f"s.c1 + {f[1]} * {rest}",
+        "c2": f"s.c2 + {f[2]} * {rest}",
+        "rr": f"s.rr + {rest} * {rest}",
+        "r": f"s.r + {rest}",
+        "f1": f"s.f1 + {f[1]}",
+        "f2": f"s.f2 + {f[2]}",
+        "seen": "s.seen + 1",
         # The solved state of a prefix is read before the next observation is folded in.
-        states = F.when(s["seen"] >= first_origin, F.concat(s["states"], F.array(solved(s)))).otherwise(s["states"])
-        return F.struct(*[moved[n].alias(n) for n in ("l0", "l1", "l2", "b0", "b1", "b2", *sums, "seen")], states.alias("states"))
+        "states": f"CASE WHEN s.seen >= _first THEN concat(s.states, array({solved})) ELSE s.states END",
+    }
+
+    def struct(fields: dict[str, str]) -> str:
+        return "named_struct(" + ", ".join(f"'{name}', {text}" for name, text in fields.items()) + ")"
 
-    return F.aggregate(
-        F.col("_values"), start, step, lambda s: F.concat(s["states"], F.array(solved(s)))
+    initial = struct({**start, "seen": "0", "states": f"CAST(array() AS {states_type})"})
+    return F.expr(
+        f"aggregate(_values, {initial}, (s, y) -> {struct(moved)}, s -> concat(s.states, array({solved})))"
     )
 
 
@@ -200,21 +190,21 @@ def smoothing_states(monthly: DataFrame, config: ForecastConfig, *, by: Sequence
     Parameters come from a fixed grid by least squared one-step error; start values are solved for
     exactly. One fold per series and parameter triple serves all origins.
     """
-    grid = F.array(
-        *[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(p).alias("phi")) for a, b, p in config.grid()]
+    grid = ", ".join(
+        f"named_struct('alpha', {a!r}D, 'beta', {b!r}D, 'phi', {p!r}D)" for a, b, p in config.grid()
     )
     series = monthly.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("month", "value"))).alias("_points"))
     candidates = series.select(
         *by,
         F.col("_points.value").alias("_values"),
-        F.size("_points").alias("_months"),
-        F.inline(grid),
+        F.greatest(F.size("_points") - config.backtest_months, F.lit(3)).alias("_first"),
+        F.expr(f"inline(array({grid}))"),
     )
     # Spread the folds: there may be few series and many parameter triples.
     spread = candidates.repartition(*by, "alpha", "beta")
-    first = F.greatest(F.col("_months") - config.backtest_months, F.lit(3))
     return (
-        spread.select(*by, "alpha", "beta", "phi", F.inline(_smoothing_states(config, first)))
+        spread.select(*by, "alpha", "beta", "phi", _smoothing_states().alias("_states"))
+        .select(*by, "alpha", "beta", "phi", F.inline("_states"))
         .filter("sse IS NOT NULL")
         .groupBy(*by, "origin")
         .agg(F.min(F.struct("sse", "alpha", "beta", "phi", "level", "trend", "bias")).alias("_best"))

@@ -25,6 +25,7 @@ from tallygrain.functions.tails import (
 from tallygrain.operators.kpis import at_risk, cancelled_within, plan_contingency, ticket_averages, ticket_parts
 from tallygrain.operators.scope import Scope
 from tallygrain.schemas import Tables
+from tallygrain.session import materialize
 
 # The decision texts and the names of tests and effects.
 REJECT = "Reject the null hypothesis"
@@ -395,8 +396,8 @@ def exposure_churn_interval(
 
 
 def business_tests(tables: Tables, *, alpha: float = 0.05) -> DataFrame:
-    """The five tests on support and cancellation, one row each."""
-    support = support_before_outcome(tables)
+    """The five tests on support and cancellation, one row each. The customer frame is built once."""
+    support = materialize(support_before_outcome(tables))
     hours, score = "average_resolution_hours", "average_satisfaction"
     tests = {
         "support_resolution_welch": welch_t_test(support, hours, "churned", 1, 0, alpha=alpha),
@@ -416,7 +417,7 @@ def business_tests(tables: Tables, *, alpha: float = 0.05) -> DataFrame:
 
 def business_descriptives(tables: Tables) -> DataFrame:
     """Descriptives and mean interval of resolution time for churned and retained customers."""
-    support = support_before_outcome(tables)
+    support = materialize(support_before_outcome(tables))
     described = descriptive_statistics(support, "average_resolution_hours", by=["churned"])
     interval = mean_interval(support, "average_resolution_hours", by=["churned"]).select(
         "churned", "confidence", "lower", "upper", "standard_error"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallygrain.plans.anomaly_queries import ANOMALY
 from tallygrain.plans.base import Query
 from tallygrain.plans.contract_queries import CONTRACTS
 from tallygrain.plans.feature_queries import FEATURES
@@ -10,7 +11,7 @@ from tallygrain.plans.kpi_queries import KPI
 from tallygrain.plans.profile_queries import PROFILE
 from tallygrain.plans.statistics_queries import STATISTICS
 
-FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST)
+FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST, ANOMALY)
 
 
 def queries() -> dict[str, Query]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallygrain.operators import forecast as fc
 from tallygrain.operators.forecast import ForecastConfig
 from tallygrain.plans.base import Registry, rounded
+from tallygrain.session import materialize
 from tallygrain.sources import roles
 
 FORECAST = Registry()
@@ -20,11 +21,16 @@ MONTHLY_BY_REGION = """SELECT region, CAST(date_trunc('month', sale_date) AS DAT
 
 
 def _total(spark, folder):
-    return fc.monthly_series(roles.sales(spark, folder))
+    """The months of the whole company. Every later step reads these few rows, not the facts again."""
+    return materialize(fc.monthly_series(roles.sales(spark, folder)))
 
 
 def _by_region(spark, folder):
-    return fc.monthly_series(roles.sales(spark, folder), by=["region"])
+    return materialize(fc.monthly_series(roles.sales(spark, folder), by=["region"]))
+
+
+def _tested_by_region(monthly):
+    return materialize(fc.backtest(monthly, CONFIG, by=["region"]))
 
 
 def _values(name: str, values) -> str:
@@ -101,12 +107,12 @@ def smoothing_sql(by: str = "") -> str:
 
 @FORECAST.add("monthly_net_revenue", MONTHLY, SALES)
 def monthly_net_revenue(spark, folder):
-    return _total(spark, folder)
+    return fc.monthly_series(roles.sales(spark, folder))
 
 
 @FORECAST.add("monthly_net_revenue_by_region", MONTHLY_BY_REGION, SALES)
 def monthly_net_revenue_by_region(spark, folder):
-    return _by_region(spark, folder)
+    return fc.monthly_series(roles.sales(spark, folder), by=["region"])
 
 
 # Series per part brand and type have months without sales.
@@ -204,13 +210,13 @@ def backtest_by_region(spark, folder):
     SALES,
 )
 def forecast_metrics(spark, folder):
-    rows = fc.backtest(_by_region(spark, folder), CONFIG, by=["region"])
+    rows = _tested_by_region(_by_region(spark, folder))
     return rounded(rounded(fc.forecast_metrics(rows, by=["region", "phase", "method"]), 2, "mae", "rmse"), 8, "wape")
 
 
 @FORECAST.add("select_method", f"{smoothing_sql('region')} SELECT region, method FROM chosen", SALES)
 def select_method(spark, folder):
-    return fc.select_method(fc.backtest(_by_region(spark, folder), CONFIG, by=["region"]), by=["region"])
+    return fc.select_method(_tested_by_region(_by_region(spark, folder)), by=["region"])
 
 
 def future_sql(by: str) -> str:
@@ -246,7 +252,7 @@ def future_forecasts(spark, folder):
 )
 def selected_future(spark, folder):
     monthly = _by_region(spark, folder)
-    rows = fc.backtest(monthly, CONFIG, by=["region"])
+    rows = _tested_by_region(monthly)
     return rounded(fc.selected_future(monthly, rows, CONFIG, by=["region"]), 2, "forecast_net_revenue")
 
 
@@ -256,7 +262,7 @@ def selected_future(spark, folder):
     SALES,
 )
 def selected_test_rows(spark, folder):
-    rows = fc.backtest(_by_region(spark, folder), CONFIG, by=["region"])
+    rows = _tested_by_region(_by_region(spark, folder))
     return rounded(fc.selected_test_rows(rows, by=["region"]), 2, "forecast_net_revenue", "absolute_error")
 
 
@@ -287,7 +293,7 @@ GAIN_SQL = """SELECT s.region, s.method, s.mae, s.rmse, s.wape,
     SALES,
 )
 def gain_over_naive(spark, folder):
-    rows = fc.gain_over_naive(fc.backtest(_by_region(spark, folder), CONFIG, by=["region"]), by=["region"])
+    rows = fc.gain_over_naive(_tested_by_region(_by_region(spark, folder)), by=["region"])
     return rounded(rounded(rows, 2, "mae", "rmse"), 8, "wape", "test_wape_improvement_over_naive")
 
 
@@ -305,5 +311,5 @@ def gain_over_naive(spark, folder):
 )
 def forecast_evidence(spark, folder):
     monthly = _by_region(spark, folder)
-    rows = fc.backtest(monthly, CONFIG, by=["region"])
+    rows = _tested_by_region(monthly)
     return rounded(fc.forecast_evidence(monthly, rows, CONFIG, by=["region"]), 4, "value")
