@@ -281,12 +281,15 @@ INTERPRETATION = {
 
 
 def consensus(scored: DataFrame) -> DataFrame:
-    """A5: strong needs the outer fence and the forest, candidate the inner fence or the forest."""
-    forest = F.col("isolation_forest_anomaly")
-    return scored.withColumns(
+    """A5: strong needs the outer fence and the forest, candidate the inner fence or the forest.
+
+    A day the forest cannot score (no positive ratio) is judged by the fences alone.
+    """
+    forest = F.coalesce("isolation_forest_anomaly", F.lit(False))
+    return scored.withColumn("isolation_forest_anomaly", forest).withColumns(
         {
-            "strong_anomaly": F.col("strong_iqr_anomaly") & forest,
-            "candidate_anomaly": F.col("iqr_anomaly") | forest,
+            "strong_anomaly": F.col("strong_iqr_anomaly") & F.col("isolation_forest_anomaly"),
+            "candidate_anomaly": F.col("iqr_anomaly") | F.col("isolation_forest_anomaly"),
         }
     ).withColumn(
         "status",
@@ -324,11 +327,12 @@ def detect(costs: DataFrame, config: AnomalyConfig | None = None, *, by: Sequenc
     if check:
         require_daily(costs, config, by=by)
     scored = fenced(daily_costs(costs, by=by), config, by=by)
+    positive = F.when(F.col("relative_to_baseline") > 0, F.col("relative_to_baseline"))
     forest = isolation_scores(
-        scored.select(*by, "date", F.log("relative_to_baseline").alias("log_ratio")), "log_ratio", config, by=by
+        scored.select(*by, "date", F.log(positive).alias("log_ratio")), "log_ratio", config, by=by
     )
     return (
-        consensus(scored.join(forest, [*by, "date"]))
+        consensus(scored.join(forest, [*by, "date"], "left"))
         .withColumns({"metric": F.lit(config.metric), "interpretation": interpretation(config.metric)})
         .select(*by, *DETECTION_COLUMNS)
         .orderBy(*by, "date")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallygrain.plans.anomaly_queries import ANOMALY
 from tallygrain.plans.base import Query
+from tallygrain.plans.churn_queries import CHURN
 from tallygrain.plans.contract_queries import CONTRACTS
 from tallygrain.plans.feature_queries import FEATURES
 from tallygrain.plans.forecast_queries import FORECAST
@@ -11,7 +12,7 @@ from tallygrain.plans.kpi_queries import KPI
 from tallygrain.plans.profile_queries import PROFILE
 from tallygrain.plans.statistics_queries import STATISTICS
 
-FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST, ANOMALY)
+FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST, ANOMALY, CHURN)
 
 
 def queries() -> dict[str, Query]:
