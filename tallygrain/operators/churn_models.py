@@ -26,7 +26,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrain.functions.ranking import numbered
@@ -97,8 +97,9 @@ class TrainingConfig:
 
 def _parallel(jobs: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
     """Run independent Spark fits from a few driver threads; the cluster does the work."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
 
 
 # --- preprocessing and fitting ---------------------------------------------------------------
@@ -259,7 +260,7 @@ def tune(folded: DataFrame, name: str, config: TrainingConfig) -> tuple[dict[str
 # --- interpretation --------------------------------------------------------------------------
 
 
-def coefficients(model: ChurnModel, spark) -> DataFrame:
+def coefficients(model: ChurnModel, spark: SparkSession) -> DataFrame:
     """Logistic coefficients by absolute size; no rows for other models."""
     schema = "feature string, coefficient double"
     if model.name != "logistic_regression" or model.pipeline is None:

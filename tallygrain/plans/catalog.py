@@ -10,9 +10,10 @@ from tallygrain.plans.feature_queries import FEATURES
 from tallygrain.plans.forecast_queries import FORECAST
 from tallygrain.plans.kpi_queries import KPI
 from tallygrain.plans.profile_queries import PROFILE
+from tallygrain.plans.retrieval_queries import RETRIEVAL
 from tallygrain.plans.statistics_queries import STATISTICS
 
-FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST, ANOMALY, CHURN)
+FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST, ANOMALY, CHURN, RETRIEVAL)
 
 
 def queries() -> dict[str, Query]:
