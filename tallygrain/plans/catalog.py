@@ -11,9 +11,10 @@ from tallygrain.plans.forecast_queries import FORECAST
 from tallygrain.plans.kpi_queries import KPI
 from tallygrain.plans.profile_queries import PROFILE
 from tallygrain.plans.retrieval_queries import RETRIEVAL
+from tallygrain.plans.source_queries import SOURCE
 from tallygrain.plans.statistics_queries import STATISTICS
 
-FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST, ANOMALY, CHURN, RETRIEVAL)
+FAMILIES = (KPI, CONTRACTS, PROFILE, STATISTICS, FEATURES, FORECAST, ANOMALY, CHURN, RETRIEVAL, SOURCE)
 
 
 def queries() -> dict[str, Query]:
