@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tallygrain.functions.exprs import as_double, ratio, tally
 from tallygrain.operators.scope import iso_date
 from tallygrain.schemas import COST_COLUMNS, COST_COMPONENTS
+from tallygrain.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -326,7 +327,8 @@ def detect(costs: DataFrame, config: AnomalyConfig | None = None, *, by: Sequenc
     config = config or AnomalyConfig()
     if check:
         require_daily(costs, config, by=by)
-    scored = fenced(daily_costs(costs, by=by), config, by=by)
+    # Few rows, read three times from here on: the facts behind them are summed once.
+    scored = materialize(fenced(daily_costs(costs, by=by), config, by=by))
     positive = F.when(F.col("relative_to_baseline") > 0, F.col("relative_to_baseline"))
     forest = isolation_scores(
         scored.select(*by, "date", F.log(positive).alias("log_ratio")), "log_ratio", config, by=by

@@ -106,18 +106,32 @@ def member_rules(tables: Tables, allowed: Mapping[tuple[str, str], Sequence[str]
     return _union([_one_pass(frame, name, rules[name]) for name, frame in tables.items() if rules[name]])
 
 
-def orphan_rule(child: DataFrame, column: str, parent: DataFrame, key: str, table: str, name: str) -> DataFrame:
-    """V4: child rows whose reference has no parent; a null reference counts as one."""
-    per_key = child.groupBy(F.col(column).alias("_key")).agg(F.count("*").alias("n"))
+def orphan_rule(
+    child: DataFrame, column: str, parent: DataFrame, key: str, table: str, name: str, *, weight: str | None = None
+) -> DataFrame:
+    """V4: child rows whose reference has no parent; a null reference counts as one.
+
+    ``weight`` names the row count of a child that is grouped already.
+    """
+    rows = F.sum(weight) if weight else F.count("*")
+    per_key = child.groupBy(F.col(column).alias("_key")).agg(rows.alias("n"))
     orphans = per_key.join(parent.select(F.col(key).alias("_key")), "_key", "left_anti")
     return _result(orphans.agg(F.sum("n").alias("n")), table, f"{name} has no parent", ERROR, "n")
 
 
+def _sale_owners(sales: DataFrame) -> DataFrame:
+    """Distinct owners named on sales with their row count. Rules built on it share its shuffle."""
+    return sales.groupBy("subscription_id", "customer_id", "plan_type", "region").agg(F.count("*").alias("n"))
+
+
 def relation_rules(tables: Tables) -> DataFrame:
     frames = dict(tables.items())
+    children = {**frames, "sales": _sale_owners(tables.sales)}
     return _union(
         [
-            orphan_rule(frames[child], column, frames[parent], key, child, name)
+            orphan_rule(
+                children[child], column, frames[parent], key, child, name, weight="n" if child == "sales" else None
+            )
             for name, (child, column, parent, key) in FOREIGN_KEYS.items()
         ]
     )
@@ -168,7 +182,7 @@ def status_rule(customers: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def owner_rules(sales: DataFrame, subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
     """V8: customer, plan and region on sales equal those of their owners."""
-    copies = sales.groupBy("subscription_id", "customer_id", "plan_type", "region").agg(F.count("*").alias("n"))
+    copies = _sale_owners(sales)
     owned = subscriptions.select(
         "subscription_id", F.col("customer_id").alias("_customer"), F.col("plan_type").alias("_plan")
     )

@@ -36,6 +36,7 @@ from tallygrain.operators.scope import (
     subscriptions_in_segment,
 )
 from tallygrain.schemas import COST_COLUMNS, Tables
+from tallygrain.session import materialize
 
 REVENUE_COLUMNS = ("gross_revenue", "discount_amount", "net_revenue")
 
@@ -440,19 +441,28 @@ def region_investigation(
 
 
 def business_metrics(tables: Tables) -> DataFrame:
-    """Thirteen whole-window metrics in one row."""
+    """Thirteen whole-window metrics in one row, with one pass over each table.
+
+    Renewals due depend on the last sale date. They are counted per renewal date first, a list
+    bounded by the days of the calendar, so the date need not be known before the scan.
+    """
     revenue = tables.sales.agg(
         total("gross_revenue").alias("total_revenue"),
         total("net_revenue").alias("net_revenue"),
         ratio(F.sum("net_revenue"), F.count_distinct("customer_id")).alias("average_revenue_per_customer"),
         ratio(F.sum("discount_amount"), F.sum("gross_revenue")).alias("average_discount_rate"),
+        F.max("sale_date").alias("_last_sale"),
     )
-    last_sale = tables.sales.agg(F.max("sale_date")).scalar()
-    due = F.col("renewal_date") <= last_sale
-    churn = tables.subscriptions.agg(
-        ratio(flag_sum(F.col("subscription_status") == "cancelled"), F.count("*")).alias("churn_rate"),
-        ratio(flag_sum(due & renewal_kept()), flag_sum(due)).alias("renewal_rate"),
-        tally(F.col("subscription_status") == "active").alias("active_subscriptions"),
+    by_renewal = tables.subscriptions.groupBy("renewal_date").agg(
+        F.count("*").alias("n"),
+        tally(F.col("subscription_status") == "cancelled").alias("cancelled"),
+        tally(F.col("subscription_status") == "active").alias("active"),
+        tally(renewal_kept()).alias("kept"),
+    )
+    churn = by_renewal.agg(
+        ratio(F.sum("cancelled"), F.sum("n")).alias("churn_rate"),
+        F.coalesce(F.sum("active"), F.lit(0)).alias("active_subscriptions"),
+        F.collect_list(F.struct("renewal_date", "n", "kept")).alias("_renewals"),
     )
     cost = tables.cloud_costs.agg(total_or_zero("total_cost").alias("infrastructure_cost"))
     support = tables.support_tickets.agg(
@@ -460,12 +470,19 @@ def business_metrics(tables: Tables) -> DataFrame:
         mean("satisfaction_score").alias("average_satisfaction_score"),
     )
     people = tables.customers.agg(F.count_distinct("customer_id").alias("customers"))
-    return side_by_side(revenue, churn, cost, support, people).withColumns(
+    row = side_by_side(revenue, churn, cost, support, people)
+    due = F.filter("_renewals", lambda r: r["renewal_date"] <= F.col("_last_sale"))
+
+    def summed(part: str) -> Column:
+        return F.aggregate(due, F.lit(0).cast("bigint"), lambda acc, r: acc + r[part])
+
+    return row.withColumns(
         {
+            "renewal_rate": ratio(summed("kept"), summed("n")),
             "cost_to_revenue_ratio": ratio("infrastructure_cost", "net_revenue"),
             "estimated_gross_contribution": F.col("net_revenue") - F.col("infrastructure_cost"),
         }
-    )
+    ).drop("_last_sale", "_renewals")
 
 
 def customer_behavior(sales: DataFrame, subscriptions: DataFrame, tickets: DataFrame) -> DataFrame:
@@ -511,10 +528,12 @@ def filtered_view(
     plans: Sequence[str] = (),
     *,
     check: bool = True,
+    cut: bool = False,
 ) -> dict[str, DataFrame]:
     """Every trend and headline for one selection.
 
-    Segment tables take sales in the dates, and subscriptions by region and plan only.
+    Segment tables take sales in the dates, and subscriptions by region and plan only. ``cut`` builds
+    the monthly trends at once, for callers that read them more than once.
     """
     first, last = iso_date(start), iso_date(end)
     if first > last:
@@ -530,6 +549,9 @@ def filtered_view(
     churn = monthly_churn_trend(subscriptions).filter(
         F.col("month").between(F.lit(first.replace(day=1)), F.lit(last.replace(day=1)))
     )
+    monthly = monthly_costs(costs)
+    if cut:
+        revenue, churn, monthly = (materialize(frame) for frame in (revenue, churn, monthly))
     headline = side_by_side(
         sales.agg(
             total("net_revenue").alias("net_revenue"), F.count_distinct("customer_id").alias("revenue_customers")
@@ -546,7 +568,7 @@ def filtered_view(
     return {
         "revenue": revenue,
         "churn": churn,
-        "costs": monthly_costs(costs),
+        "costs": monthly,
         "region_metrics": dimension_metrics(sales, subscriptions, tables.customers, "region"),
         "plan_metrics": dimension_metrics(sales, subscriptions, tables.customers, "plan_type"),
         "headline": headline,
@@ -617,7 +639,7 @@ def metric_rows(
     unknown = set(metrics) - set(UNITS)
     if unknown or not metrics:
         raise ValueError(f"Unknown metrics: {sorted(unknown)}" if unknown else "No metric was asked for")
-    view = filtered_view(tables, start, end, regions, plans, check=False)
+    view = filtered_view(tables, start, end, regions, plans, check=False, cut=True)
     row = side_by_side(
         view["headline"].withColumnsRenamed(
             {

@@ -350,16 +350,14 @@ def support_before_outcome(tables: Tables) -> DataFrame:
     daily = tables.support_tickets.groupBy("customer_id", "created_date").agg(
         *[part.alias(name) for name, part in ticket_parts().items()]
     )
-    known = (
-        daily.join(outcome.select("customer_id", "outcome_date"), "customer_id")
-        .filter(F.col("created_date") <= F.col("outcome_date"))
-        .groupBy("customer_id")
-        .agg(
-            F.sum("ticket_count").alias("ticket_count"),
-            *[average.alias(name) for name, average in ticket_averages().items()],
-        )
+    known = F.col("created_date") <= F.col("outcome_date")
+    counted = outcome.join(daily, "customer_id", "left").select(
+        *outcome.columns, *[F.when(known, F.col(name)).alias(name) for name in ticket_parts()]
+    )
+    return counted.groupBy(*outcome.columns).agg(
+        F.coalesce(F.sum("ticket_count"), F.lit(0)).alias("ticket_count"),
+        *[average.alias(name) for name, average in ticket_averages().items()],
     )
-    return outcome.join(known, "customer_id", "left").na.fill(0, ["ticket_count"])
 
 
 def exposure_churn_interval(
