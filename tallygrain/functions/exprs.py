@@ -58,6 +58,13 @@ def month_of(value: Column | str) -> Column:
     return F.trunc(col(value), "month")
 
 
+def correlation(first: Column | str, second: Column | str) -> Column:
+    """Pearson correlation over complete pairs; null where one side does not vary (``corr`` fails there)."""
+    x, y = as_double(first), as_double(second)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def all_true(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

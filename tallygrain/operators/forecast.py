@@ -13,7 +13,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrain.functions.exprs import month_of, ratio, total
+from tallygrain.functions.exprs import correlation, month_of, ratio, total
 
 METHODS = ("naive", "moving_average", "exponential_smoothing")
 
@@ -358,7 +358,7 @@ def series_facts(monthly: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
             F.min("month").alias("start_month"),
             F.max("month").alias("end_month"),
             growth.alias("overall_growth"),
-            F.nanvl(F.corr("value", "_year_ago"), F.lit(None)).alias("lag_12_correlation"),
+            correlation("value", "_year_ago").alias("lag_12_correlation"),
         )
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrain.functions.exprs import as_double, ratio
+from tallygrain.functions.exprs import as_double, correlation, ratio
 from tallygrain.functions.ranking import (
     average_ranks,
     quantile_columns,
@@ -127,14 +127,14 @@ def pearson_pairs(frame: DataFrame, columns: Sequence[str] | None = None) -> Dat
     columns = list(columns or numeric_columns(frame))
     pairs = list(combinations(columns, 2))
     values = frame.select(*[as_double(c).alias(c) for c in columns])
-    row = values.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    row = values.agg(*[correlation(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"_{i}").alias("correlation"))
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    return row.select(F.inline(rows)).withColumn("correlation", F.nanvl("correlation", F.lit(None)))
+    return row.select(F.inline(rows))
 
 
 def spearman_pairs(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.functions.exprs import as_double, ratio, tally
+from tallygrain.functions.exprs import as_double, correlation, ratio, tally
 from tallygrain.functions.ranking import average_ranks, running_totals, weighted_shape
 from tallygrain.functions.tails import (
     chi_square_p_value,
@@ -271,7 +271,7 @@ def correlation_test(
         raise ValueError("method must be 'pearson' or 'spearman'")
     pairs = frame.select(as_double(first).alias("x"), as_double(second).alias("y")).na.drop()
     if method == "pearson":
-        row = pairs.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+        row = pairs.agg(F.count("*").alias("n"), correlation("x", "y").alias("r"))
     else:
         joint = pairs.groupBy("x", "y").agg(F.count("*").alias("n"))
         sides = joint.select(
@@ -303,7 +303,7 @@ def correlation_test(
         )
     r = F.col("r")
     t = r * F.sqrt((F.col("n") - 2) / F.nullif(1 - r * r, F.lit(0.0)))
-    ready = row.filter("n >= 3 AND r IS NOT NULL AND NOT isnan(r)").withColumns(
+    ready = row.filter("n >= 3 AND r IS NOT NULL").withColumns(
         {"_t": F.coalesce(t, F.lit(float("inf"))), "_df": (F.col("n") - 2).cast("double")}
     )
     return _report(

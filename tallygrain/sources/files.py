@@ -121,9 +121,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """IO9: one row per Markdown file with its whole text; the id is the file name without suffix."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.{md,markdown}")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.{md,markdown}")
+        .text(path, wholetext=True)
         .select(
             F.regexp_replace(name, r"\.[^.]+$", "").alias("document_id"),
             name.alias("source_path"),
