@@ -8,63 +8,95 @@ range partitioning, and summed in two steps: inside a partition and over the par
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrain.functions.exprs import side_by_side
+from tallygrain.functions.exprs import any_true, side_by_side
 from tallygrain.session import materialize
 
 
-def running_totals(
+@dataclass(frozen=True)
+class Placed:
+    """Rows spread in order over slices, and what each slice adds up to.
+
+    ``slices`` has one row per group and slice: the sum before it ``_<s>_offset``, its own sum
+    ``_<s>_slice`` and the group's ``<s>_total``.
+    """
+
+    rows: DataFrame
+    slices: DataFrame
+    by: tuple[str, ...]
+    direction: tuple[Column, ...]
+    sums: tuple[str, ...]
+
+
+def place(
     rows: DataFrame,
     *,
     order: Sequence[str],
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-) -> DataFrame:
-    """Add ``<s>_before`` (sum over earlier rows) and ``<s>_total`` (sum over the group).
+) -> Placed:
+    """Range-partition rows and sum every slice.
 
     ``rows`` must be unique on ``by + order`` and hold no null in ``by``. A hot group is spread
     over many range partitions. The partition number is stored as data before it is used, since a
     second evaluation of the range bounds could cut elsewhere.
     """
-    direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    direction = tuple(F.col(c).desc() if descending else F.col(c).asc() for c in order)
     keys = [F.col(c) for c in by]
     placed = materialize(
         rows.repartitionByRange(*keys, *direction).withColumn("_slice", F.spark_partition_id())
     )
     whole = Window.partitionBy(*keys)
-    earlier_slices = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    own = {s: F.col(f"_{s}_slice") for s in sums}
     slices = (
         placed.groupBy(*keys, "_slice")
         .agg(*[F.sum(s).alias(f"_{s}_slice") for s in sums])
         .select(
             *by,
             "_slice",
-            *[
-                F.coalesce(F.sum(f"_{s}_slice").over(earlier_slices), F.lit(0)).alias(f"_{s}_offset")
-                for s in sums
-            ],
-            *[F.sum(f"_{s}_slice").over(whole).alias(f"{s}_total") for s in sums],
+            *own.values(),
+            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{s}_offset") for s, c in own.items()],
+            *[F.sum(c).over(whole).alias(f"{s}_total") for s, c in own.items()],
         )
     )
-    earlier_rows = (
-        Window.partitionBy(*keys, "_slice").orderBy(*direction).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    return Placed(placed, slices, tuple(by), direction, tuple(sums))
+
+
+def accumulate(placed: Placed, slices: DataFrame | None = None) -> DataFrame:
+    """Add ``<s>_before`` and ``<s>_total`` to the rows of the given slices, of all by default."""
+    keys = [*placed.by, "_slice"]
+    earlier = Window.partitionBy(*keys).orderBy(*placed.direction).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.join(slices, [*by, "_slice"])
+        placed.rows.join(placed.slices if slices is None else slices, keys)
         .withColumns(
             {
-                f"{s}_before": F.col(f"_{s}_offset") + F.coalesce(F.sum(s).over(earlier_rows), F.lit(0))
-                for s in sums
+                f"{s}_before": F.col(f"_{s}_offset") + F.coalesce(F.sum(s).over(earlier), F.lit(0))
+                for s in placed.sums
             }
         )
-        .drop("_slice", *[f"_{s}_offset" for s in sums])
+        .drop("_slice", *[f"_{s}_{part}" for s in placed.sums for part in ("offset", "slice")])
     )
 
 
+def running_totals(
+    rows: DataFrame,
+    *,
+    order: Sequence[str],
+    sums: Sequence[str],
+    by: Sequence[str] = (),
+    descending: bool = False,
+) -> DataFrame:
+    """Add ``<s>_before`` (sum over earlier rows) and ``<s>_total`` (sum over the group)."""
+    return accumulate(place(rows, order=order, sums=sums, by=by, descending=descending))
+
+
 def numbered(
     rows: DataFrame, *, order: Sequence[str], by: Sequence[str] = (), name: str = "position"
 ) -> DataFrame:
@@ -85,20 +117,37 @@ def value_counts(frame: DataFrame, columns: Sequence[str], *, keys: Sequence[str
     return long.filter("value IS NOT NULL").groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
 
 
-def quantile_columns(probabilities: Mapping[str, float]) -> list[Column]:
-    """Aggregates over ``running_totals(value counts)`` giving linear-interpolated quantiles."""
+def place_counts(counts: DataFrame, *, by: Sequence[str] = ()) -> Placed:
+    """Place value counts by value."""
+    return place(counts, order=["value"], sums=["n"], by=by)
+
+
+def quantiles(placed: Placed, probabilities: Mapping[str, float], *, few_groups: bool = False) -> DataFrame:
+    """Linear-interpolated quantiles of placed value counts, one row per group.
+
+    The slice sums tell which slices hold the wanted places, so only those are sorted: at most two
+    per group and probability, whatever the number of values.
+    """
+    total = F.col("n_total") - 1
+
+    def ends(p: float) -> tuple[Column, Column, Column]:
+        at = total * F.lit(float(p))
+        return F.floor(at), F.ceil(at), at - F.floor(at)
+
+    first, after = F.col("_n_offset"), F.col("_n_offset") + F.col("_n_slice")
+    wanted = [(first <= i) & (i < after) for p in probabilities.values() for i in ends(p)[:2]]
+    slices = placed.slices.filter(any_true(wanted))
+    near = accumulate(placed, F.broadcast(slices) if few_groups or not placed.by else slices)
 
-    def at(index: Column) -> Column:
+    def value_at(index: Column) -> Column:
         inside = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
         return F.max(F.when(inside, F.col("value")))
 
     columns = []
     for name, p in probabilities.items():
-        place = (F.col("n_total") - 1) * F.lit(float(p))
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        weight = F.max(place - F.floor(place))
-        columns.append((low + (high - low) * weight).alias(name))
-    return columns
+        low, high, weight = ends(p)
+        columns.append((value_at(low) + (value_at(high) - value_at(low)) * F.max(weight)).alias(name))
+    return near.groupBy(*placed.by).agg(*columns)
 
 
 def average_ranks(counts: DataFrame, *, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
@@ -113,7 +162,7 @@ def average_ranks(counts: DataFrame, *, by: Sequence[str] = (), extra: Sequence[
 
 
 def weighted_shape(
-    placed: DataFrame, quantiles: Mapping[str, float], *, by: Sequence[str] = (), few_groups: bool = False
+    placed: Placed, probabilities: Mapping[str, float], *, few_groups: bool = False
 ) -> DataFrame:
     """Size, mean, extremes, quantiles, sample deviation and skewness from placed value counts.
 
@@ -121,18 +170,18 @@ def weighted_shape(
     read from the cut lineage, so the facts are scanned once. ``few_groups`` states that the group
     rows are bounded, for example one per column of a table, and may be broadcast.
     """
-    shape = placed.groupBy(*by).agg(
+    by = list(placed.by)
+    shape = placed.rows.groupBy(*by).agg(
         F.sum("n").alias("count"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        *quantile_columns(quantiles),
     )
     if by:
         means = shape.select(*by, "mean")
-        centred = placed.join(F.broadcast(means) if few_groups else means, list(by))
+        centred = placed.rows.join(F.broadcast(means) if few_groups else means, by)
     else:
-        centred = placed.withColumn("mean", shape.select("mean").scalar())
+        centred = placed.rows.withColumn("mean", shape.select("mean").scalar())
     off = F.col("value") - F.col("mean")
     spread = centred.groupBy(*by).agg(
         F.sum("n").alias("_n"),
@@ -146,4 +195,5 @@ def weighted_shape(
         F.sqrt(m2 / F.nullif(n - 1, F.lit(0))).alias("std"),
         F.when(n > 2, population * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))).alias("skewness"),
     )
-    return shape.join(measures, list(by)) if by else side_by_side(shape, measures)
+    parts = (shape, quantiles(placed, probabilities, few_groups=few_groups), measures)
+    return reduce(lambda a, b: a.join(b, by), parts) if by else side_by_side(*parts)

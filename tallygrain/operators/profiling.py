@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from tallygrain.functions.exprs import as_double, correlation, ratio
 from tallygrain.functions.ranking import (
     average_ranks,
-    quantile_columns,
-    running_totals,
+    place_counts,
+    quantiles,
     value_counts,
     weighted_shape,
 )
@@ -66,8 +66,8 @@ def missing_values(frame: DataFrame) -> DataFrame:
 def numerical_summary(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, median, sample deviation, extremes and exact quartiles per numeric column."""
     columns = list(columns or numeric_columns(frame))
-    placed = running_totals(value_counts(frame, columns), order=["value"], sums=["n"], by=["column"])
-    shape = weighted_shape(placed, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["column"], few_groups=True)
+    placed = place_counts(value_counts(frame, columns), by=["column"])
+    shape = weighted_shape(placed, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, few_groups=True)
     return shape.select(
         "column", "count", "mean", F.col("p50").alias("median"), "std", "min", "p25", "p50", "p75", "max"
     )
@@ -99,9 +99,9 @@ def iqr_outliers(frame: DataFrame, columns: Sequence[str] | None = None, *, mult
     if multiplier <= 0:
         raise ValueError("multiplier must be positive")
     columns = list(columns or numeric_columns(frame))
-    placed = running_totals(value_counts(frame, columns), order=["value"], sums=["n"], by=["column"])
+    placed = place_counts(value_counts(frame, columns), by=["column"])
     iqr = F.col("q3") - F.col("q1")
-    fences = placed.groupBy("column").agg(*quantile_columns({"q1": 0.25, "q3": 0.75})).select(
+    fences = quantiles(placed, {"q1": 0.25, "q3": 0.75}, few_groups=True).select(
         "column",
         "q1",
         "q3",
@@ -111,7 +111,7 @@ def iqr_outliers(frame: DataFrame, columns: Sequence[str] | None = None, *, mult
     )
     beyond = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
     return (
-        placed.join(F.broadcast(fences), "column")
+        placed.rows.join(F.broadcast(fences), "column")
         .groupBy(*fences.columns)
         .agg(
             F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outlier_count"),

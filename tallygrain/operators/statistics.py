@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.functions.exprs import as_double, correlation, ratio, tally
-from tallygrain.functions.ranking import average_ranks, running_totals, weighted_shape
+from tallygrain.functions.ranking import average_ranks, place_counts, weighted_shape
 from tallygrain.functions.tails import (
     chi_square_p_value,
     normal_p_value,
@@ -56,9 +56,8 @@ def descriptive_statistics(frame: DataFrame, value: str, *, by: Sequence[str] =
         .groupBy(*by, "value")
         .agg(F.count("*").alias("n"))
     )
-    placed = running_totals(counts, order=["value"], sums=["n"], by=by)
     return (
-        weighted_shape(placed, {"median": 0.5, "p25": 0.25, "p75": 0.75}, by=by)
+        weighted_shape(place_counts(counts, by=by), {"median": 0.5, "p25": 0.25, "p75": 0.75})
         .filter(F.col("count") >= 2)
         .select(*by, F.col("count").alias("n"), "mean", "median", "std", "min", "p25", "p75", "max", "skewness")
     )

@@ -155,7 +155,11 @@ def event_costs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shipping_costs(spark: SparkSession, folder: str) -> DataFrame:
-    """One cost row per day and supplier region, from the tax on line items."""
+    """One cost row per day and supplier region, from the tax on line items.
+
+    Suppliers are unique on their key, so a hot supplier repeats on the line-item side only, which a
+    skew join can split. Rows of one day and region are summed before the shuffle.
+    """
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     places = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
     sites = (
@@ -172,18 +176,14 @@ def shipping_costs(spark: SparkSession, folder: str) -> DataFrame:
         "gpu_cost": flag == "R",
     }
     zero = F.lit(Decimal(0))
-    by_supplier = (
+    return (
         table(spark, folder, "lineitem")
-        .groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date"))
+        .join(sites, "l_suppkey")
+        .groupBy(F.col("l_shipdate").cast("date").alias("date"), "region")
         .agg(
             *[F.coalesce(F.sum(F.when(rule, tax)), zero).alias(name) for name, rule in parts.items()],
             F.sum(tax).alias("total_cost"),
         )
-    )
-    return (
-        by_supplier.join(sites, "l_suppkey")
-        .groupBy("date", "region")
-        .agg(*[F.sum(c).cast("decimal(28,4)").alias(c) for c in (*parts, "total_cost")])
         .select(
             F.concat_ws("-", F.date_format("date", "yyyy-MM-dd"), "region").alias("cost_id"),
             "date",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallygrain.functions.ranking import (
     average_ranks,
     numbered,
-    quantile_columns,
+    place_counts,
+    quantiles,
     running_totals,
     value_counts,
     weighted_shape,
@@ -50,8 +51,7 @@ def test_numbered_gives_every_group_dense_positions(spark, skewed):
 @pytest.mark.parametrize("p", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0])
 def test_quantiles_match_linear_interpolation(spark, skewed, p):
     counts = value_counts(spark.createDataFrame(skewed), ["v"])
-    placed = running_totals(counts, order=["value"], sums=["n"], by=["column"])
-    got = placed.groupBy("column").agg(*quantile_columns({"q": p})).first().q
+    got = quantiles(place_counts(counts, by=["column"]), {"q": p}).first().q
     assert got == pytest.approx(float(np.quantile(skewed["v"], p)), abs=1e-9)
 
 
@@ -65,8 +65,7 @@ def test_average_ranks_match_pandas(spark, skewed):
 
 def test_weighted_shape_matches_pandas(spark, skewed):
     counts = spark.createDataFrame(skewed).groupBy("g", F.col("v").alias("value")).agg(F.count("*").alias("n"))
-    placed = running_totals(counts, order=["value"], sums=["n"], by=["g"])
-    got = weighted_shape(placed, {"median": 0.5}, by=["g"]).toPandas().set_index("g")
+    got = weighted_shape(place_counts(counts, by=["g"]), {"median": 0.5}).toPandas().set_index("g")
     for g, part in skewed.groupby("g"):
         assert got.loc[g, "count"] == len(part)
         assert got.loc[g, "std"] == pytest.approx(part["v"].std())
