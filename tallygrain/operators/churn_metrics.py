@@ -45,6 +45,20 @@ def stratified_folds(frame: DataFrame, key: str, label: str, *, folds: int = 5,
     )
 
 
+def cohort_summary(split: DataFrame, label: str) -> DataFrame:
+    """Rows, positives and rate of the whole cohort and of its training and test part."""
+    part = F.when(F.col("is_test"), "test").otherwise("training")
+    counted = split.groupBy(part.alias("part")).agg(
+        F.count("*").alias("customers"), F.sum(label).alias("churners")
+    )
+    whole = counted.agg(F.sum("customers").alias("customers"), F.sum("churners").alias("churners"))
+    return (
+        whole.select(F.lit("cohort").alias("part"), "customers", "churners")
+        .unionByName(counted)
+        .withColumn("churn_rate", ratio("churners", "customers"))
+    )
+
+
 # --- metrics ---------------------------------------------------------------------------------
 
 

@@ -62,6 +62,7 @@ SEARCH_SPACES: dict[str, dict[str, Sequence[Any]]] = {
     },
 }
 
+# Parameters of the untuned candidates.
 BASE_PARAMETERS: dict[str, dict[str, Any]] = {
     "logistic_regression": {"C": 1.0},
     "random_forest": {"numTrees": 300, "minInstancesPerNode": 5, "maxDepth": 12, "featureSubsetStrategy": "sqrt"},

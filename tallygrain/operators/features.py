@@ -13,6 +13,7 @@ from tallygrain.functions.exprs import mean, ratio, tally, total
 from tallygrain.operators.scope import iso_date
 from tallygrain.schemas import PLANS, Tables
 
+# Names of the features and of the label.
 CATEGORICAL_FEATURES = ("region", "industry", "company_size", "acquisition_channel", "primary_plan")
 NUMERIC_FEATURES = (
     "customer_tenure_days",

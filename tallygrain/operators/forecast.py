@@ -235,14 +235,26 @@ def rolling_origin(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[s
     return simple_forecasts(monthly, config, by=by).unionByName(smoothing_forecasts(monthly, config, by=by))
 
 
+def _phase(config: ForecastConfig) -> Column:
+    from_end = F.col("_months") - F.col("_index")
+    return F.when(from_end <= config.test_months, "test").when(from_end <= config.backtest_months, "validation")
+
+
+def phase_periods(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = ()) -> DataFrame:
+    """First and last month of the initial training, validation and test phase of each series."""
+    return (
+        _placed(monthly, by)
+        .groupBy(*by, F.coalesce(_phase(config), F.lit("initial_training")).alias("phase"))
+        .agg(F.min("month").alias("start_month"), F.max("month").alias("end_month"))
+    )
+
+
 def backtest(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = ()) -> DataFrame:
     """Validation and test rows of every method, for series long enough for both."""
-    from_end = F.col("_months") - F.col("_index")
-    phase = F.when(from_end <= config.test_months, "test").when(from_end <= config.backtest_months, "validation")
     return (
         rolling_origin(monthly, config, by=by)
         .filter(F.col("_months") >= config.required_months)
-        .withColumn("phase", phase)
+        .withColumn("phase", _phase(config))
         .filter("phase IS NOT NULL")
         .select(
             *by,

@@ -373,6 +373,7 @@ def by_net_revenue(segments: DataFrame, dimension: str) -> DataFrame:
 
 # --- period comparisons ----------------------------------------------------------------------
 
+# The metrics of a period comparison.
 COMPARED = ("gross_revenue", "discount_amount", "net_revenue", "gpu_cost", "total_cost", "estimated_gross_contribution")
 
 
@@ -520,6 +521,15 @@ def latest_rate(monthly: DataFrame) -> DataFrame:
     return monthly.filter("churn_rate IS NOT NULL").agg(F.max_by("churn_rate", "month").alias("latest_churn_rate"))
 
 
+def _require_members(frame: DataFrame, column: str, chosen: Sequence[str]) -> None:
+    """Raise for chosen members that do not occur; at most the chosen ones come back."""
+    if chosen:
+        present = frame.filter(F.col(column).isin(*chosen)).select(column).distinct().collect()
+        unknown = set(chosen) - {row[column] for row in present}
+        if unknown:
+            raise ValueError(f"Unknown {column}: {sorted(unknown)}")
+
+
 def filtered_view(
     tables: Tables,
     start: date | str,
@@ -538,6 +548,9 @@ def filtered_view(
     first, last = iso_date(start), iso_date(end)
     if first > last:
         raise ValueError("start must not be after end")
+    if check:
+        _require_members(tables.customers, "region", regions)
+        _require_members(tables.subscriptions, "plan_type", plans)
     sales = pick_sales(tables.sales, first, last, regions, plans)
     subscriptions = pick_subscriptions(tables.subscriptions, tables.customers, regions, plans)
     costs = pick_costs(tables.cloud_costs, first, last, regions)
@@ -609,6 +622,7 @@ def plan_contingency(subscriptions: DataFrame) -> DataFrame:
     )
 
 
+# Metric names and their units.
 UNITS = {
     "gross_revenue": "currency",
     "net_revenue": "currency",

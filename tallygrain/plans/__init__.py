@@ -1 +1 @@
-"""Registered queries with their reference SQL, grouped by operator family."""
+"""Registered queries with the SQL they are checked against, grouped by operator family."""

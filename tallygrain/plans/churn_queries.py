@@ -191,6 +191,19 @@ def stratified_split(spark, folder):
     return cm.stratified_split(snapshot(spark, folder).select(KEY, LABEL), KEY, LABEL)
 
 
+@CHURN.add(
+    "cohort_summary",
+    f"""WITH parts AS (SELECT churned_in_horizon AS y,
+      CASE WHEN place <= round(n * 0.2) THEN 'test' ELSE 'training' END AS part FROM ({DRAWN_SQL}))
+    SELECT part, count(*) AS customers, CAST(sum(y) AS BIGINT) AS churners, CAST(sum(y) AS DOUBLE) / count(*) AS churn_rate
+      FROM parts GROUP BY part
+    UNION ALL SELECT 'cohort', count(*), CAST(sum(y) AS BIGINT), CAST(sum(y) AS DOUBLE) / count(*) FROM parts""",
+    SNAPSHOT_ROLES,
+)
+def cohort_summary(spark, folder):
+    return cm.cohort_summary(cm.stratified_split(snapshot(spark, folder).select(KEY, LABEL), KEY, LABEL), LABEL)
+
+
 @CHURN.add(
     "stratified_folds",
     f"SELECT customer_id, churned_in_horizon, CAST((place - 1) % 5 AS INTEGER) AS fold FROM ({DRAWN_SQL})",

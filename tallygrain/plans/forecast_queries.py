@@ -279,6 +279,19 @@ def series_facts(spark, folder):
     return rounded(fc.series_facts(_by_region(spark, folder), by=["region"]), 9, "lag_12_correlation")
 
 
+@FORECAST.add(
+    "phase_periods",
+    f"""SELECT region, CASE WHEN left_months <= 6 THEN 'test' WHEN left_months <= 12 THEN 'validation'
+      ELSE 'initial_training' END AS phase, min(month) AS start_month, max(month) AS end_month
+    FROM (SELECT region, month, count(*) OVER (PARTITION BY region)
+        - row_number() OVER (PARTITION BY region ORDER BY month) + 1 AS left_months FROM ({MONTHLY_BY_REGION}))
+    GROUP BY ALL""",
+    SALES,
+)
+def phase_periods(spark, folder):
+    return fc.phase_periods(_by_region(spark, folder), CONFIG, by=["region"])
+
+
 GAIN_SQL = """SELECT s.region, s.method, s.mae, s.rmse, s.wape,
     (n.wape - s.wape) / nullif(n.wape, 0) AS test_wape_improvement_over_naive
   FROM scored s JOIN chosen USING (region, method) JOIN scored n ON n.region = s.region AND n.phase = 'test'

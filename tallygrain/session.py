@@ -25,14 +25,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", *, app: str = "tallygrain", memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = "*", *, app: str = "tallygrain", memory: str = "8g", shuffle_partitions: int = 8
+) -> SparkSession:
     """A single-JVM session for tests and the bench."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.compress", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )

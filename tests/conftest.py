@@ -10,7 +10,7 @@ from tallygrain.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, app="tallygrain-tests")
+    session = local_session(8, app="tallygrain-tests", shuffle_partitions=4)
     yield session
     session.stop()
 

@@ -150,6 +150,8 @@ def test_view_and_metric_rows(tables):
     assert head.net_revenue == 1289.0 and head.revenue_growth == pytest.approx(189 / 290 - 1)
     with pytest.raises(ValueError, match="no rows"):
         kpis.filtered_view(tables, "2030-01-01", "2030-12-31")
+    with pytest.raises(ValueError, match="Unknown region"):
+        kpis.filtered_view(tables, "2024-01-01", "2024-12-31", ["Mars"])
     rows = {r.metric: r.value for r in kpis.metric_rows(tables, "2024-01-01", "2024-12-31").collect()}
     assert rows["net_revenue"] == 1289.0 and rows["customer_count"] == 3.0 and set(rows) == set(kpis.UNITS)
     with pytest.raises(ValueError):
