@@ -145,7 +145,7 @@ def threshold_for_recall(
     if not 0 < minimum_recall <= 1:
         raise ValueError("minimum_recall must be in (0, 1]")
     counts = _score_counts(scored, score, label, by)
-    groups = counts.select(*by).distinct() if by else counts.limit(1)
+    groups = counts.select(*by).distinct() if by else scored.sparkSession.range(1)
     fixed = groups.select(
         *by, F.explode(F.array(F.lit(0.01), F.lit(0.99))).alias("score"), F.lit(0).cast("bigint").alias("n"),
         F.lit(0).cast("bigint").alias("positives"),

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tallygrain.functions.exprs import as_double, correlation, ratio
 from tallygrain.functions.ranking import (
+    Placed,
     average_ranks,
     place_counts,
     quantiles,
@@ -63,10 +64,16 @@ def missing_values(frame: DataFrame) -> DataFrame:
     )
 
 
-def numerical_summary(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def placed_values(frame: DataFrame, columns: Sequence[str] | None = None) -> Placed:
+    """Distinct values of the numeric columns with their counts, in order; P3 and P5 can share them."""
+    return place_counts(value_counts(frame, list(columns or numeric_columns(frame))), by=["column"])
+
+
+def numerical_summary(
+    frame: DataFrame, columns: Sequence[str] | None = None, *, placed: Placed | None = None
+) -> DataFrame:
     """Count, mean, median, sample deviation, extremes and exact quartiles per numeric column."""
-    columns = list(columns or numeric_columns(frame))
-    placed = place_counts(value_counts(frame, columns), by=["column"])
+    placed = placed or placed_values(frame, columns)
     shape = weighted_shape(placed, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, few_groups=True)
     return shape.select(
         "column", "count", "mean", F.col("p50").alias("median"), "std", "min", "p25", "p50", "p75", "max"
@@ -94,12 +101,17 @@ def categorical_summary(frame: DataFrame, columns: Sequence[str] | None = None,
     return top.join(unique, "column").select("column", "unique_count", "place", "value", "n")
 
 
-def iqr_outliers(frame: DataFrame, columns: Sequence[str] | None = None, *, multiplier: float = 1.5) -> DataFrame:
+def iqr_outliers(
+    frame: DataFrame,
+    columns: Sequence[str] | None = None,
+    *,
+    multiplier: float = 1.5,
+    placed: Placed | None = None,
+) -> DataFrame:
     """P5: quartile fences per numeric column and how many values lie strictly beyond them."""
     if multiplier <= 0:
         raise ValueError("multiplier must be positive")
-    columns = list(columns or numeric_columns(frame))
-    placed = place_counts(value_counts(frame, columns), by=["column"])
+    placed = placed or placed_values(frame, columns)
     iqr = F.col("q3") - F.col("q1")
     fences = quantiles(placed, {"q1": 0.25, "q3": 0.75}, few_groups=True).select(
         "column",
@@ -218,9 +230,10 @@ def profile(frames: Mapping[str, DataFrame], *, top_n: int = 10) -> DataFrame:
         parts.append(long(table, "dataset", dataset_summary(frame), ["rows", "columns", "duplicate_rows"]))
         parts.append(long(table, "missing", missing_values(frame), ["missing_count", "missing_percent"]))
         if numeric_columns(frame):
-            summary = numerical_summary(frame)
+            placed = placed_values(frame)
+            summary = numerical_summary(frame, placed=placed)
             parts.append(long(table, "numeric", summary, [c for c in summary.columns if c != "column"]))
-            fences = iqr_outliers(frame)
+            fences = iqr_outliers(frame, placed=placed)
             parts.append(long(table, "iqr_outliers", fences, [c for c in fences.columns if c != "column"]))
         if category_columns(frame):
             top = categorical_summary(frame, top_n=top_n)

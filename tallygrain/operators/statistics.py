@@ -231,7 +231,7 @@ def chi_square_test(table: DataFrame, row: str, columns: Sequence[str], *, alpha
     expected = F.col("_row_sum") * F.col("_column_sum") / F.nullif(F.col("_all"), F.lit(0.0))
     summed = (
         cells.join(by_row, row)
-        .join(by_column, "_column")
+        .join(F.broadcast(by_column), "_column")  # one row per column named
         .withColumn("_all", whole)
         .withColumn("e", expected)
         .agg(
