@@ -52,21 +52,22 @@ def sections(text: Column | str, title: Column | str) -> Column:
     """
     pieces = F.split(clean_text(text), r"(?md)(?=^#{1,6}\s+\S)")
 
-    def section(piece: Column) -> Column:
+    def opened(piece: Column) -> Column:
         headed = piece.rlike(r"\A#{1,6}\s+\S")
-        body = clean_text(F.when(headed, F.regexp_replace(piece, r"\A[^\n]*", "")).otherwise(piece))
         name = F.when(headed, F.regexp_extract(piece, r"\A#{1,6}\s+([^\n]*)", 1)).otherwise(col(title))
-        return F.struct(F.trim(name).alias("section"), F.split(body, "\n\n").alias("paragraphs"), body.alias("body"))
+        body = clean_text(F.when(headed, F.regexp_replace(piece, r"\A[^\n]*", "")).otherwise(piece))
+        return F.struct(F.trim(name).alias("section"), body.alias("body"))
 
-    kept = F.filter(F.transform(pieces, section), lambda s: s["body"] != "")
-    return F.transform(kept, lambda s: F.struct(s["section"].alias("section"), s["paragraphs"].alias("paragraphs")))
+    kept = F.filter(F.transform(pieces, opened), lambda s: s["body"] != "")
+    return F.transform(
+        kept, lambda s: F.struct(s["section"].alias("section"), F.split(s["body"], "\n\n").alias("paragraphs"))
+    )
 
 
 def line_section(text: Column | str, section: Column | str) -> Column:
-    """One section whose paragraphs are the non-empty lines of a cleaned text."""
+    """One section whose paragraphs are the non-empty lines of a cleaned text; no line gives no chunk."""
     lines = F.filter(F.split(clean_text(text), "\n"), lambda line: line != "")
-    one = F.array(F.struct(col(section).alias("section"), lines.alias("paragraphs")))
-    return F.when(F.size(lines) > 0, one).otherwise(F.slice(one, 1, 0))
+    return F.array(F.struct(col(section).alias("section"), lines.alias("paragraphs")))
 
 
 def _piece_bounds(target: int, largest: int) -> str:
