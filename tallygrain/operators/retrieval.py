@@ -22,6 +22,8 @@ MAX_TOP_K = 20
 
 # Blanks that may stand at the ends of a line, and the characters that end one.
 _BLANK = r"[ \t\x1F\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
+# One class, not an alternation: a long run of blanks must not deepen the stack.
+_EDGE = r"[ \t\n\x1F\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 _LINE_END = r"\r\n|[\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
 
 
@@ -34,7 +36,7 @@ def clean_text(text: Column | str) -> Column:
     value = F.regexp_replace(value, r"[ \t]+", " ")
     value = F.regexp_replace(value, f"{_BLANK}*\n{_BLANK}*", "\n")
     value = F.regexp_replace(value, r"\n{3,}", "\n\n")
-    return F.regexp_replace(value, f"^(?:{_BLANK}|\n)+|(?:{_BLANK}|\n)+$", "")
+    return F.regexp_replace(value, rf"\A{_EDGE}+|{_EDGE}+\z", "")
 
 
 def estimated_tokens(text: Column | str) -> Column:
@@ -42,8 +44,6 @@ def estimated_tokens(text: Column | str) -> Column:
     return F.greatest(F.ceil(F.length(col(text)) / 4), F.lit(1)).cast("int")
 
 
-
-
 def sections(text: Column | str, title: Column | str) -> Column:
     """Array of (section, paragraphs) of a cleaned Markdown text.
 
