@@ -44,3 +44,24 @@ def in_pieces(columns: Mapping[str, np.ndarray], schema: pa.Schema, size: int =
     count = len(next(iter(columns.values())))
     for begin in range(0, count, size):
         yield to_batch({name: values[begin : begin + size] for name, values in columns.items()}, schema)
+
+
+def range_columns(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and length of all listed ranges, and the number of the row that each belongs to."""
+    flat = column.flatten()
+    lengths = np.diff(column.offsets.to_numpy())
+    lengths[column.is_null().to_numpy(zero_copy_only=False)] = 0
+    row = np.repeat(np.arange(len(column)), lengths)
+    return flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64), row
+
+
+def spread(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of the ranges, and the number of the range of each."""
+    of = np.repeat(np.arange(len(begin)), length)
+    before = np.cumsum(length) - length
+    return np.arange(len(of)) - before[of] + begin[of], of
+
+
+def listed(ranges: DataFrame) -> DataFrame:
+    """All ranges (lo, n) of a text, without repeats, in one row."""
+    return ranges.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "n")).alias("ranges"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallygrain.llm.common import table
 from tallygrain.llm.near_dedup import near_duplicates
 from tallygrain.llm.substring_dedup import substring_dedup
+from tallygrain.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +90,43 @@ WITH RECURSIVE split AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN sizes USING (doc_id)
 """
+
+
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+SQL["op7_suffix_dedup"] = r"""
+WITH coded AS (
+    SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS code FROM documents
+), sized AS (
+    SELECT doc_id, code, length(code) // 2 AS n_bytes FROM coded
+), windows AS (
+    SELECT doc_id, s AS start, md5(substr(code, 2 * s + 1, 400)) AS print
+    FROM (SELECT doc_id, code, unnest(range(0, n_bytes - 199)) AS s FROM sized)
+), repeated AS (
+    SELECT doc_id, start FROM (SELECT doc_id, start, count(*) OVER (PARTITION BY print) AS k FROM windows) WHERE k > 1
+), marked AS (
+    SELECT doc_id, start, CASE WHEN start - lag(start) OVER w <= 200 THEN 0 ELSE 1 END AS fresh
+    FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+), numbered AS (
+    SELECT doc_id, start, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS span FROM marked
+), spans AS (
+    SELECT doc_id, min(start) AS a, max(start) + 200 AS b FROM numbered GROUP BY doc_id, span
+), edges AS (
+    SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS before, lead(a) OVER w AS after
+    FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+), pieces AS (
+    SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+        string_agg(substr(code, 2 * before + 1, 2 * (a - before)), '' ORDER BY a)
+            || max(CASE WHEN after IS NULL THEN substr(code, 2 * b + 1) END) AS kept
+    FROM edges JOIN sized USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, code))) AS kept_sha256
+FROM sized LEFT JOIN pieces USING (doc_id)
+"""

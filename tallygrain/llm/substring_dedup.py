@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.llm.common import in_pieces, narrow, to_batch, written
+from tallygrain.llm.common import in_pieces, listed, narrow, range_columns, spread, to_batch, written
 from tallygrain.llm.tokens import anchors, slices, text_bytes, window_codes, word_codes, words
 
 _ANCHOR = pa.schema(
@@ -62,29 +62,13 @@ def _anchor_rows(window: int, gram: int):
     return run
 
 
-def _ranges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and length of all listed ranges, and the number of the row that each belongs to."""
-    flat = column.flatten()
-    lengths = np.diff(column.offsets.to_numpy())
-    lengths[column.is_null().to_numpy(zero_copy_only=False)] = 0
-    row = np.repeat(np.arange(len(column)), lengths)
-    return flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64), row
-
-
-def _spread(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All whole numbers of the ranges, and the number of the range of each."""
-    of = np.repeat(np.arange(len(begin)), length)
-    before = np.cumsum(length) - length
-    return np.arange(len(of)) - before[of] + begin[of], of
-
-
 def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, starts, ends, counts = _tokenised(batch)
             codes = word_codes(data, starts, ends)
-            begin, length, row = _ranges(batch.column("ranges"))
-            lo, of = _spread(begin, length)
+            begin, length, row = range_columns(batch.column("ranges"))
+            lo, of = spread(begin, length)
             row = row[of]
             at = lo + counts[row]
             found = {"w1": window_codes(codes, at, window, 1), "w2": window_codes(codes, at, window, 2), "lo": lo}
@@ -99,7 +83,7 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, starts, ends, counts = _tokenised(batch)
-            begin, length, row = _ranges(batch.column("ranges"))
+            begin, length, row = range_columns(batch.column("ranges"))
             change = np.zeros(len(starts) + 1, np.int64)
             np.add.at(change, begin + counts[row], 1)
             np.add.at(change, begin + counts[row] + length + window - 1, -1)
@@ -127,10 +111,6 @@ def _cut(window: int):
     return run
 
 
-def _listed(ranges: DataFrame) -> DataFrame:
-    return ranges.groupBy("doc_id", "part").agg(F.collect_set(F.struct("lo", "n")).alias("ranges"))
-
-
 def substring_dedup(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25
 ) -> DataFrame:
@@ -155,10 +135,10 @@ def substring_dedup(
     placed = hits.join(classes, ["h", "c"])
     later = placed.where("doc_id > first_doc").select("doc_id", "part", "lo", "n")
     first = placed.where("varied and doc_id = first_doc").select("doc_id", "part", "lo", "n")
-    windows = base.join(_listed(first), ["doc_id", "part"]).select("doc_id", "part", "text", "ranges")
+    windows = base.join(listed(first), ["doc_id", "part"]).select("doc_id", "part", "text", "ranges")
     windows = written(windows.mapInArrow(_window_rows(window), _WINDOW_DDL))
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     single = windows.join(written(earliest), ["w1", "w2"]).where("doc_id > a")
     repeats = later.union(single.select("doc_id", "part", "lo", F.lit(1).alias("n")))
-    cut = base.join(_listed(repeats), ["doc_id", "part"], "left").select("doc_id", "text", "ranges")
+    cut = base.join(listed(repeats), ["doc_id", "part"], "left").select("doc_id", "text", "ranges")
     return cut.mapInArrow(_cut(window), _RESULT_DDL)
