@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrain.llm.bpe import bpe_decode, bpe_encode
 from tallygrain.llm.common import table
 from tallygrain.llm.near_dedup import near_duplicates
 from tallygrain.llm.substring_dedup import substring_dedup
 from tallygrain.llm.suffix_dedup import suffix_dedup
+from tallygrain.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +133,45 @@ SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coa
     sha256(unhex(coalesce(kept, code))) AS kept_sha256
 FROM sized LEFT JOIN pieces USING (doc_id)
 """
+
+
+@_query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), **vocabulary), **vocabulary)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@_query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+SQL["op3_url_filter"] = r"""
+WITH parts AS (
+    SELECT page_id,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+    FROM pages
+), ruled AS (
+    SELECT *, CASE
+        WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN ends_with('.' || host, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN ends_with('.' || host, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/'
+        END AS rule
+    FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches('.' || host, '(?s)casino|pills|free-bets|[.]ads-|-track[.]|spam|[.]adult-')
+        OR regexp_matches(path, '(?s)^/login|^/cart/|^/.*sessionid=') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
