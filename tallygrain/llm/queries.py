@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.llm.bpe import bpe_decode, bpe_encode
 from tallygrain.llm.common import table
+from tallygrain.llm.decontamination import contamination
 from tallygrain.llm.near_dedup import near_duplicates
 from tallygrain.llm.substring_dedup import substring_dedup
 from tallygrain.llm.suffix_dedup import suffix_dedup
@@ -175,3 +176,8 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+@_query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -35,6 +35,7 @@ _WORD_CODES = np.where(_IS_SPACE, np.uint64(0), BYTE_CODES)
 _WORD_POWERS = _powers(_BASE, WORD_LIMIT)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_FOLDED = np.where(np.char.isalnum(np.array([chr(i) for i in range(128)] + ["x"] * 128)), _LOWER, 32).astype(np.uint8)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -74,6 +75,11 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """A-Z to a-z, and ASCII that is neither letter nor digit to a space; bytes of other characters stay."""
+    return _FOLDED[data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each text the number of its first word (one more than texts)."""
     solid = ~_IS_SPACE[data]
