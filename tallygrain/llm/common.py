@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallygrain.session import ensure_checkpoint_dir
 
@@ -35,6 +36,14 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def map_whole_rows(frame: DataFrame, run: Callable, added: Sequence[StructField] = ()) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names: a task sees them as c0, c1 and so on."""
+    fields = [*frame.schema.fields, *added]
+    schema = StructType([StructField(f"c{i}", field.dataType) for i, field in enumerate(fields)])
+    plain = frame.toDF(*[f"c{i}" for i in range(len(frame.columns))])
+    return plain.mapInArrow(run, schema).toDF(*[field.name for field in fields])
+
+
 def to_batch(columns: Mapping[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

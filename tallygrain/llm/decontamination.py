@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.llm.common import to_batch
+from tallygrain.llm.common import map_whole_rows, to_batch
 from tallygrain.llm.tokens import Runs, folded, slices, text_bytes, word_codes, words
 
 BLOCK_BYTES = 32 << 20  # benchmark text sent to the tasks at a time
@@ -192,16 +192,17 @@ def decontaminate(
     coverage: float = COVERAGE,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no item contaminates; see ``contamination``."""
+    name = f"c{docs.columns.index(text_col)}"
     for ids, texts in _blocks(benchmark, item_id_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value, seed)
-            for batch in slices(batches, column=text_col):
+            for batch in slices(batches, column=name):
                 clean = np.ones(batch.num_rows, bool)
-                for text, _, _ in _covered(items, batch, text_col, coverage):
+                for text, _, _ in _covered(items, batch, name, coverage):
                     clean[text] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_whole_rows(docs, run)
     return docs

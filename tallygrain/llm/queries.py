@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallygrain.llm.bpe import bpe_decode, bpe_encode
 from tallygrain.llm.common import table
 from tallygrain.llm.decontamination import contamination
+from tallygrain.llm.language_id import identify_language, train_language_model
 from tallygrain.llm.near_dedup import near_duplicates
 from tallygrain.llm.substring_dedup import substring_dedup
 from tallygrain.llm.suffix_dedup import suffix_dedup
@@ -181,3 +182,14 @@ FROM ruled
 @_query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _checksum(column: str) -> F.Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", _checksum("doc_id") % 3 == 1)
+    model = train_language_model(docs.where("not held_out"), vocabulary_path=public_tokenizers.path("piece_bpe_32k.model"))
+    return identify_language(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
