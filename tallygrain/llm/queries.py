@@ -13,6 +13,7 @@ from tallygrain.llm.common import table
 from tallygrain.llm.decontamination import contamination
 from tallygrain.llm.language_id import identify_language, train_language_model
 from tallygrain.llm.near_dedup import near_duplicates
+from tallygrain.llm.quality import score_quality, train_quality
 from tallygrain.llm.substring_dedup import substring_dedup
 from tallygrain.llm.suffix_dedup import suffix_dedup
 from tallygrain.llm.url_filter import url_filter
@@ -193,3 +194,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", _checksum("doc_id") % 3 == 1)
     model = train_language_model(docs.where("not held_out"), vocabulary_path=public_tokenizers.path("piece_bpe_32k.model"))
     return identify_language(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = _checksum("doc_id") % 5 == 0
+    model = train_quality(docs, labels.where(~held_out))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
