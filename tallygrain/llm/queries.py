@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallygrain.llm.bpe import bpe_decode, bpe_encode
 from tallygrain.llm.common import table
 from tallygrain.llm.decontamination import contamination
+from tallygrain.llm.embedding_dedup import embedding_near_duplicates
 from tallygrain.llm.language_id import identify_language, train_language_model
 from tallygrain.llm.near_dedup import near_duplicates
 from tallygrain.llm.quality import score_quality, train_quality
@@ -203,3 +204,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_quality(docs, labels.where(~held_out))
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op9_embedding_near_dedup"] = r"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors AS a JOIN vectors AS b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+), reach AS (
+    SELECT vec_id, vec_id AS other FROM vectors
+    UNION
+    SELECT r.vec_id, l.b FROM reach AS r JOIN links AS l ON r.other = l.a
+), least AS (
+    SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counts USING (vec_id)
+"""
