@@ -14,6 +14,7 @@ from tallygrain.llm.decontamination import contamination
 from tallygrain.llm.embedding_dedup import embedding_near_duplicates
 from tallygrain.llm.language_id import identify_language, train_language_model
 from tallygrain.llm.near_dedup import near_duplicates
+from tallygrain.llm.pii import KINDS, personal_data, train_spans
 from tallygrain.llm.quality import score_quality, train_quality
 from tallygrain.llm.substring_dedup import substring_dedup
 from tallygrain.llm.suffix_dedup import suffix_dedup
@@ -228,3 +229,16 @@ WITH RECURSIVE vectors AS (
 )
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counts USING (vec_id)
 """
+
+
+def _span_list(column: str, where: str = "true") -> F.Column:
+    return F.expr(f"array_join(transform(filter({column}, x -> {where}), x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
+
+
+@_query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data(docs, train_spans(docs))
+    counts = [F.expr(f"cast(size(filter(pii, x -> x.base and x.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in KINDS]
+    base = F.sha2(_span_list("pii", "x.base").cast("binary"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), _span_list("pii").alias("spans"))
