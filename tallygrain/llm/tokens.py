@@ -118,7 +118,7 @@ class Runs:
 
     @classmethod
     def _table(cls, base: int, count: int) -> np.ndarray:
-        if len(cls._cache.get(base, ())) < count:
+        if base not in cls._cache or len(cls._cache[base]) < count:
             cls._cache[base] = _powers(base, 1 << max(18, count.bit_length()))
         return cls._cache[base]
 
