@@ -319,10 +319,10 @@ DETECTION_COLUMNS = (
 )
 
 
-def detect(costs: DataFrame, config: AnomalyConfig | None = None, *, by: Sequence[str] = (), check: bool = False) -> DataFrame:
+def detect(costs: DataFrame, config: AnomalyConfig | None = None, *, by: Sequence[str] = (), check: bool = True) -> DataFrame:
     """Scores, flags, status and text per series and day.
 
-    ``check`` runs ``require_daily`` first. The day rows are few, so the forest is joined by key.
+    Unless ``check`` is off, rows that do not form a clean daily series are an error. The day rows are few, so the forest is joined by key.
     """
     config = config or AnomalyConfig()
     if check:

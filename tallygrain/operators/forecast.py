@@ -100,14 +100,33 @@ def short_series(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str
     )
 
 
-def require_series(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = ()) -> None:
-    """Raise when a series is incomplete, not positive or too short."""
-    problems = series_problems(monthly, by=by).limit(5).collect()
-    if problems:
-        raise ValueError(f"Series are not complete and positive, for example {[tuple(r) for r in problems]}")
-    short = short_series(monthly, config, by=by).limit(5).collect()
-    if short:
-        raise ValueError(f"At least {config.required_months} months are needed; short: {[tuple(r) for r in short]}")
+def series_rejects(monthly: DataFrame, *, by: Sequence[str] = (), needed: int = 1) -> DataFrame:
+    """Series that no forecast may be made of, with the first reason: gaps, low values, too few months."""
+    state = monthly.groupBy(*by).agg(
+        F.count("*").alias("months"),
+        (F.months_between(F.max("month"), F.min("month")) + 1).cast("long").alias("_span"),
+        F.min("value").alias("_least"),
+        F.count("value").alias("_known"),
+    )
+    problem = (
+        F.when(F.col("_span") != F.col("months"), "missing months")
+        .when((F.col("_least") <= 0) | (F.col("_known") < F.col("months")), "not positive")
+        .when(F.col("months") < needed, "too short")
+    )
+    return state.select(*by, "months", problem.alias("problem")).filter("problem IS NOT NULL AND months > 0")
+
+
+def require_series(
+    monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = (), needed: int | None = None
+) -> None:
+    """Raise when a series is incomplete, not positive or too short; one pass over the months."""
+    needed = config.required_months if needed is None else needed
+    rejects = series_rejects(monthly, by=by, needed=needed).limit(5).collect()
+    broken = [tuple(r) for r in rejects if r.problem != "too short"]
+    if broken:
+        raise ValueError(f"Series are not complete and positive, for example {broken}")
+    if rejects:
+        raise ValueError(f"At least {needed} months are needed; short: {[tuple(r) for r in rejects]}")
 
 
 def _placed(monthly: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -230,8 +249,15 @@ def smoothing_forecasts(monthly: DataFrame, config: ForecastConfig, *, by: Seque
     )
 
 
-def rolling_origin(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = ()) -> DataFrame:
-    """One-step forecasts of every method; a forecast sees only the months before its own."""
+def rolling_origin(
+    monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = (), check: bool = True
+) -> DataFrame:
+    """One-step forecasts of every method; a forecast sees only the months before its own.
+
+    Neighbouring rows count as neighbouring months, so unless ``check`` is off a series with gaps is an error.
+    """
+    if check:
+        require_series(monthly, config, by=by, needed=1)
     return simple_forecasts(monthly, config, by=by).unionByName(smoothing_forecasts(monthly, config, by=by))
 
 
@@ -249,10 +275,18 @@ def phase_periods(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[st
     )
 
 
-def backtest(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = ()) -> DataFrame:
-    """Validation and test rows of every method, for series long enough for both."""
+def backtest(
+    monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = (), check: bool = True
+) -> DataFrame:
+    """Validation and test rows of every method.
+
+    Series that are incomplete, not positive or too short are an error. With ``check`` off the short ones have no
+    rows; ``series_rejects`` names them all.
+    """
+    if check:
+        require_series(monthly, config, by=by)
     return (
-        rolling_origin(monthly, config, by=by)
+        rolling_origin(monthly, config, by=by, check=False)
         .filter(F.col("_months") >= config.required_months)
         .withColumn("phase", _phase(config))
         .filter("phase IS NOT NULL")
@@ -294,8 +328,15 @@ def select_method(rows: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 # --- the future ------------------------------------------------------------------------------
 
 
-def future_forecasts(monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = ()) -> DataFrame:
-    """The months after the series by every method; the moving average feeds on itself."""
+def future_forecasts(
+    monthly: DataFrame, config: ForecastConfig, *, by: Sequence[str] = (), check: bool = True
+) -> DataFrame:
+    """The months after the series by every method; the moving average feeds on itself.
+
+    Unless ``check`` is off, a series that is incomplete, not positive or too short is an error.
+    """
+    if check:
+        require_series(monthly, config, by=by)
     h, w = config.horizon_months, config.moving_average_window
     series = monthly.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("month", "value"))).alias("_points"), F.max("month").alias("_last")

@@ -6,10 +6,11 @@ Texts are cleaned and cut with row-local expressions over whole texts, so no shu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,9 +190,33 @@ def vector_problems(frame: DataFrame, key: str, vector: str, dimensions: int) ->
     return frame.select(key, vector_problem(vector, dimensions).alias("problem")).filter("problem IS NOT NULL")
 
 
-def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str, *, model: str, dimensions: int) -> DataFrame:
-    """Chunks with their embedding, model and size."""
-    good = vectors.select(key, "embedding").filter(vector_problem("embedding", dimensions).isNull())
+def _vector_state(vectors: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """Per key, how many vectors there are and what is wrong with one of them."""
+    marked = vectors.select(key, vector_problem("embedding", dimensions).alias("problem"))
+    return marked.groupBy(key).agg(F.count("*").alias("_n"), F.min("problem").alias("_problem"))
+
+
+def vector_rejects(chunks: DataFrame, vectors: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """Chunks without exactly one valid vector, and why: missing, repeated, or what breaks the contract."""
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "repeated").otherwise(F.col("_problem"))
+    state = _vector_state(vectors, key, dimensions)
+    return chunks.join(state, key, "left").select(chunks["*"], problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def attach_vectors(
+    chunks: DataFrame, vectors: DataFrame, key: str, *, model: str, dimensions: int, check: bool = True
+) -> DataFrame:
+    """Chunks with their embedding, model and size.
+
+    Unless ``check`` is off, a chunk without exactly one valid vector is an error. With it off such chunks are left
+    out, and ``vector_rejects`` names them.
+    """
+    if check:
+        rejects = vector_rejects(chunks, vectors, key, dimensions).select(key, "problem").limit(5).collect()
+        if rejects:
+            raise ValueError(f"Chunks without exactly one valid vector, for example {[tuple(r) for r in rejects]}")
+    sound = _vector_state(vectors, key, dimensions).filter("_n = 1 AND _problem IS NULL")
+    good = vectors.select(key, "embedding").join(sound, key, "left_semi")
     return chunks.join(good, key).withColumns(
         {"embedding_model": F.lit(model), "embedding_dimensions": F.lit(dimensions)}
     )
@@ -204,9 +229,12 @@ def chunks_without_vectors(chunks: DataFrame, vectors: DataFrame, key: str) -> D
 
 # --- exact search ----------------------------------------------------------------------------
 
-# Query vectors shipped to every task stay below this many numbers; more of them are joined in blocks.
-BROADCAST_NUMBERS = 4_000_000
-BLOCK_ROWS = 20_000
+# A block of queries holds about this many numbers. All chunks pass by one block after another, whatever their count.
+BLOCK_NUMBERS = 4_000_000
+# Queries scored at a time, so that the similarity matrix of a batch stays small.
+GROUP = 64
+# Parts that the hits of a query are cut down in before the last ranking.
+PARTS = 64
 
 
 def _unit(rows: Iterable) -> np.ndarray:
@@ -217,15 +245,17 @@ def _unit(rows: Iterable) -> np.ndarray:
 
 def _best(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, floor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its number, and the ids and similarities of its k best rows, ties by id."""
-    # einsum sums every pair the same way, so equal vectors get equal similarities.
-    similarity = np.einsum("nd,qd->qn", vectors, queries)
-    for number, row in enumerate(similarity):
-        usable = np.flatnonzero(row >= floor)
+    slack = 1e-9
+    for number, row in enumerate(queries @ vectors.T):
+        usable = np.flatnonzero(row >= floor - slack)
         if len(usable) > k:
             limit = np.partition(row[usable], len(usable) - k)[len(usable) - k]
-            usable = usable[row[usable] >= limit]
-        order = np.lexsort((ids[usable], -row[usable]))[:k]
-        yield number, ids[usable][order], row[usable][order]
+            usable = usable[row[usable] >= limit - slack]
+        # A matrix product may sum equal rows in another order; the few that are left are summed alike, so that they tie.
+        exact = np.einsum("nd,d->n", vectors[usable], queries[number])
+        usable, exact = usable[exact >= floor], exact[exact >= floor]
+        order = np.lexsort((ids[usable], -exact))[:k]
+        yield number, ids[usable][order], exact[order]
 
 
 def check_search(top_k: int, min_similarity: float) -> None:
@@ -245,20 +275,28 @@ def search(
     dimensions: int,
     top_k: int = 5,
     min_similarity: float = 0.0,
-    broadcast_numbers: int = BROADCAST_NUMBERS,
-    block_rows: int = BLOCK_ROWS,
+    model: str | None = None,
+    columns: Sequence[str] = (),
+    check: bool = True,
+    block_numbers: int = BLOCK_NUMBERS,
 ) -> DataFrame:
     """Exact cosine top-k of every query, ties by chunk key.
 
-    Each task scores its chunks in Arrow batches and keeps k rows per query, so pairs are never
-    written out. Few queries travel to the tasks; a larger set is met block by block, each group
-    bounded on both sides. Vectors that break the contract are an error of the caller (D6) and are
-    left out on the chunk side.
+    Queries go to the tasks in blocks of bounded size, and the chunks pass by each block in Arrow batches; a task
+    keeps k rows per query, so pairs are never written out and no chunk is shuffled. ``model`` keeps the chunks of one
+    embedding model; ``columns`` adds columns of the chunks to the result. A bad query vector is an error, and so is a
+    bad chunk vector unless ``check`` is off; then it is left out and ``vector_problems`` names it. A zero vector is
+    similar to nothing.
     """
     check_search(top_k, min_similarity)
-    good = chunks.select(F.col(key).alias("_id"), F.col(vector).alias("_v")).filter(
-        vector_problem("_v", dimensions).isNull()
-    )
+    if model is not None:
+        chunks = chunks.filter(F.col("embedding_model") == model)
+    offered = chunks.select(F.col(key).alias("_id"), F.col(vector).alias("_v"))
+    if check:
+        bad = vector_problems(offered, "_id", "_v", dimensions).limit(5).collect()
+        if bad:
+            raise ValueError(f"Chunk vectors break the contract, for example {[tuple(r) for r in bad]}")
+    good = offered.filter(vector_problem("_v", dimensions).isNull())
     asked = queries.select(F.col(query_key).alias("_q"), F.col(vector).alias("_v"))
     if not vector_problems(asked, "_q", "_v", dimensions).isEmpty():
         raise ValueError("A query vector is missing, has the wrong size or is not finite")
@@ -269,77 +307,63 @@ def search(
             T.StructField("similarity_score", T.DoubleType()),
         ]
     )
-    limit = max(1, broadcast_numbers // dimensions)
-    if len(asked.select("_q").limit(limit + 1).collect()) <= limit:
-        found = _search_broadcast(good, asked, result, top_k, min_similarity)
-    else:
-        found = _search_blocks(good, asked, result, top_k, min_similarity, block_rows)
+    found = _search_blocks(good, asked, result, top_k, min_similarity, max(1, block_numbers // dimensions))
+    # Each task has k rows for a query; they are cut down in parts before they meet.
+    part = Window.partitionBy("_q", F.pmod(F.xxhash64("_id"), F.lit(PARTS))).orderBy(F.desc("similarity_score"), "_id")
+    few = found.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= top_k)
     order = Window.partitionBy("_q").orderBy(F.desc("similarity_score"), "_id")
-    return (
-        found.withColumn("place", F.row_number().over(order))
+    ranked = (
+        few.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= top_k)
         .select(F.col("_q").alias(query_key), F.col("_id").alias(key), "similarity_score", "place")
     )
-
-
-def _rows(numbers: Sequence, result: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    parts = [
-        pd.DataFrame({"_q": numbers[number], "_id": ids, "similarity_score": values})
-        for number, ids, values in result
-        if len(ids)
-    ]
-    return pd.concat(parts) if parts else pd.DataFrame({"_q": [], "_id": [], "similarity_score": []})
-
-
-def _search_broadcast(good: DataFrame, asked: DataFrame, result: T.StructType, k: int, floor: float) -> DataFrame:
-    """The query set is small by check, so its matrix goes along with the task."""
-    collected = asked.orderBy("_q").collect()
-    if not collected:
-        return good.sparkSession.createDataFrame([], result)
-    names = [r["_q"] for r in collected]
-    shared = good.sparkSession.sparkContext.broadcast(_unit(r["_v"] for r in collected))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            found = _rows(names, _best(batch["_id"].to_numpy(), _unit(batch["_v"]), shared.value, k, floor))
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["_q", "similarity_score", "_id"], ascending=[True, False, True])
-            best = best.groupby("_q", sort=False).head(k)
-        if best is not None and len(best):
-            yield best
-
-    return good.mapInPandas(score, result)
+    return ranked.join(chunks.select(key, *columns), key) if columns else ranked
 
 
 def _search_blocks(
     good: DataFrame, asked: DataFrame, result: T.StructType, k: int, floor: float, block_rows: int
 ) -> DataFrame:
-    """Blocks of queries against splits of chunks; both sides are spread by a hash of their key."""
-    query_blocks = max(1, math.ceil(asked.count() / block_rows))
-    splits = max(1, math.ceil(good.count() / block_rows))
-    left = good.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(splits))).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))
-    )
-    right = asked.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(query_blocks))).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long")))
-    )
-
-    def score(chunks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if chunks.empty or queries.empty:
-            return pd.DataFrame({"_q": [], "_id": [], "similarity_score": []})
-        vectors, ids, names = _unit(chunks["_v"]), chunks["_id"].to_numpy(), queries["_q"].to_list()
-        wanted = _unit(queries["_v"])
-        # A few queries at a time keep the similarity matrix small.
-        parts = [
-            _rows(names[at : at + 64], _best(ids, vectors, wanted[at : at + 64], k, floor))
-            for at in range(0, len(names), 64)
-        ]
-        return pd.concat(parts)
-
-    return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(score, result)
+    """All chunks against one block of queries after another."""
+    blocks = max(1, math.ceil(asked.count() / block_rows))
+    found = None
+    for block in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).orderBy("_q").collect()
+        names = np.array([r["_q"] for r in rows], object)
+        matrix = _unit(r["_v"] for r in rows) if rows else np.zeros((0, 1))
+        shared = good.sparkSession.sparkContext.broadcast((names, matrix))
+        part = good.mapInPandas(_scorer(shared, k, floor), result)
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
+def _scorer(shared: Broadcast, k: int, floor: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, wanted = shared.value
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if batch.empty or not len(names):
+                continue
+            ids, vectors = batch["_id"].to_numpy(), _unit(batch["_v"])
+            for at in range(0, len(names), GROUP):
+                for number, near, values in _best(ids, vectors, wanted[at : at + GROUP], k, floor):
+                    if at + number in kept:
+                        near = np.concatenate((kept[at + number][0], near))
+                        values = np.concatenate((kept[at + number][1], values))
+                        order = np.lexsort((near, -values))[:k]
+                        near, values = near[order], values[order]
+                    kept[at + number] = near, values
+        for begin in range(0, len(names), 1_000):
+            own = [n for n in range(begin, min(begin + 1_000, len(names))) if n in kept and len(kept[n][0])]
+            if own:
+                yield pd.DataFrame(
+                    {
+                        "_q": np.repeat(names[own], [len(kept[n][0]) for n in own]),
+                        "_id": np.concatenate([kept[n][0] for n in own]),
+                        "similarity_score": np.concatenate([kept[n][1] for n in own]),
+                    }
+                )
+
+    return score
 
 
 def relevance_label(category: Column | str, regions: Column | str, topics: Column | str) -> Column:

@@ -202,7 +202,8 @@ def _keyed_vectors(spark, folder):
 )
 def attach_vectors(spark, folder):
     attached = rt.attach_vectors(
-        _chunks(spark, folder), _keyed_vectors(spark, folder), "document_id", model="fixture", dimensions=DIMENSIONS
+        _chunks(spark, folder), _keyed_vectors(spark, folder), "document_id", model="fixture", dimensions=DIMENSIONS,
+        check=False,
     )
     return attached.select(
         "chunk_id", "embedding_model", "embedding_dimensions",
@@ -219,6 +220,31 @@ def chunks_without_vectors(spark, folder):
     return missing.select("chunk_id")
 
 
+def _spoiled(spark, folder):
+    v = F.col("embedding")
+    spoiled = (
+        F.when(F.col("vec_id") % 50 == 0, F.slice(v, 1, 10))
+        .when(F.col("vec_id") % 70 == 0, F.concat(F.slice(v, 1, 63), F.array(F.lit(float("nan")).cast("float"))))
+        .otherwise(v)
+    )
+    return roles.table(spark, folder, "embeddings").select("vec_id", spoiled.alias("embedding"))
+
+
+# Documents play the chunks. Every 30th vector stands there twice.
+@RETRIEVAL.add(
+    "vector_rejects",
+    """SELECT doc_id, CASE WHEN vec_id IS NULL THEN 'missing' WHEN vec_id % 30 = 0 THEN 'repeated'
+      WHEN vec_id % 50 = 0 THEN 'wrong size' ELSE 'not finite' END AS problem
+    FROM documents LEFT JOIN embeddings ON vec_id = doc_id
+    WHERE vec_id IS NULL OR vec_id % 30 = 0 OR vec_id % 50 = 0 OR vec_id % 70 = 0""",
+)
+def vector_rejects(spark, folder):
+    vectors = _spoiled(spark, folder).withColumnRenamed("vec_id", "doc_id")
+    vectors = vectors.unionByName(vectors.filter("doc_id % 30 = 0"))
+    documents = roles.table(spark, folder, "documents").select("doc_id")
+    return rt.vector_rejects(documents, vectors, "doc_id", DIMENSIONS)
+
+
 # Every 50th vector is cut short and every 70th gets a value that is not a number.
 @RETRIEVAL.add(
     "vector_problems",
@@ -226,14 +252,7 @@ def chunks_without_vectors(spark, folder):
     WHERE vec_id % 50 = 0 OR vec_id % 70 = 0""",
 )
 def vector_problems(spark, folder):
-    v = F.col("embedding")
-    spoiled = (
-        F.when(F.col("vec_id") % 50 == 0, F.slice(v, 1, 10))
-        .when(F.col("vec_id") % 70 == 0, F.concat(F.slice(v, 1, 63), F.array(F.lit(float("nan")).cast("float"))))
-        .otherwise(v)
-    )
-    vectors = roles.table(spark, folder, "embeddings").select("vec_id", spoiled.alias("embedding"))
-    return rt.vector_problems(vectors, "vec_id", "embedding", DIMENSIONS)
+    return rt.vector_problems(_spoiled(spark, folder), "vec_id", "embedding", DIMENSIONS)
 
 
 def search_sql(query: str, where: str, floor: float, k: int) -> str:
@@ -271,10 +290,10 @@ def search_many(spark, folder):
 
 @RETRIEVAL.add("search_all", search_sql("TRUE", "TRUE", -1.0, 5))
 def search_all(spark, folder):
-    """Every vector asks; a low broadcast bound sends the work through the block join."""
+    """Every vector asks, in several blocks."""
     found = rt.search(
         roles.table(spark, folder, "embeddings"), _queries(spark, folder, "true"), key="vec_id",
-        dimensions=DIMENSIONS, min_similarity=-1.0, broadcast_numbers=64 * DIMENSIONS, block_rows=200,
+        dimensions=DIMENSIONS, min_similarity=-1.0, block_numbers=200 * DIMENSIONS,
     )
     return rounded(found, 6, "similarity_score")
 

@@ -109,11 +109,18 @@ def result_round_trip(spark, folder):
 
 @SOURCE.add(
     "upsert",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM documents WHERE doc_id % 2 = 0
-    OR doc_id % 3 = 0""",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || text ELSE text END AS text,
+      CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM documents""",
 )
 def upsert(spark, folder):
-    documents = roles.table(spark, folder, "documents").select("doc_id")
-    existing = documents.filter("doc_id % 2 = 0").withColumn("origin", F.lit("old"))
-    incoming = documents.filter("doc_id % 3 = 0").withColumn("origin", F.lit("new"))
+    """Two thirds are stored only, a sixth comes in anew, a sixth replaces what is stored."""
+    documents = roles.table(spark, folder, "documents").select("doc_id", "text")
+    existing = documents.filter("doc_id % 6 <> 3").withColumn("origin", F.lit("old"))
+    incoming = documents.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("new "), "text").alias("text"), F.lit("new").alias("origin"))
     return files.upsert(existing, incoming, "doc_id")
+
+
+@SOURCE.add("upsert_repeats", "SELECT o_custkey AS customer, count(*) AS rows FROM orders GROUP BY 1 HAVING count(*) > 1")
+def upsert_repeats(spark, folder):
+    incoming = roles.table(spark, folder, "orders").select(F.col("o_custkey").alias("customer"))
+    return files.upsert_repeats(incoming, "customer")

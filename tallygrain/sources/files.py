@@ -117,25 +117,47 @@ def load_artifacts(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, D
     return found
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """IO9: one row per Markdown file with its whole text; the id is the file name without suffix."""
+def read_corpus(spark: SparkSession, path: str, *, check: bool = True) -> DataFrame:
+    """IO9: one row per Markdown file with its whole text; the id is the file name without suffix.
+
+    Suffixes count in any case, and a readme is no document. Unless ``check`` is off, a folder without documents, a
+    document without text and an id that two files share are errors.
+    """
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return (
-        spark.read.option("pathGlobFilter", "*.{md,markdown}")
+    documents = (
+        spark.read.option("pathGlobFilter", "*.[mM]*")
         .text(path, wholetext=True)
         .select(
             F.regexp_replace(name, r"\.[^.]+$", "").alias("document_id"),
             name.alias("source_path"),
             F.col("value").alias("text"),
         )
+        .filter(F.lower("source_path").rlike(r"\.(md|markdown)$") & ~F.lower("source_path").rlike(r"^readme\."))
     )
+    if check:
+        blank = (F.trim(F.regexp_replace("text", r"\s+", " ")) == "").cast("int")
+        state = documents.groupBy("document_id").agg(F.count("*").alias("files"), F.max(blank).alias("blank"))
+        bad = state.filter("files > 1 OR blank = 1").orderBy("document_id").limit(5).collect()
+        if bad:
+            raise ValueError(f"Documents without text, or ids of several files: {[r.document_id for r in bad]}")
+        if documents.isEmpty():
+            raise ValueError(f"No Markdown documents below {path}")
+    return documents
+
+
+def upsert_repeats(incoming: DataFrame, key: str) -> DataFrame:
+    """IO10: keys that several incoming rows share, and how many."""
+    return incoming.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
 def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, *, replace: bool = False) -> DataFrame:
     """IO10: stored rows not named by the incoming ones, with the incoming rows.
 
-    Write the result to a new path, then point readers to it: parquet has no update in place.
+    A key may come in once; ``upsert_repeats`` names those that break this. Write the result to a new path, then point readers to it: parquet has no update in place.
     """
+    repeats = upsert_repeats(incoming, key).orderBy(key).limit(5).collect()
+    if repeats:
+        raise ValueError(f"Incoming rows repeat a key, for example {[tuple(r) for r in repeats]}")
     if existing is None or replace:
         return incoming
     kept = existing.join(incoming.select(key), key, "left_anti")

@@ -118,6 +118,14 @@ def test_gaps_short_and_low_series_are_reported(spark):
         fc.require_series(monthly, CONFIG, by=["k"])
     with pytest.raises(ValueError, match="At least 24"):
         fc.require_series(series(spark, range(1, 24)), CONFIG, by=["k"])
+    for refused in (fc.backtest, fc.future_forecasts, fc.rolling_origin):
+        with pytest.raises(ValueError, match="complete"):
+            refused(monthly, CONFIG, by=["k"])
+    with pytest.raises(ValueError, match="At least 24"):
+        fc.backtest(series(spark, range(1, 24)), CONFIG, by=["k"])
+    many = monthly.unionAll(series(spark, range(1, 24), "t")).unionAll(series(spark, wavy(), "u")).unionAll(series(spark, [0, 1], "v"))
+    rejects = {r.k: r.problem for r in fc.series_rejects(many, by=["k"], needed=24).collect()}
+    assert rejects == {"s": "missing months", "t": "too short", "v": "not positive"}
     filled = [r.value for r in fc.fill_months(monthly, by=["k"], how="previous").orderBy("month").collect()]
     assert filled == [5.0, 5.0, 0.0, 8.0]
 

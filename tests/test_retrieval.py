@@ -111,12 +111,12 @@ def exact(chunks, queries, k, floor):
     return out
 
 
-@pytest.mark.parametrize("bound", [rt.BROADCAST_NUMBERS, 8])
-def test_search_is_exact_on_both_ways(spark, bound):
+@pytest.mark.parametrize("bound", [rt.BLOCK_NUMBERS, 8 * 7])
+def test_search_is_exact_in_one_block_and_in_many(spark, bound):
     chunks, queries = vectors(300, 1), vectors(40, 2)
     frame = spark.createDataFrame(chunks, "chunk_id long, embedding array<float>").repartition(7)
     asked = spark.createDataFrame(queries, "query_id long, embedding array<float>")
-    got = rt.search(frame, asked, dimensions=8, top_k=6, min_similarity=0.1, broadcast_numbers=bound, block_rows=25)
+    got = rt.search(frame, asked, dimensions=8, top_k=6, min_similarity=0.1, block_numbers=bound)
     rows = got.orderBy("query_id", "place").collect()
     found = {}
     for r in rows:
@@ -128,7 +128,9 @@ def test_search_is_exact_on_both_ways(spark, bound):
 def test_search_contract(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, float("nan")]), (3, [1.0])], "chunk_id long, embedding array<float>")
     good = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
-    assert [r.chunk_id for r in rt.search(frame, good, dimensions=2).collect()] == [1]
+    assert [r.chunk_id for r in rt.search(frame, good, dimensions=2, check=False).collect()] == [1]
+    with pytest.raises(ValueError, match="Chunk vectors"):
+        rt.search(frame, good, dimensions=2)
     problems = {r.chunk_id: r.problem for r in rt.vector_problems(frame, "chunk_id", "embedding", 2).collect()}
     assert problems == {2: "not finite", 3: "wrong size"}
     for bad in ({"top_k": 0}, {"top_k": 21}, {"min_similarity": 1.5}):
@@ -136,7 +138,27 @@ def test_search_contract(spark):
             rt.search(frame, good, dimensions=2, **bad)
     with pytest.raises(ValueError):
         rt.search(frame, frame.withColumnRenamed("chunk_id", "query_id"), dimensions=2)
-    assert rt.search(frame, good.limit(0), dimensions=2).count() == 0
+    assert rt.search(frame, good.limit(0), dimensions=2, check=False).count() == 0
+
+
+def test_search_keeps_one_model_and_adds_columns(spark):
+    rows = [(1, [1.0, 0.0], "a", "x"), (2, [1.0, 0.1], "b", "y"), (3, [0.0, 1.0], "a", "z")]
+    frame = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, embedding_model string, title string")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<float>")
+    found = rt.search(frame, asked, dimensions=2, model="a", columns=["title"]).orderBy("place").collect()
+    assert [(r.chunk_id, r.place, r.title) for r in found] == [(1, 1, "x"), (3, 2, "z")]
+
+
+def test_vectors_are_attached_once_or_refused(spark):
+    chunks = spark.createDataFrame([(i,) for i in range(1, 6)], "k long")
+    vectors = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [1.0, float("inf")])], "k long, embedding array<float>"
+    )
+    rejects = {r.k: r.problem for r in rt.vector_rejects(chunks, vectors, "k", 2).collect()}
+    assert rejects == {2: "wrong size", 3: "repeated", 4: "not finite", 5: "missing"}
+    with pytest.raises(ValueError, match="exactly one valid vector"):
+        rt.attach_vectors(chunks, vectors, "k", model="m", dimensions=2)
+    assert [r.k for r in rt.attach_vectors(chunks, vectors, "k", model="m", dimensions=2, check=False).collect()] == [1]
 
 
 def test_relevance_label(spark):

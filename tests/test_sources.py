@@ -53,11 +53,24 @@ def test_corpus(spark, tmp_path):
     (tmp_path / "skip.txt").write_text("no")
     rows = {r.document_id: r.text for r in files.read_corpus(spark, str(tmp_path)).collect()}
     assert rows == {"one": "# A\n\ntext\n", "two": "plain"}
+    (tmp_path / "README.md").write_text("about")
+    (tmp_path / "Three.MD").write_text("x")
+    assert {r.document_id for r in files.read_corpus(spark, str(tmp_path)).collect()} == {"one", "two", "Three"}
+    (tmp_path / "two.md").write_text("again")
+    (tmp_path / "four.md").write_text(" \n")
+    with pytest.raises(ValueError, match=r"\['four', 'two'\]"):
+        files.read_corpus(spark, str(tmp_path))
+    assert files.read_corpus(spark, str(tmp_path), check=False).count() == 5
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="No Markdown"):
+        files.read_corpus(spark, str(tmp_path / "none"))
 
 
 def test_upsert(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string"), spark.createDataFrame([(2, "b"), (3, "b")], "k int, v string")
     assert sorted(tuple(r) for r in files.upsert(old, new, "k").collect()) == [(1, "a"), (2, "b"), (3, "b")]
+    with pytest.raises(ValueError, match="repeat a key"):
+        files.upsert(old, new.union(new.limit(1)), "k")
     assert files.upsert(old, new, "k", replace=True).count() == 2 and files.upsert(None, new, "k").count() == 2
 
 
