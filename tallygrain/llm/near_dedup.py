@@ -4,10 +4,11 @@ A sketch has ``REGISTERS`` buckets. A bucket holds the least hash that fell into
 leading zeros and ``MANTISSA_BITS`` bits after them. Documents with equal shingle sets collapse first. Of the rest,
 documents that agree in all registers of a band share a bucket.
 
-Buckets are not expanded into pairs. In each one, every member is compared with a centre; a bucket whose members are
-then in one component is settled. The others get further centres, eight times as many in each round, until every
-member has been one or the bucket is settled, so no link between members of a bucket is missed. Pairs whose estimated
-similarity, corrected for chance agreement of registers, is far below the threshold are dropped before verification.
+Buckets are not expanded into pairs. In each one, every member is compared with the smallest id; a bucket whose
+members are then in one component is settled. For members of the others there is an exact way: two of them can only
+link if they share one of their rarest shingles, so they meet at these, and only across components. Pairs whose
+estimated similarity, corrected for chance agreement of registers, is far below the threshold are dropped before
+verification.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from tallygrain.llm.tokens import Runs, lower, mix, slices, text_bytes, word_cod
 REGISTERS = 256
 MANTISSA_BITS = 10
 BAND = 6  # registers of a band: 42 bands, which miss a pair at 0.85 once in 400 million
-GROWTH = 8  # centres of a bucket from one round to the next
 DEVIATIONS = 8  # a pair is dropped unverified only if its estimate is so many standard errors below the threshold
 COLLISION = 0.169919487159739  # fixed value: the chance term of the published HyperMinHash estimator
 _EMPTY = np.uint16(0xFFFF)
@@ -35,9 +35,10 @@ _SKETCH = pa.schema(
     [("doc_id", pa.int64()), ("part", pa.int32()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("registers", pa.binary())]
 )
 _SKETCH_DDL = "doc_id long, part int, n_shingles long, f1 long, f2 long, registers binary"
-_BUCKET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64())])
-_BUCKET_DDL = "key long, node long, n_shingles long"
-_SET = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+_BUCKET = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+_BUCKET_DDL = "key long, node long"
+_SET = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+_MEMBER = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PAIR_DDL = "a long, b long"
 
@@ -108,18 +109,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def _filled(registers: np.ndarray) -> np.ndarray:
+    """Empty registers lent a value by the full one that comes first in an order of their own, the same for all texts.
+
+    Small sets leave most registers empty; without this a band of theirs would rest on a single shingle.
+    """
+    turns = np.random.Generator(np.random.PCG64(17)).random((REGISTERS, REGISTERS)).argsort(axis=1).astype(np.uint16)
+    out = registers.copy()
+    for row, own in zip(out, registers, strict=True):
+        full = np.flatnonzero(own != _EMPTY)
+        empty = np.flatnonzero(own == _EMPTY)
+        if len(empty):
+            lender = full[turns[np.ix_(empty, full)].argmin(axis=1)]
+            row[empty] = own[lender]
+    return out
+
+
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band with a register that is not empty."""
+    """A row for each band."""
     for batch in batches:
-        registers = _matrix(batch.column("registers"))
-        node, count = batch.column("node").to_numpy(), batch.column("n_shingles").to_numpy()
+        node = batch.column("node").to_numpy()
+        registers = _filled(_matrix(batch.column("registers")))
         for band in range(REGISTERS // BAND):
-            part = registers[:, band * BAND : (band + 1) * BAND]
-            full = np.flatnonzero((part != _EMPTY).any(axis=1))
-            key = np.full(len(full), band, np.uint64)
-            for column in part[full].T:
+            key = np.full(len(node), band, np.uint64)
+            for column in registers[:, band * BAND : (band + 1) * BAND].T:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-            yield from in_pieces({"key": key.view(np.int64), "node": node[full], "n_shingles": count[full]}, _BUCKET)
+            yield from in_pieces({"key": key.view(np.int64), "node": node}, _BUCKET)
 
 
 def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +164,19 @@ def _set_rows(size: int):
         for batch in slices(batches):
             hashes, edges = _shingles(batch, size)
             rows = [hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield to_batch({"node": batch.column("doc_id"), "shingles": rows}, _SET)
+            yield to_batch({"node": batch.column("doc_id"), "n": np.diff(edges), "shingles": rows}, _SET)
 
     return run
 
 
+def _set_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, n, label, shingles in zip(*(batch.column(c) for c in ("node", "n", "label", "shingles")), strict=True):
+            values = np.frombuffer(shingles.as_buffer(), np.int64)
+            columns = {name: np.full(len(values), x.as_py()) for name, x in (("node", node), ("n", n), ("label", label))}
+            yield from in_pieces(columns | {"s": values}, _MEMBER)
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +203,8 @@ class _Verifier:
         side = self.sketches.select("node", "registers", F.col("n_shingles").alias("n"))
         known = pairs.join(side.toDF("a", "ra", "na"), "a").join(side.toDF("b", "rb", "nb"), "b")
         likely = written(known.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(percent / 100), _PAIR_DDL))
-        full = likely.join(self.sets.toDF("a", "sa"), "a").join(self.sets.toDF("b", "sb"), "b")
+        full = likely.join(self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        full = full.join(self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         self.links.append(written(full.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), _PAIR_DDL)))
 
     def all_links(self) -> DataFrame:
@@ -190,48 +214,45 @@ class _Verifier:
         return out
 
 
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each node (node, n, label, shingles): two nodes that link share one of them.
+
+    A link needs ``percent`` hundredths of the larger set in common, so leaving out one shingle less than that many
+    leaves a shared one, whatever the order, as long as it is the same for all. Shingles that no other node has are
+    counted out: ``m`` are not, and a node with too many of its own can link with none. ``left`` counts the shingles
+    from this one on.
+    """
+    rows = sets.mapInArrow(_set_members, "s long, node long, n long, label long")
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = written(rows).join(written(common), "s", "left")
+    listed = ranked.groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("l"))
+    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    listed = listed.withColumn("m", F.expr("size(filter(l, x -> x.df > 1))").cast("long")).where(100 * F.col("m") >= percent * F.col("n"))
+    picked = listed.select("node", "n", "m", "label", F.posexplode(F.slice("l", F.lit(1), keep)).alias("i", "x"))
+    return written(picked.where("x.df > 1").select("x.s", "node", "n", "m", "label", (F.col("n") - F.col("i")).alias("left")))
+
+
 def _settle(members: DataFrame, verifier: _Verifier, percent: int) -> DataFrame:
-    """Component of each node in ``members`` (key, node, n_shingles) that has a link."""
-    centred = members.groupBy("key").agg(F.min("node").alias("centre"))
-    star = members.join(written(centred), "key").where("centre < node")
-    pairs = star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    verifier.add(pairs)
-    open_members = members.join(centred, "key").withColumn("done", F.col("node") == F.col("centre")).drop("centre")
-    spread = 1
-    while True:
-        labels = written(components(verifier.all_links(), "a", "b"))
-        spread *= GROWTH
-        known = labels.withColumnRenamed("id", "node").withColumnRenamed("component_id", "label")
-        labelled = open_members.join(known, "node", "left").select(
-            "key", "node", "n_shingles", "done", F.coalesce("label", "node").alias("label")
-        )
-        state = labelled.groupBy("key").agg(
-            F.min("label").alias("a"), F.max("label").alias("b"), F.sum((~F.col("done")).cast("long")).alias("open")
-        )
-        unsettled = written(state.where("a < b and open > 1").select("key"))
-        open_members = written(labelled.join(unsettled, "key"))
-        if not open_members.take(1):
-            return labels
-        slot = F.pmod(F.xxhash64("key", "node", F.lit(spread)), F.lit(spread))
-        waiting = open_members.where("not done")
-        next_centres = written(waiting.groupBy("key", slot.alias("slot")).agg(F.min("node").alias("centre")).drop("slot"))
-        traits = open_members.select("key", F.col("node").alias("centre"), F.col("label").alias("centre_label"), F.col("n_shingles").alias("centre_n"))
-        centres = next_centres.join(traits, ["key", "centre"])
-        # Centres of earlier rounds have met every member; of two new ones, the smaller id asks.
-        small, large = F.least("n_shingles", "centre_n"), F.greatest("n_shingles", "centre_n")
-        pairs = (
-            waiting.join(centres, "key")
-            .where(F.col("label") != F.col("centre_label"))
-            .where(100 * small >= percent * large)
-            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        )
-        verifier.add(pairs.distinct())
-        marked = next_centres.select("key", F.col("centre").alias("node"), F.lit(True).alias("new"))
-        open_members = written(
-            open_members.join(marked, ["key", "node"], "left").select(
-                "key", "node", "n_shingles", (F.col("done") | F.col("new").isNotNull()).alias("done")
-            )
-        )
+    """Component of each node in ``members`` (key, node) that has a link."""
+    centred = written(members.groupBy("key").agg(F.min("node").alias("centre")))
+    star = members.join(centred, "key").where("centre < node")
+    verifier.add(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    labels = written(components(verifier.all_links(), "a", "b"))
+    known = labels.toDF("node", "label")
+    labelled = members.join(known, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    labelled = written(labelled)
+    state = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k"))
+    # A bucket of two has been looked at in full.
+    unsettled = written(state.where("x < y and k > 2").select("key"))
+    rest = labelled.join(unsettled, "key").select("node", "label").distinct()
+    rare = _rare_first(verifier.sets.join(rest, "node"), percent)
+    other = rare.toDF("s", "node2", "n2", "m2", "label2", "left2")
+    # At the first shingle that two nodes share, what they have left must be enough for a link.
+    most = F.least("m", "m2", "left", "left2")
+    met = rare.join(other, "s").where("node < node2 and label <> label2")
+    met = met.where(100 * most >= percent * (F.col("n") + F.col("n2") - most))
+    verifier.add(met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct())
+    return components(verifier.all_links(), "a", "b")
 
 
 def near_duplicates(
@@ -252,12 +273,12 @@ def near_duplicates(
     linkable = sketches.where("doc_id is not null and n_shingles > 0")
     classes = linkable.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "part", "n_shingles", "registers")).alias("r"))
     classes = written(classes.select("f1", "f2", F.col("r.doc_id").alias("node"), "r.part", "r.n_shingles", "r.registers"))
-    rows = classes.select("node", "n_shingles", "registers").mapInArrow(_bucket_rows, _BUCKET_DDL)
+    rows = classes.select("node", "registers").mapInArrow(_bucket_rows, _BUCKET_DDL)
     crowded = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"))
     members = written(rows.join(crowded, "key"))
     wanted = members.select("node").distinct().join(classes.select("node", "part"), "node")
     texts = base.join(wanted.withColumnRenamed("node", "doc_id"), ["doc_id", "part"])
-    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(shingle), "node long, shingles binary")
+    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(shingle), "node long, n long, shingles binary")
     sets = written(sets.dropDuplicates(["node", "shingles"]))
     verifier = _Verifier(classes, sets, percent)
     # An id with several texts ties their classes together.
