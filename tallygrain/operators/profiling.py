@@ -1,7 +1,6 @@
 """Table profiles.
 
-Columns are unpivoted and counted by distinct value first, so a frequent value costs one row per
-input partition, and exact quantiles come from distributed running totals.
+Exact quantiles come from two scans: sketched ranks bracket them, and only values inside a bracket are ordered.
 """
 
 from __future__ import annotations
@@ -15,14 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrain.functions.exprs import as_double, correlation, ratio
-from tallygrain.functions.ranking import (
-    Placed,
-    average_ranks,
-    place_counts,
-    quantiles,
-    value_counts,
-    weighted_shape,
-)
+from tallygrain.functions.ranking import average_ranks, column_quantiles
+from tallygrain.session import materialize
 
 
 def numeric_columns(frame: DataFrame) -> list[str]:
@@ -64,17 +57,17 @@ def missing_values(frame: DataFrame) -> DataFrame:
     )
 
 
-def placed_values(frame: DataFrame, columns: Sequence[str] | None = None) -> Placed:
-    """Distinct values of the numeric columns with their counts, in order; P3 and P5 can share them."""
-    return place_counts(value_counts(frame, list(columns or numeric_columns(frame))), by=["column"])
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def numerical_summary(
-    frame: DataFrame, columns: Sequence[str] | None = None, *, placed: Placed | None = None
+    frame: DataFrame, columns: Sequence[str] | None = None, *, shape: DataFrame | None = None
 ) -> DataFrame:
-    """Count, mean, median, sample deviation, extremes and exact quartiles per numeric column."""
-    placed = placed or placed_values(frame, columns)
-    shape = weighted_shape(placed, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, few_groups=True)
+    """Count, mean, median, sample deviation, extremes and exact quartiles per numeric column.
+
+    ``shape`` passes on a result of ``column_quantiles`` that is there already.
+    """
+    shape = shape or column_quantiles(frame, columns or numeric_columns(frame), QUARTILES)
     return shape.select(
         "column", "count", "mean", F.col("p50").alias("median"), "std", "min", "p25", "p50", "p75", "max"
     )
@@ -106,31 +99,40 @@ def iqr_outliers(
     columns: Sequence[str] | None = None,
     *,
     multiplier: float = 1.5,
-    placed: Placed | None = None,
+    shape: DataFrame | None = None,
 ) -> DataFrame:
     """P5: quartile fences per numeric column and how many values lie strictly beyond them."""
     if multiplier <= 0:
         raise ValueError("multiplier must be positive")
-    placed = placed or placed_values(frame, columns)
-    iqr = F.col("q3") - F.col("q1")
-    fences = quantiles(placed, {"q1": 0.25, "q3": 0.75}, few_groups=True).select(
-        "column",
-        "q1",
-        "q3",
-        iqr.alias("iqr"),
-        (F.col("q1") - F.lit(float(multiplier)) * iqr).alias("lower_bound"),
-        (F.col("q3") + F.lit(float(multiplier)) * iqr).alias("upper_bound"),
+    columns = list(columns or numeric_columns(frame))
+    shape = shape or column_quantiles(frame, columns, QUARTILES)
+    iqr = F.col("p75") - F.col("p25")
+    fences = materialize(
+        shape.select(
+            "column",
+            "count",
+            F.col("p25").alias("q1"),
+            F.col("p75").alias("q3"),
+            iqr.alias("iqr"),
+            (F.col("p25") - F.lit(float(multiplier)) * iqr).alias("lower_bound"),
+            (F.col("p75") + F.lit(float(multiplier)) * iqr).alias("upper_bound"),
+        )
     )
-    beyond = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
+    # One row per column: the bounds go into the scan that counts what lies beyond them.
+    bounds = {r["column"]: r for r in fences.collect()}
+    beyond = {
+        c: F.count_if((as_double(c) < F.lit(bounds[c].lower_bound)) | (as_double(c) > F.lit(bounds[c].upper_bound)))
+        for c in columns
+        if c in bounds
+    }
+    if not beyond:
+        return fences.select("*", F.lit(0).cast("long").alias("outlier_count"), F.lit(0.0).alias("outlier_percent")).drop("count")
+    counted = frame.agg(*[count.alias(f"_{i}") for i, count in enumerate(beyond.values())])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("outlier_count")) for i, c in enumerate(beyond)])
     return (
-        placed.rows.join(F.broadcast(fences), "column")
-        .groupBy(*fences.columns)
-        .agg(
-            F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outlier_count"),
-            F.sum("n").alias("_all"),
-        )
-        .withColumn("outlier_percent", ratio("outlier_count", "_all") * 100)
-        .drop("_all")
+        fences.join(F.broadcast(counted.select(F.inline(rows))), "column")
+        .withColumn("outlier_percent", ratio("outlier_count", "count") * 100)
+        .drop("count")
     )
 
 
@@ -230,10 +232,10 @@ def profile(frames: Mapping[str, DataFrame], *, top_n: int = 10) -> DataFrame:
         parts.append(long(table, "dataset", dataset_summary(frame), ["rows", "columns", "duplicate_rows"]))
         parts.append(long(table, "missing", missing_values(frame), ["missing_count", "missing_percent"]))
         if numeric_columns(frame):
-            placed = placed_values(frame)
-            summary = numerical_summary(frame, placed=placed)
+            shape = materialize(column_quantiles(frame, numeric_columns(frame), QUARTILES))
+            summary = numerical_summary(frame, shape=shape)
             parts.append(long(table, "numeric", summary, [c for c in summary.columns if c != "column"]))
-            fences = iqr_outliers(frame, placed=placed)
+            fences = iqr_outliers(frame, shape=shape)
             parts.append(long(table, "iqr_outliers", fences, [c for c in fences.columns if c != "column"]))
         if category_columns(frame):
             top = categorical_summary(frame, top_n=top_n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.functions.ranking import (
     average_ranks,
+    column_quantiles,
     numbered,
     place_counts,
     quantiles,
@@ -76,3 +77,16 @@ def test_weighted_shape_matches_pandas(spark, skewed):
 def test_empty_input_gives_no_rows(spark):
     empty = spark.createDataFrame([], "id long, one long")
     assert running_totals(empty, order=["id"], sums=["one"]).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 3999, 30_000])
+def test_column_quantiles_are_exact(spark, size):
+    draw = np.random.default_rng(size)
+    frame = pd.DataFrame({"a": draw.normal(size=size).round(2), "b": np.where(draw.random(size) < 0.4, 5.0, draw.random(size)), "none": [None] * size})
+    chances = {"q0": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "q1": 1.0}
+    got = {r["column"]: r for r in column_quantiles(spark.createDataFrame(frame, "a double, b double, none double").repartition(5), ["a", "b", "none"], chances).collect()}
+    assert set(got) >= {"a", "b"} and got.get("none", {"count": 0})["count"] == 0
+    for name in ("a", "b"):
+        for q, p in chances.items():
+            assert got[name][q] == pytest.approx(float(np.quantile(frame[name], p)), abs=1e-12)
+        assert got[name]["count"] == size and got[name]["max"] == frame[name].max()
