@@ -13,13 +13,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+# Terms after which a continued fraction counts as not converging; it needs about the root of its largest parameter.
+MOST_TERMS = 1_000_000
+CLOSE = 4e-16
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)); for large ``a`` from the difference of two Stirling series, which keeps its digits."""
+    if a < 1e4:
+        return math.lgamma(a + b) - math.lgamma(a)
+
+    def rest(z: float) -> float:
+        return 1.0 / (12.0 * z) - 1.0 / (360.0 * z**3)
+
+    return (a + b - 0.5) * math.log1p(b / a) + b * math.log(a) - b + rest(a + b) - rest(a)
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 500):
+    for m in range(1, MOST_TERMS):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         step = 1.0
@@ -30,30 +46,35 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             step = c * d
             value *= step
-        if abs(step - 1.0) < 1e-16:
-            break
-    return value
+        if abs(step - 1.0) <= CLOSE:
+            return value
+    raise ArithmeticError(f"The incomplete beta function does not converge for a={a}, b={b}, x={x}")
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
+def incomplete_beta(a: float, b: float, x: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function; ``rest`` is 1 - x where the caller knows it to more digits."""
+    rest = 1.0 - x if rest is None else rest
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if rest <= 0.0:
         return 1.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
+    log_x = math.log(x) if x < 0.5 else math.log1p(-rest)
+    log_rest = math.log(rest) if rest < 0.5 else math.log1p(-x)
+    log_front = _log_gamma_ratio(max(a, b), min(a, b)) - math.lgamma(min(a, b)) + a * log_x + b * log_rest
+    # Next to 1 the first fraction is a difference of nearly equal numbers, so the second one is taken a little further.
+    if x < (a + 1.0) / (a + b + 2.0) and not (a > 1e4 and (a + b) * rest < 20.0):
         return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, rest) / b
 
 
 def t_two_sided(statistic: float, df: float) -> float:
     """P(|T| >= |statistic|); keeps tiny values, since no ``1 - cdf`` is taken."""
     if math.isinf(statistic):
         return 0.0
-    return incomplete_beta(df / 2.0, 0.5, df / (df + statistic * statistic))
+    if math.isinf(df):
+        return math.erfc(abs(statistic) / math.sqrt(2.0))
+    square = statistic * statistic
+    return incomplete_beta(df / 2.0, 0.5, df / (df + square), square / (df + square))
 
 
 def t_quantile(probability: float, df: float) -> float:
@@ -111,7 +132,7 @@ def chi_square_upper(statistic: float, df: float) -> float:
     b = x + 1.0 - a
     c, d = 1.0 / tiny, 1.0 / b
     value = d
-    for i in range(1, 1000):
+    for i in range(1, MOST_TERMS):
         factor = -i * (i - a)
         b += 2.0
         d = factor * d + b
@@ -119,9 +140,9 @@ def chi_square_upper(statistic: float, df: float) -> float:
         c = b + factor / c
         c = c if abs(c) > tiny else tiny
         value *= d * c
-        if abs(d * c - 1.0) < 1e-16:
-            break
-    return math.exp(log_front) * value
+        if abs(d * c - 1.0) <= CLOSE:
+            return math.exp(log_front) * value
+    raise ArithmeticError(f"The chi-square tail does not converge for {statistic} at {df} degrees of freedom")
 
 
 def _map(function, *series: pd.Series) -> pd.Series:

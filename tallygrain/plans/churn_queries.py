@@ -213,7 +213,8 @@ def stratified_folds(spark, folder):
     return cm.stratified_folds(snapshot(spark, folder).select(KEY, LABEL), KEY, LABEL)
 
 
-# Learners depend on their own random numbers: rows only. Fewer and smaller trees than the defaults.
+# Learners depend on their own random numbers: rows only. The two queries that grow trees grow fewer and smaller ones
+# than the defaults, as hundreds of boosting rounds for each of sixty fits take hours here; the logistic ones run whole.
 SMALL = TrainingConfig(
     folds=2,
     tuning_iterations=2,
@@ -236,6 +237,12 @@ def _folded(spark, folder):
     return materialize(cm.stratified_folds(rows, KEY, LABEL, folds=SMALL.folds))
 
 
+def _logistic_scores(spark, folder):
+    rows = materialize(snapshot(spark, folder))
+    folded = materialize(cm.stratified_folds(rows, KEY, LABEL))
+    return models.out_of_fold(folded, {"logistic": ("logistic_regression", {"C": 1.0})}, folds=TrainingConfig().folds)
+
+
 @CHURN.add("cross_validation")
 def cross_validation(spark, folder):
     trials = {name: (name, SMALL.base.get(name)) for name in models.CANDIDATES}
@@ -245,12 +252,25 @@ def cross_validation(spark, folder):
 
 @CHURN.add("out_of_fold")
 def out_of_fold(spark, folder):
-    return models.out_of_fold(_folded(spark, folder), {"logistic": ("logistic_regression", {"C": 1.0})}, folds=2)
+    return _logistic_scores(spark, folder)
+
+
+@CHURN.add(
+    "out_of_fold_rows",
+    f"""SELECT customer_id, churned_in_horizon, CAST((place - 1) % 5 AS INTEGER) AS fold, TRUE AS is_probability
+    FROM ({DRAWN_SQL})""",
+    SNAPSHOT_ROLES,
+)
+def out_of_fold_rows(spark, folder):
+    """One score for each customer, in the customer's own fold."""
+    scored = _logistic_scores(spark, folder)
+    return scored.select(KEY, LABEL, "fold", F.col(models.SCORE).between(0, 1).alias("is_probability"))
 
 
 @CHURN.add("tune_candidate")
 def tune_candidate(spark, folder):
-    return models.tune(_folded(spark, folder), "logistic_regression", SMALL)[1]
+    rows = materialize(cm.stratified_folds(materialize(snapshot(spark, folder)), KEY, LABEL))
+    return models.tune(rows, "logistic_regression", TrainingConfig())[1]
 
 
 @CHURN.add("logistic_coefficients")
@@ -261,7 +281,7 @@ def logistic_coefficients(spark, folder):
 @CHURN.add("permutation_importance")
 def permutation_importance(spark, folder):
     rows = materialize(snapshot(spark, folder))
-    return models.permutation_importance(models.fit_candidate(rows, "logistic_regression"), rows, repeats=2)
+    return models.permutation_importance(models.fit_candidate(rows, "logistic_regression"), rows)
 
 
 @CHURN.add("train_churn_model")

@@ -115,3 +115,22 @@ def test_support_is_censored_at_the_first_cancellation(spark):
     assert rows["C2"].average_satisfaction is None
     assert rows["C4"].ticket_count == 0 and rows["C4"].average_resolution_hours is None
     assert str(rows["C1"].outcome_date) == "2024-04-06"
+
+
+def test_tails_keep_their_digits_for_many_degrees_of_freedom(monkeypatch):
+    import math
+
+    from tallygrain.functions import tails
+
+    normal = math.erfc(2.0 / math.sqrt(2.0))
+    for df in (1e6, 1e9, 1e12, float("inf")):
+        # The t law nears the normal one like 1 / df.
+        assert abs(tails.t_two_sided(2.0, df) / normal - 1) < 6 / df + 1e-11
+    assert tails.t_two_sided(1.0, 1.0) == pytest.approx(0.5, abs=1e-15)
+    assert tails.t_two_sided(2.0, 2.0) == pytest.approx(1 - 2 / math.sqrt(6), abs=1e-14)
+    assert tails.chi_square_upper(7.0, 2.0) == pytest.approx(math.exp(-3.5), rel=1e-14)
+    monkeypatch.setattr(tails, "MOST_TERMS", 2)
+    with pytest.raises(ArithmeticError):
+        tails.t_two_sided(1.5, 40.0)
+    with pytest.raises(ArithmeticError):
+        tails.chi_square_upper(300.0, 290.0)
