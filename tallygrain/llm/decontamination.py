@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ _MATCH_DDL = "doc_id long, item_id long, coverage double, n_tiles long, longest_
 
 
 def _word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = text_bytes(column)
+    data, offsets = text_bytes(pc.utf8_lower(column))
     data = folded(data)
     starts, ends, counts = words(data, offsets)
     return word_codes(data, starts, ends), counts
@@ -151,8 +152,8 @@ def contamination(
     """Pairs of a document and a benchmark item of which tiles cover the share ``coverage`` or more.
 
     Returns a row per pair: ``doc_id``, ``item_id``, ``coverage`` (share of the item's words), ``n_tiles``,
-    ``longest_tile``, ``n_item_words``. Words are runs of ASCII letters, digits and characters beyond ASCII, with A-Z
-    lower-cased.
+    ``longest_tile``, ``n_item_words``. Words are runs of ASCII letters, digits and characters beyond ASCII, in lower
+    case.
 
     Null and empty texts, and items of fewer words than a seed, match nothing. Rows that repeat, in either table, give
     repeated pairs; missing ids stay missing. Other columns are not read. If either table is empty, so is the result.

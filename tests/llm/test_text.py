@@ -125,7 +125,7 @@ def test_tiles_equal_greedy_search():
 
 
 def test_contamination(spark):
-    words = [f"w{i}" for i in range(40)]
+    words = [f"wé{i}" for i in range(40)]
     items = [(1, " ".join(words)), (2, "Short one"), (3, None), (4, " ".join(f"q{i}" for i in range(20)))]
     reordered = " ".join(words[20:] + ["gap"] + words[:20])
     rows = [
