@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tallygrain.llm.common import to_batch, written
 from tallygrain.llm.graph import components
@@ -23,21 +24,18 @@ SAMPLE = 16_384  # vectors that the centroids are fitted on, about
 CELL = 512  # distinct vectors of a cell, about
 MOST_CELLS = 1_024
 STEPS = 12  # of k-means
-MARGIN = 4.0  # standard deviations of a random difference that still reach over a border
+MARGIN = 2.0  # standard deviations of a random difference, on either side of a border, that still reach over it
 BLOCK = 1_024  # vectors on either side of one product
 
-_PLACED = pa.schema(
-    [
-        ("node", pa.int64()),
-        ("n", pa.int64()),
-        ("dim", pa.int32()),
-        ("cell", pa.int32()),
-        ("home", pa.int32()),
-        ("cells", pa.list_(pa.int32())),
-        ("vector", pa.list_(pa.float64())),
-    ]
-)
-_PLACED_DDL = "node long, n long, dim int, cell int, home int, cells array<int>, vector array<double>"
+_PLACED = [
+    ("node", pa.int64()),
+    ("n", pa.int64()),
+    ("dim", pa.int32()),
+    ("cell", pa.int32()),
+    ("home", pa.int32()),
+    ("cells", pa.list_(pa.int32())),
+]
+_PLACED_DDL = "node long, n long, dim int, cell int, home int, cells array<int>"
 _FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
@@ -149,7 +147,10 @@ def embedding_near_duplicates(
     member of its group and has the links of all of them. Other columns are not read. An empty table gives an empty
     result. Links at the threshold can be missed where two vectors differ straight across a cell border.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # Vectors travel as they came, in single precision where that is what they are; products are in double precision.
+    kind = "float" if vectors.schema[vector_col].dataType == ArrayType(FloatType(), True) else "double"
+    schema = pa.schema([*_PLACED, ("vector", pa.list_(pa.float32() if kind == "float" else pa.float64()))])
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     able = F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))
     grouped = rows.where(able).groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
@@ -172,9 +173,9 @@ def embedding_near_duplicates(
                     lists = [np.flatnonzero(x).tolist() for x in inside]
                     columns = {name: part.column(name).take(pa.array(row)) for name in ("node", "n", "dim", "vector")}
                     columns |= {"cell": cell, "home": home[row], "cells": [lists[x] for x in row]}
-                    yield to_batch(columns, _PLACED)
+                    yield to_batch(columns, schema)
 
-    placed = written(classes.mapInArrow(place, _PLACED_DDL))
+    placed = written(classes.mapInArrow(place, f"{_PLACED_DDL}, vector array<{kind}>"))
     at_home = F.col("home") == F.col("cell")
     sizes = placed.groupBy("dim", "cell").agg(
         F.ceil(F.sum(at_home.cast("int")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all")
