@@ -251,22 +251,38 @@ def risk_list(
 
 
 def scope_counts(
-    predictions: DataFrame, *, threshold: float, regions: Sequence[str] = (), plans: Sequence[str] = ()
+    predictions: DataFrame,
+    *,
+    threshold: float,
+    regions: Sequence[str] = (),
+    plans: Sequence[str] = (),
+    held_out: DataFrame | None = None,
 ) -> DataFrame:
-    """Visible and flagged customers of a scope as (metric, value, unit) rows."""
+    """Visible and flagged customers of a scope as (metric, value, unit) rows.
+
+    ``held_out`` is the one row of ``classification_metrics`` on the test rows; it adds the model's own quality, which
+    does not depend on the scope.
+    """
     ranked = ranked_predictions(predictions, threshold=threshold, regions=regions, plans=plans)
     row = ranked.agg(F.count("*").alias("visible"), tally(F.col("predicted_churn")).alias("flagged"))
-    return row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"), F.lit(u).alias("unit"))
-                    for m, v, u in (
-                        ("visible_customers", F.col("visible"), "customers"),
-                        ("flagged_customers", F.col("flagged"), "customers"),
-                        ("operating_threshold", F.lit(float(threshold)), "probability"),
-                    )
-                ]
-            )
-        )
+
+    def listed(frame: DataFrame, metrics: Sequence[tuple[str, Column, str]]) -> DataFrame:
+        parts = [F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"), F.lit(u).alias("unit")) for m, v, u in metrics]
+        return frame.select(F.inline(F.array(*parts)))
+
+    counts = listed(
+        row,
+        [
+            ("visible_customers", F.col("visible"), "customers"),
+            ("flagged_customers", F.col("flagged"), "customers"),
+            ("operating_threshold", F.lit(float(threshold)), "probability"),
+        ],
     )
+    if held_out is None:
+        return counts
+    quality = [
+        ("held_out_average_precision", F.col("average_precision"), "score"),
+        ("held_out_recall", F.col("recall"), "ratio"),
+        ("held_out_precision", F.col("precision"), "ratio"),
+    ]
+    return counts.unionByName(listed(held_out, quality))

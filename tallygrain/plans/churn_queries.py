@@ -177,6 +177,24 @@ def risk_counts(spark, folder):
     return cm.scope_counts(_predicted(spark, folder), threshold=0.6, regions=("ASIA",))
 
 
+# The scored documents play the test rows of the model.
+@CHURN.add(
+    "risk_metrics",
+    f"""SELECT 'visible_customers' AS metric, CAST(count(*) AS DOUBLE) AS value, 'customers' AS unit FROM ({PREDICTED_SQL}) WHERE region = 'ASIA'
+    UNION ALL SELECT 'flagged_customers', CAST(count(*) AS DOUBLE), 'customers' FROM ({PREDICTED_SQL})
+      WHERE region = 'ASIA' AND churn_probability >= 0.6
+    UNION ALL SELECT 'operating_threshold', 0.6::DOUBLE, 'probability'
+    UNION ALL SELECT 'held_out_average_precision', average_precision, 'score' FROM ({quality_sql()})
+    UNION ALL SELECT 'held_out_recall', round(CAST(recall AS DOUBLE), 9), 'ratio' FROM ({threshold_sql(0.5)})
+    UNION ALL SELECT 'held_out_precision', round(CAST("precision" AS DOUBLE), 9), 'ratio' FROM ({threshold_sql(0.5)})""",
+    SNAPSHOT_ROLES,
+)
+def risk_metrics(spark, folder):
+    held_out = cm.classification_metrics(_scored(spark, folder), "score", "quality")
+    rows = cm.scope_counts(_predicted(spark, folder), threshold=0.6, regions=("ASIA",), held_out=held_out)
+    return rounded(rows, 9, "value")
+
+
 DRAWN_SQL = f"""SELECT customer_id, churned_in_horizon, row_number() OVER (PARTITION BY churned_in_horizon
     ORDER BY md5(customer_id || ':42'), customer_id) AS place, count(*) OVER (PARTITION BY churned_in_horizon) AS n
   FROM ({SNAPSHOT_SQL})"""
