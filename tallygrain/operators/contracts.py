@@ -70,6 +70,19 @@ def structure(frames: Mapping[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+def structure_report(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """V1: per expected table its rows (null if the table is missing) and the columns it lacks, comma-joined."""
+    parts = []
+    for table, schema in SCHEMAS.items():
+        lacking = sorted(set(schema.fieldNames()) - set(frames[table].columns if table in frames else ()))
+        if table in frames:
+            counted = frames[table].agg(F.count("*").alias("rows"))
+        else:
+            counted = next(iter(frames.values())).sparkSession.range(1).select(F.lit(None).cast("long").alias("rows"))
+        parts.append(counted.select(F.lit(table).alias("table"), "rows", F.lit(",".join(lacking)).alias("missing_columns")))
+    return _union(parts)
+
+
 def key_rules(frame: DataFrame, table: str, key: str) -> DataFrame:
     """V2: null keys, and rows beyond the first of each key."""
     per_key = frame.groupBy(key).agg(F.count("*").alias("n"))

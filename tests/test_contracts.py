@@ -100,3 +100,10 @@ def test_pattern_audit_and_identity(spark):
     assert audit[("customers", "customer_name")] == 2
     row = contracts.identity_audit(t.subscriptions, "customer_id", "subscription_status").first()
     assert (row.rows, row.distinct_keys, row.repeated_rows, row.label_classes) == (5, 4, 1, 3)
+
+
+def test_structure_report_counts_rows_and_names_what_lacks(spark):
+    frames = {"customers": spark.createDataFrame([(1,), (2,)], "customer_id long")}
+    report = {r.table: r for r in contracts.structure_report(frames).collect()}
+    assert len(report) == 5 and report["customers"].rows == 2 and report["sales"].rows is None
+    assert "region" in report["customers"].missing_columns.split(",") and "sale_id" in report["sales"].missing_columns.split(",")
