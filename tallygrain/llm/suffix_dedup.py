@@ -9,8 +9,9 @@ class; a class of two or more repeats as it stands.
 What is left, classes that share an anchor but not their surroundings, is sorted: sampled splitters range-partition
 the suffixes by their leading bytes, each bucket orders them by multikey quicksort, eight bytes a key, and the common
 prefixes of neighbours give, at any depth, the suffixes that agree so far. The bytes before the anchors are ordered
-backwards in the same way. Anchors at the edge of a bucket may go on in the next one, so their windows are also
-compared across boundaries, by fingerprint, whatever the size of the group.
+backwards in the same way, once over all contexts and again in each bucket. Anchors at the edge of a bucket may go on
+in the next one, so those of their windows that some neighbour reaches on both sides are also compared across
+boundaries, by fingerprint, whatever the size of the group.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from tallygrain.llm.common import in_pieces, listed, narrow, range_columns, to_batch, written
 from tallygrain.llm.tokens import BYTE_CODES, Runs, anchors, slices, text_bytes
 
-_PAD = 0xFF  # no byte of UTF-8
 _SMALL = 48  # suffixes ordered without a further split
 
 _ANCHOR = pa.schema(
@@ -50,10 +50,12 @@ _CONTEXT = pa.schema(
         ("lo", pa.int32()),
         ("n", pa.int32()),
         ("suffix", pa.binary()),
-        ("before", pa.binary()),
+        ("back", pa.binary()),
     ]
 )
-_CONTEXT_DDL = "doc_id long, part int, h long, k long, lo int, n int, suffix binary, before binary"
+_CONTEXT_DDL = "doc_id long, part int, h long, k long, lo int, n int, suffix binary, back binary"
+_REACHED = _CONTEXT.append(pa.field("reach", pa.int32()))
+_REACHED_DDL = f"{_CONTEXT_DDL}, reach int"
 _VERDICT = pa.schema(
     [("doc_id", pa.int64()), ("part", pa.int32()), ("lo", pa.int32()), ("n", pa.int32()), ("k", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())]
 )
@@ -85,7 +87,7 @@ def _anchor_rows(window: int, gram: int):
 
 
 def _context_rows(window: int):
-    """Cut each listed context out of its text, at the anchor."""
+    """Cut each listed context out of its text, at the anchor; what stands before it is turned round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -93,23 +95,26 @@ def _context_rows(window: int):
                 whole, rows = text.as_py().encode(), contexts.as_py()
                 columns = {name: [r[name] for r in rows] for name in ("h", "k", "lo", "n")}
                 columns["suffix"] = [whole[r["lo"] + r["at"] : r["lo"] + r["n"] + window - 1] for r in rows]
-                columns["before"] = [whole[r["lo"] : r["lo"] + r["at"]] for r in rows]
+                columns["back"] = [whole[r["lo"] : r["lo"] + r["at"]][::-1] for r in rows]
                 yield to_batch(columns | {"doc_id": [doc_id.as_py()] * len(rows), "part": [part.as_py()] * len(rows)}, _CONTEXT)
 
     return run
 
 
 def _padded(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Strings as rows of bytes, padded to a whole number of keys, and their lengths."""
+    """Strings as rows of bytes, filled up with zeros to a whole number of keys, and their lengths."""
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     width = max(8, -(-int(lengths.max(initial=0)) // 8) * 8)
-    joined = b"".join(s.ljust(width, bytes([_PAD])) for s in strings)
+    joined = b"".join(s.ljust(width, b"\0") for s in strings)
     return np.frombuffer(joined, np.uint8).reshape(-1, width), lengths
 
 
-def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """Order of byte rows by multikey quicksort: split in three by one key of eight bytes, go deeper where it ties."""
-    keys = rows.view(">u8").astype(np.uint64)
+def multikey_order(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Order of byte rows by multikey quicksort: split in three by one key of eight bytes, go deeper where it ties.
+
+    The order is that of Spark's binary columns, a string before those that go on from it.
+    """
+    keys = np.column_stack((rows.view(">u8").astype(np.uint64), lengths.astype(np.uint64)))
     order = np.arange(len(rows))
     todo = [(0, len(rows), 0)]
     while todo:
@@ -143,7 +148,7 @@ class _Sorted:
 
     def __init__(self, strings: list[bytes]):
         rows, lengths = _padded(strings)
-        self.order = multikey_order(rows)
+        self.order = multikey_order(rows, lengths)
         self.shared = _common_prefixes(rows[self.order], lengths[self.order])
 
     def groups(self, depth: int) -> np.ndarray:
@@ -153,12 +158,32 @@ class _Sorted:
         return out
 
 
+    def reach(self) -> np.ndarray:
+        """The longest prefix that each string shares with another; all of it for the first and the last in order."""
+        longest = np.maximum(self.shared, np.append(self.shared[1:], 0))
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = longest
+        out[self.order[[0, -1]]] = np.iinfo(np.int32).max
+        return out
+
+
+def _reach_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add how far back each context agrees with another of its anchor."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = zip(rows.column("h").to_pylist(), rows.column("back").to_pylist(), strict=True)
+        reach = np.maximum(_Sorted([(h + (1 << 63)).to_bytes(8, "big") + back for h, back in keys]).reach() - 8, 0)
+        rows = rows.append_column("reach", pa.array(reach, pa.int32()))
+        yield from rows.to_batches(max_chunksize=20_000)
+
+
 def _settle_bucket(rows: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     """Windows of one bucket that repeat inside it (w1 null), and windows to compare across boundaries."""
-    suffixes, before = rows.column("suffix").to_pylist(), rows.column("before").to_pylist()
-    ids, parts, h, k, lo, n = (rows.column(name).to_numpy() for name in ("doc_id", "part", "h", "k", "lo", "n"))
-    right, left = _Sorted(suffixes), _Sorted([s[::-1] for s in before])
-    at = np.fromiter(map(len, before), np.int64, len(before))
+    suffixes, backs = rows.column("suffix").to_pylist(), rows.column("back").to_pylist()
+    ids, parts, h, k, lo, n, behind = (rows.column(name).to_numpy() for name in ("doc_id", "part", "h", "k", "lo", "n", "reach"))
+    right, left = _Sorted(suffixes), _Sorted(backs)
+    at = np.fromiter(map(len, backs), np.int64, len(backs))
     flagged = np.zeros((len(at), int(n.max())), bool)
     for back in range(int(at.max()) + 1):
         # The window that starts ``back`` bytes before the anchor, in all contexts that hold it.
@@ -178,14 +203,24 @@ def _settle_bucket(rows: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     yield to_batch(
         {"doc_id": ids[row], "part": parts[row], "lo": lo[row] + begin, "n": end - begin, "k": k[row], "w1": none, "w2": none}, _VERDICT
     )
-    edge = np.isin(h, [h[right.order[0]], h[right.order[-1]]])
-    for i in np.flatnonzero(edge):
-        codes = BYTE_CODES[np.frombuffer(before[i] + suffixes[i], np.uint8)]
-        start = np.arange(n[i])
-        found = {f"w{salt}": Runs(codes, salt).of(start, start + window).view(np.int64) for salt in (1, 2)}
-        found |= {"lo": lo[i] + start, "n": np.ones(n[i], int)}
-        found |= {name: np.full(n[i], values[i]) for name, values in (("doc_id", ids), ("part", parts), ("k", k))}
-        yield to_batch(found, _VERDICT)
+    # What repeats here already is sent on once, for the buckets beside; what does not, to be found in them, if on both
+    # sides it stays within what some other context shares.
+    ahead, sent = right.reach(), []
+    for i in np.flatnonzero(np.isin(h, [h[right.order[0]], h[right.order[-1]]])):
+        codes = BYTE_CODES[np.frombuffer(backs[i][::-1] + suffixes[i], np.uint8)]
+        settled = flagged[i, : n[i]] | (k[i] > 1)
+        back = at[i] - np.arange(n[i])
+        start = np.flatnonzero(settled | (back <= behind[i]) & (window - back <= ahead[i]))
+        prints = [Runs(codes, salt).of(start, start + window).view(np.int64) for salt in (1, 2)]
+        sent.append((np.full(len(start), i), start, *prints, settled[start]))
+    row, start, w1, w2, settled = (np.concatenate(part) for part in zip(*sent, strict=True))
+    order = np.lexsort((w2, w1, ~settled))
+    w1, w2, row, start, settled = w1[order], w2[order], row[order], start[order], settled[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = settled[1:] & (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+    row, start, w1, w2, settled = (x[~again] for x in (row, start, w1, w2, settled))
+    found = {"doc_id": ids[row], "part": parts[row], "lo": lo[row] + start, "n": np.ones(len(row), int)}
+    yield from in_pieces(found | {"k": 1 + settled.astype(np.int64), "w1": w1, "w2": w2}, _VERDICT)
 
 
 def _bucket_rows(window: int):
@@ -251,11 +286,12 @@ def suffix_dedup(
     texts = base.join(wanted, ["doc_id", "part"]).dropDuplicates(["doc_id", "part"])
     contexts = written(texts.select("doc_id", "part", "text", "contexts").mapInArrow(_context_rows(window), _CONTEXT_DDL))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = contexts.repartitionByRange(buckets, "suffix", "before")
+    reached = written(contexts.repartitionByRange(buckets, "h", "back", "doc_id", "lo").mapInArrow(_reach_rows, _REACHED_DDL))
+    ordered = reached.repartitionByRange(buckets, "suffix", "back", "doc_id", "lo")
     verdicts = written(ordered.mapInArrow(_bucket_rows(window), _VERDICT_DDL))
     inside = verdicts.where("w1 is null").select("doc_id", "part", "lo", "n")
     edge = verdicts.where("w1 is not null")
-    met = edge.groupBy("w1", "w2").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = edge.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     across = edge.where("k = 1").join(written(met.select("w1", "w2")), ["w1", "w2"]).select("doc_id", "part", "lo", "n")
     ranges = repeated.union(inside).union(across)
     cut = base.join(listed(ranges), ["doc_id", "part"], "left").select("doc_id", "text", "ranges")

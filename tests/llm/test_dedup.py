@@ -11,7 +11,7 @@ from tallygrain.llm.embedding_dedup import embedding_near_duplicates
 from tallygrain.llm.graph import components
 from tallygrain.llm.near_dedup import near_duplicates
 from tallygrain.llm.substring_dedup import substring_dedup
-from tallygrain.llm.suffix_dedup import multikey_order, suffix_dedup
+from tallygrain.llm.suffix_dedup import _padded, multikey_order, suffix_dedup
 
 DOCS = "doc_id long, text string, h string, lo int, node string"
 
@@ -131,9 +131,9 @@ def test_suffix_dedup_edges(spark):
 
 def test_multikey_order_sorts_bytes():
     draw = np.random.default_rng(1)
-    rows = draw.integers(0, 3, (3000, 24)).astype(np.uint8)
-    order = multikey_order(rows)
-    assert [bytes(r) for r in rows[order]] == sorted(bytes(r) for r in rows)
+    strings = [bytes(draw.integers(0, 3, draw.integers(0, 20)).astype(np.uint8)) for _ in range(3000)]
+    rows, lengths = _padded(strings)
+    assert [strings[i] for i in multikey_order(rows, lengths)] == sorted(strings)
 
 
 def shingle_texts():
