@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # Split a hot join key even where that costs one more shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may hold whole texts, and a Python worker has a batch of them in memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
