@@ -29,10 +29,11 @@ SAMPLE = 2_000  # training documents of a language, about
 ROUNDS = 2
 LONG = 40  # characters; longer words are scored but not learned from
 LONGEST = 16  # characters of a piece that is used
-REMEMBERED = 1 << 19  # words whose scores a task keeps
-_CELLS = 1 << 20  # of the table of forward sums
+REMEMBERED = 1 << 17  # words whose scores a task keeps
+_CELLS = 1 << 17  # of the table of forward sums
+_FILTER_BITS = 18  # of the table that turns away most fingerprints before they are looked up
 _LIFT = np.exp(4.0)  # factor for each character, so that sums stay within reach of doubles
-_TINY, _HUGE = 1e-150, 1e150
+_HUGE = 1e120  # where sums are brought back, and from its inverse
 _MARK = "▁"  # fixed value: the vocabulary's sign for the start of a word
 
 _COUNT = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("expected", pa.float64())])
@@ -51,122 +52,114 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str]):
         self.unknown = len(pieces)  # number of the piece that stands for any character without one
+        self.none = len(pieces) + 1  # where no piece stands
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         runs = Runs(self._codes("".join(pieces)))
         begins = np.cumsum(sizes) - sizes
         self.tables = {}
-        for size in np.unique(sizes).tolist():
+        for size in np.unique(np.append(sizes, 1)).tolist():
             own = np.flatnonzero(sizes == size)
             prints = runs.grams(size)[begins[own]]
             order = np.argsort(prints)
-            self.tables[size] = prints[order], own[order]
+            maybe = np.zeros(1 << _FILTER_BITS, bool)
+            maybe[self._slot(prints)] = True
+            self.tables[size] = prints[order], own[order], maybe
+        self.lift = np.append(_LIFT**sizes, [_LIFT, 0.0])[:, None]
 
     @staticmethod
     def _codes(text: str) -> np.ndarray:
         return mix(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, begin, end and number of every piece that stands somewhere in a word, by end and word."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words)), lengths)
-        place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        runs, rows = Runs(self._codes("".join(words))), []
-        alone = np.ones(len(word), bool)
-        for size, (prints, numbers) in self.tables.items():
-            grams = runs.grams(size)
-            inside = np.flatnonzero(place[: len(grams)] + size <= lengths[word[: len(grams)]])
-            at = np.searchsorted(prints, grams[inside]).clip(max=len(prints) - 1)
-            known = prints[at] == grams[inside]
-            rows.append((inside[known], np.full(known.sum(), size), numbers[at[known]]))
-            if size == 1:
-                alone[inside[known]] = False
-        strange = np.flatnonzero(alone)
-        rows.append((strange, np.ones(len(strange), np.int64), np.full(len(strange), self.unknown)))
-        at, size, number = (np.concatenate(part) for part in zip(*rows, strict=True))
-        order = np.lexsort((word[at], place[at] + size))
-        at, size, number = at[order], size[order], number[order]
-        return word[at], place[at], place[at] + size, number
+    @staticmethod
+    def _slot(prints: np.ndarray) -> np.ndarray:
+        return (prints >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+    def lifted(self, chances: np.ndarray) -> np.ndarray:
+        """Chances by piece, times a factor for each of its characters, and none where no piece stands."""
+        return np.concatenate((chances, np.zeros((1, chances.shape[1])))) * self.lift
+
+    def found(self, words: list[str]) -> dict[int, np.ndarray]:
+        """For words of one length, the number of the piece of each size at each place: a row a place, a column a word."""
+        length = len(words[0])
+        runs, out = Runs(self._codes("".join(words))), {}
+        for size, (prints, numbers, maybe) in self.tables.items():
+            if size > length:
+                break
+            grams = np.zeros(len(words) * length, np.uint64)
+            held = runs.grams(size)
+            grams[: len(held)] = held
+            grams = grams.reshape(len(words), length)[:, : length - size + 1].T.ravel()
+            number = np.full(len(grams), self.unknown if size == 1 else self.none)
+            likely = np.flatnonzero(maybe[self._slot(grams)])
+            if len(likely):
+                at = np.searchsorted(prints, grams[likely]).clip(max=len(prints) - 1)
+                known = prints[at] == grams[likely]
+                number[likely[known]] = numbers[at[known]]
+            out[size] = number.reshape(length - size + 1, len(words))
+        return out
 
 
 def _by_length(words: list[str]) -> Iterator[np.ndarray]:
-    """Numbers of the words, in groups of like length."""
+    """Numbers of the words, in groups of one length and bounded size."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
-    begin = 0
-    while begin < len(words):
-        end = begin + 1
-        room = _CELLS // (int(lengths[order[begin]]) * 2 + 2)
-        end = max(end, min(begin + room, int(np.searchsorted(lengths[order], 2 * lengths[order[begin]], "right"))))
-        yield order[begin:end]
-        begin = end
-
-
-def _forward(lengths: np.ndarray, arcs, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums by word, place and language, lifted by a factor for each character; and the log of other factors."""
-    word, begin, end, number = arcs
-    longest = int(lengths.max())
-    sums = np.zeros((len(lengths), longest + 1, chances.shape[1]))
-    sums[:, 0] = 1
-    scale = np.zeros((len(lengths), chances.shape[1]))
-    edges = np.searchsorted(end, np.arange(1, longest + 2))
-    weight = chances * 1.0
-    for stop in range(1, longest + 1):
-        a, b = edges[stop - 1], edges[stop]
-        lift = _LIFT ** (stop - begin[a:b])
-        flow = sums[word[a:b], begin[a:b]] * weight[number[a:b]] * lift[:, None]
-        first = np.flatnonzero(np.diff(word[a:b], prepend=-1))
-        here = word[a:b][first]
-        sums[here, stop] = np.add.reduceat(flow, first, axis=0)
-        low = sums[here, stop] < _TINY
-        if low.any():
-            row, lang = np.nonzero(low)
-            row = here[row]
-            reach = max(0, stop - LONGEST)
-            for place in range(reach, stop + 1):
-                sums[row, place, lang] *= _HUGE
-            scale[row, lang] -= np.log(_HUGE)
+    edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        room = max(1, _CELLS // (int(lengths[order[a]]) + 1))
+        for begin in range(a, b, room):
+            yield order[begin : min(begin + room, b)]
+
+
+def _forward(found: dict[int, np.ndarray], lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums by place, word and language, lifted by a factor for each character; and the log of other factors."""
+    length, count = found[1].shape
+    sums = np.zeros((length + 1, count, lifted.shape[1]))
+    sums[0] = 1
+    scale = np.zeros(sums.shape[1:])
+    for stop in range(1, length + 1):
+        for size, number in found.items():
+            if size <= stop:
+                sums[stop] += sums[stop - size] * lifted[number[stop - size]]
+        for far, factor in ((sums[stop] < 1 / _HUGE, _HUGE), (sums[stop] > _HUGE, 1 / _HUGE)):
+            if far.any():
+                sums[max(0, stop - LONGEST) : stop + 1, far] *= factor
+                scale[far] -= np.log(factor)
     return sums, scale
 
 
 def word_scores(words: list[str], vocabulary: Vocabulary, chances: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language, over all its segmentations."""
     out = np.empty((len(words), chances.shape[1]))
+    lifted = vocabulary.lifted(chances)
     for own in _by_length(words):
         part = [words[i] for i in own]
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        sums, scale = _forward(lengths, vocabulary.arcs(part), chances)
-        total = sums[np.arange(len(part)), lengths]
-        out[own] = np.log(np.maximum(total, 1e-300)) + scale - lengths[:, None] * np.log(_LIFT)
+        sums, scale = _forward(vocabulary.found(part), lifted)
+        out[own] = np.log(np.maximum(sums[-1], 1e-300)) + scale - len(part[0]) * np.log(_LIFT)
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, vocabulary: Vocabulary, chances: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in the words under one language's chances."""
-    out = np.zeros(len(chances))
+    out = np.zeros(len(chances) + 1)
+    lifted = vocabulary.lifted(chances[:, None])
     for own in _by_length(words):
         part = [words[i] for i in own]
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        arcs = word, begin, end, number = vocabulary.arcs(part)
-        sums = _forward(lengths, arcs, chances[:, None])[0][:, :, 0]
+        found = vocabulary.found(part)
+        sums = _forward(found, lifted)[0][:, :, 0]
         back = np.zeros_like(sums)
-        back[np.arange(len(part)), lengths] = 1
-        lifted = chances[number] * _LIFT ** (end - begin)
-        order = np.lexsort((word, -begin))
-        edges = np.searchsorted(-begin[order], -np.arange(int(lengths.max()) - 1, -2, -1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            arc = order[a:b]
-            if len(arc):
-                first = np.flatnonzero(np.diff(word[arc], prepend=-1))
-                flow = back[word[arc], end[arc]] * lifted[arc]
-                back[word[arc][first], begin[arc[0]]] = np.add.reduceat(flow, first)
-        total = sums[np.arange(len(part)), lengths]
-        share = sums[word, begin] * lifted * back[word, end] / total[word]
-        out += np.bincount(number, share * counts[own][word], len(chances))
-    return out
+        back[-1] = 1
+        share = counts[own] / sums[-1]
+        for start in reversed(range(len(part[0]))):
+            for size, number in found.items():
+                if start < len(number):
+                    flow = lifted[number[start], 0] * back[start + size]
+                    back[start] += flow
+                    out += np.bincount(number[start], sums[start] * flow * share, len(out))
+    return out[:-1]
 
 
 def _split(text: str) -> list[str]:
-    return [_MARK + word for word in text.lower().split()]
+    return text.lower().split()
 
 
 @dataclass
@@ -217,10 +210,10 @@ def train_language_model(
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             names, now = model.value
             vocabulary = Vocabulary(known.value)
-            for batch in slices(batches):
+            for batch in slices(batches, 1 << 20):
                 for place, lang in enumerate(names):
                     own = batch.filter(pc.equal(batch.column("lang"), lang)).column("text").to_pylist()
-                    words = [word for text in own for word in _split(text) if len(word) <= LONG]
+                    words = [_MARK + word for text in own for word in _split(text) if len(word) <= LONG]
                     if not words:
                         continue
                     unique, count = np.unique(np.array(words, object), return_counts=True)
@@ -249,7 +242,7 @@ class _Scorer:
         new = sorted(words - self.known.keys())
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.scores = np.concatenate((self.scores, word_scores(new, self.vocabulary, self.chances)))
+            self.scores = np.concatenate((self.scores, word_scores([_MARK + word for word in new], self.vocabulary, self.chances)))
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and its probability for each text."""
@@ -284,7 +277,7 @@ def identify_language(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(*shared.value)
-        for batch in slices(batches, column=f"c{place}"):
+        for batch in slices(batches, 1 << 20, f"c{place}"):
             langs, chances = scorer.judge(batch.column(place).to_pylist())
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(chances, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
