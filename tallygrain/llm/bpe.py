@@ -153,9 +153,11 @@ def bpe_encode(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
-        for batch in slices(batches):
-            ids = [codec.encode(text) if text else [] for text in batch.column("text").to_pylist()]
-            yield to_batch({"doc_id": batch.column("doc_id"), "ids": ids}, _IDS)
+        for batch in slices(batches, 1 << 20):
+            ids = [np.array(codec.encode(text.as_py() or ""), np.int32) for text in batch.column("text")]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema=_IDS)
 
     narrow = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
     return narrow.mapInArrow(run, "doc_id long, ids array<int>")
@@ -168,12 +170,12 @@ def bpe_decode(encoded: DataFrame, *, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                ids = part.column("ids").to_pylist()
-                sizes = np.fromiter((len(x or ()) for x in ids), np.int64, len(ids))
-                decoded = [codec.decode(x or []) for x in ids]
-                yield to_batch({"doc_id": part.column("doc_id"), "n_tokens": sizes, "ids": part.column("ids"), "decoded": decoded}, _BYTES)
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
+                lists = part.column("ids")
+                ids = [np.zeros(0, np.int32) if x.values is None else x.values.to_numpy() for x in lists]
+                rows = {"doc_id": part.column("doc_id"), "n_tokens": [len(x) for x in ids], "ids": lists}
+                yield to_batch(rows | {"decoded": [codec.decode(x.tolist()) for x in ids]}, _BYTES)
 
     narrow = encoded.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{ids_col}` as array<int>) as ids")
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded binary")
