@@ -14,12 +14,14 @@ from tallygrain.llm.decontamination import decontaminate
 from tallygrain.llm.language_id import UNDETERMINED, identify_language, train_language_model
 from tallygrain.llm.near_dedup import near_duplicates
 from tallygrain.llm.pii import redact, train_spans
+from tallygrain.session import configure
 
 LANGUAGE_SCORE = 0.5  # a text of which no language is likelier than this is rejected
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose text is in a known language, and put that language in ``lang``."""
+    configure(spark)
     model = train_language_model(docs, vocabulary_path=public_tokenizers.path("piece_bpe_32k.model"))
     judged = identify_language(docs, model, lang_col="_lang", score_col="_score")
     kept = judged.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= LANGUAGE_SCORE))
@@ -28,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, and rows without id."""
+    configure(spark)
     groups = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     first = docs.join(written(groups), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.union(docs.where("doc_id is null")).select(docs.columns)
@@ -35,17 +38,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark item."""
+    configure(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by its kind, and count characters anew."""
+    configure(spark)
     cleaned = redact(docs, train_spans(docs))
     return cleaned.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that decoding them gives."""
+    configure(spark)
     vocabulary = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     decoded = bpe_decode(bpe_encode(docs, **vocabulary), **vocabulary)
     return decoded.select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
