@@ -59,15 +59,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text, or one row where a text is longer."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
-        begin = 0
-        while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, "right")) - 1)
-            yield batch.slice(begin, end - begin)
-            begin = end
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, "right")) - 1)
+                yield batch.slice(begin, end - begin)
+                begin = end
+    finally:
+        # The worker lives on for later tasks; what this one's texts took goes back.
+        pa.default_memory_pool().release_unused()
 
 
 def lower(data: np.ndarray) -> np.ndarray:
