@@ -1,9 +1,13 @@
 """Near-duplicate vectors: spherical k-means cells, cosine products in blocks, one vector kept of each group.
 
 Centroids are fitted on a bounded sample. Every distinct vector is at home in the cell of its nearest centroid, and a
-guest in each cell whose border is near: two vectors at the threshold lie on both sides of a border only if it passes
-close by, unless they differ straight across it. In a cell the home vectors are compared with all of its vectors, in
-blocks of bounded size; a pair that two cells see is counted in one of them. Equal vectors are one until the end.
+guest in each cell whose border is near. The border of two cells is the plane between their centroids: of two vectors at
+the threshold that it parts, one lies within half their angle of it, so no link is missed. In a cell the home vectors
+are compared with all of its vectors, in blocks of bounded size; a pair that two cells see is counted in one of them.
+Equal vectors are one until the end.
+
+Where differences spread over many dimensions most borders are near, and more cells mean more copies for few pairs less;
+how many cells there are is therefore chosen by an estimate of both on the sample, one cell for all included.
 """
 
 from __future__ import annotations
@@ -21,11 +25,14 @@ from tallygrain.llm.common import to_batch, written
 from tallygrain.llm.graph import components
 
 SAMPLE = 16_384  # vectors that the centroids are fitted on, about
-CELL = 512  # distinct vectors of a cell, about
+CELL = 512  # distinct vectors of the smallest cells that are tried, about
 MOST_CELLS = 1_024
 STEPS = 12  # of k-means
-MARGIN = 2.0  # standard deviations of a random difference, on either side of a border, that still reach over it
+TRIED = 2_048  # vectors of the sample by which a number of cells is judged
+COPY = 2_048  # products that cost as much as one more copy of a vector, about
 BLOCK = 1_024  # vectors on either side of one product
+MOST_ROWS, MOST_NUMBERS = 8_192, 1 << 22  # vectors, and numbers in them, on either side of what a task holds at a time
+SLACK = 1e-7  # beyond the rounding of distances to a border
 
 _PLACED = [
     ("node", pa.int64()),
@@ -61,7 +68,7 @@ def spherical_kmeans(rows: np.ndarray, cells: int, seed: int = 3) -> np.ndarray:
     return centroids
 
 
-def _fit(classes: DataFrame, sample: int) -> dict[int, np.ndarray]:
+def _fit(classes: DataFrame, sample: int, cosine: float) -> dict[int, np.ndarray]:
     """Centroids for each vector length, from about ``sample`` distinct vectors picked by hash."""
     sizes = {row.dim: row.n for row in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
@@ -75,19 +82,35 @@ def _fit(classes: DataFrame, sample: int) -> dict[int, np.ndarray]:
     for dim, count in sizes.items():
         own = rows.filter(pc.equal(rows.column("dim"), dim))
         if own.num_rows:
-            out[dim] = spherical_kmeans(_unit(own.column("vector")), min(MOST_CELLS, max(1, count // CELL)))
+            out[dim] = _cheapest(_unit(own.column("vector")), count, cosine)
     return out
 
 
+def _cheapest(rows: np.ndarray, count: int, cosine: float) -> np.ndarray:
+    """Centroids of as many cells as make copies and products of ``count`` vectors cheapest, judged on some ``rows``."""
+    best, least, cells = None, np.inf, min(MOST_CELLS, max(1, count // CELL))
+    held = max(BLOCK, min(MOST_ROWS, MOST_NUMBERS // rows.shape[1]))
+    while True:
+        centroids = spherical_kmeans(rows, cells)
+        home, inside = _cells(rows[:TRIED], centroids, cosine)
+        homes, members = (x * count / len(home) for x in (np.bincount(home, minlength=len(centroids)), inside.sum(axis=0)))
+        copies = (homes * np.ceil(members / held) + members * np.ceil(homes / held)).sum()
+        cost = COPY * copies + (homes * members).sum()
+        if cost < least:
+            best, least = centroids, cost
+        if cells == 1:
+            return best
+        cells = max(1, cells // 4)
+
+
 def _cells(rows: np.ndarray, centroids: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each vector, and for every vector and cell whether it lives there or near its border."""
     near = rows @ centroids.T
     home = near.argmax(axis=1)
     own = centroids[home]
     gap = np.sqrt(np.maximum(2 - 2 * (own @ centroids.T), 1e-30))
-    border = (near[np.arange(len(rows)), home][:, None] - near) / gap
-    reach = np.sqrt(max(0.0, 1 - cosine * cosine)) * min(1.0, MARGIN / np.sqrt(rows.shape[1]))
-    inside = border <= reach
+    reach = np.sqrt(max(0.0, (1 - cosine) / 2))
+    inside = near[np.arange(len(rows)), home][:, None] - near <= reach * gap + SLACK
     inside[np.arange(len(rows)), home] = True
     return home, inside
 
@@ -105,6 +128,28 @@ def _roots(rows: np.ndarray, columns: np.ndarray, count: int) -> np.ndarray:
             return root
 
 
+def _close(left: np.ndarray, right: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs at the threshold, block by block.
+
+    Products are taken in single precision; those that its rounding leaves open are taken again in double precision.
+    """
+    doubt = (left.shape[1] + 4) * 1.2e-7
+    many = max(1, MOST_NUMBERS // left.shape[1])
+    short_left, short_right = left.astype(np.float32), right.astype(np.float32)
+    for x in range(0, len(left), BLOCK):
+        for y in range(0, len(right), BLOCK):
+            product = short_left[x : x + BLOCK] @ short_right[y : y + BLOCK].T
+            i, j = np.nonzero(product >= np.float32(cosine - doubt))
+            good = product[i, j] > cosine + doubt
+            open_ = np.flatnonzero(~good)
+            i, j = i + x, j + y
+            for k in range(0, len(open_), many):
+                part = open_[k : k + many]
+                good[part] = np.einsum("ij,ij->i", left[i[part]], right[j[part]]) >= cosine
+            if good.any():
+                yield i[good], j[good]
+
+
 def _compare(cosine: float):
     def run(group: pa.Table) -> pa.Table:
         left = group.filter(pc.equal(group.column("side"), 0))
@@ -112,24 +157,29 @@ def _compare(cosine: float):
         if not left.num_rows or not right.num_rows:
             return _FOUND.empty_table()
         cell = group.column("cell")[0].as_py()
-        close = _unit(left.column("vector")) @ _unit(right.column("vector")).T >= cosine
-        i, j = np.nonzero(close)
         a, b = left.column("node").to_numpy(), right.column("node").to_numpy()
-        # Both at home here: each pair shows up twice, so one order counts. A guest's pair may also show up at its home.
-        guest_home = right.column("home").to_numpy()[j]
-        visits = left.column("cells").to_pylist()
-        both = guest_home == cell
-        elsewhere = np.fromiter((h < cell and h in visits[x] for x, h in zip(i.tolist(), guest_home.tolist(), strict=True)), bool, len(i))
-        counted = np.where(both, a[i] < b[j], ~elsewhere)
-        i, j = i[counted], j[counted]
-        if not len(i):
-            return _FOUND.empty_table()
+        n_left, n_right = left.column("n").to_numpy(), right.column("n").to_numpy()
+        guest_homes = right.column("home").to_numpy()
+        visited = left.column("cells").combine_chunks()
+        flat = visited.flatten().to_numpy()
+        visits = np.zeros((len(a), 1 + max(flat.max(), guest_homes.max())), bool)
+        visits[np.repeat(np.arange(len(a)), pc.list_value_length(visited).to_numpy()), flat] = True
         nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-        links = np.bincount(place[i], right.column("n").to_numpy()[j], len(nodes))
-        links += np.bincount(place[len(a) + j], left.column("n").to_numpy()[i], len(nodes))
-        root = _roots(place[i], place[len(a) + j], len(nodes))
+        links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        for i, j in _close(_unit(left.column("vector")), _unit(right.column("vector")), cosine):
+            # Both at home here: each pair shows up twice, so one order counts. A guest's pair may also show up at its home.
+            guest_home = guest_homes[j]
+            elsewhere = (guest_home < cell) & visits[i, guest_home]
+            counted = np.where(guest_home == cell, a[i] < b[j], ~elsewhere)
+            i, j = i[counted], j[counted]
+            if not len(i):
+                continue
+            p, q = place[i], place[len(a) + j]
+            links += np.bincount(p, n_right[j], len(nodes)).astype(np.int64)
+            links += np.bincount(q, n_left[i], len(nodes)).astype(np.int64)
+            root = _roots(np.concatenate((p, np.arange(len(nodes)))), np.concatenate((q, root)), len(nodes))
         used = np.flatnonzero(links)
-        return pa.Table.from_batches([to_batch({"node": nodes[used], "links": links[used].astype(np.int64), "root": nodes[root[used]]}, _FOUND)])
+        return pa.Table.from_batches([to_batch({"node": nodes[used], "links": links[used], "root": nodes[root[used]]}, _FOUND)])
 
     return run
 
@@ -145,7 +195,7 @@ def embedding_near_duplicates(
     Vectors that are null, empty, zero, or hold null or non-finite parts link with nothing, nor does a row without id,
     which is kept under a null component. Vectors of another length never link. An id with several vectors is one
     member of its group and has the links of all of them. Other columns are not read. An empty table gives an empty
-    result. Links at the threshold can be missed where two vectors differ straight across a cell border.
+    result.
     """
     # Vectors travel as they came, in single precision where that is what they are; products are in double precision.
     kind = "float" if vectors.schema[vector_col].dataType == ArrayType(FloatType(), True) else "double"
@@ -155,7 +205,7 @@ def embedding_near_duplicates(
     able = F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))
     grouped = rows.where(able).groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
     classes = written(grouped.select("vector", "node", "n", F.size("vector").alias("dim")))
-    shared = vectors.sparkSession.sparkContext.broadcast(_fit(classes, sample))
+    shared = vectors.sparkSession.sparkContext.broadcast(_fit(classes, sample, cosine))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,16 +220,17 @@ def embedding_near_duplicates(
                     else:
                         home, inside = _cells(rows, centroids, cosine)
                     row, cell = np.nonzero(inside)
-                    lists = [np.flatnonzero(x).tolist() for x in inside]
+                    # Only the row at home says which cells its vector visits.
+                    lists = [np.flatnonzero(x) for x in inside]
                     columns = {name: part.column(name).take(pa.array(row)) for name in ("node", "n", "dim", "vector")}
-                    columns |= {"cell": cell, "home": home[row], "cells": [lists[x] for x in row]}
+                    columns |= {"cell": cell, "home": home[row], "cells": [lists[x] if home[x] == c else None for x, c in zip(row, cell)]}
                     yield to_batch(columns, schema)
 
     placed = written(classes.mapInArrow(place, f"{_PLACED_DDL}, vector array<{kind}>"))
     at_home = F.col("home") == F.col("cell")
-    sizes = placed.groupBy("dim", "cell").agg(
-        F.ceil(F.sum(at_home.cast("int")) / BLOCK).cast("int").alias("homes"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all")
-    )
+    held = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_ROWS), F.floor(F.lit(MOST_NUMBERS) / F.col("dim"))))
+    sizes = placed.groupBy("dim", "cell").agg(F.sum(at_home.cast("int")).alias("homes"), F.count(F.lit(1)).alias("all"))
+    sizes = sizes.select("dim", "cell", *[F.ceil(F.col(c) / held).cast("int").alias(c) for c in ("homes", "all")])
     # A row for each cell at most, a few thousand.
     cut = placed.join(F.broadcast(sizes), ["dim", "cell"])
     spot = F.xxhash64("node", "vector")

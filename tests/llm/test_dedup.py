@@ -232,3 +232,19 @@ def test_vector_links_are_found_across_cells(small, spark):
     true = sum(int((rows[i : i + 1000] @ rows.T >= 0.9).sum()) for i in range(0, 8000, 1000)) - 8000
     found = sum(r.n_links for r in embedding_near_duplicates(frame, sample=2000).collect())
     assert 0.99 * true <= found <= true
+
+
+def test_vectors_of_few_inner_dimensions_lose_no_link(spark):
+    # Differences lie in 8 of 64 dimensions, so many pairs differ straight across a border.
+    draw = np.random.default_rng(10)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    base = unit(draw.normal(size=(4000, 8)))
+    turn = draw.normal(size=(4000, 8))
+    turn = unit(turn - (turn * base).sum(axis=1)[:, None] * base)
+    plane = np.linalg.qr(draw.normal(size=(64, 8)))[0]
+    rows = np.concatenate((base, 0.91 * base + np.sqrt(1 - 0.91**2) * turn)) @ plane.T
+    close = rows @ rows.T >= 0.9
+    root = smallest_reachable(range(8000), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(close, 1)))])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = embedding_near_duplicates(frame, sample=2000).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(close[i].sum()) - 1, root[i]) for i in root}
