@@ -231,28 +231,10 @@ def stratified_folds(spark, folder):
     return cm.stratified_folds(snapshot(spark, folder).select(KEY, LABEL), KEY, LABEL)
 
 
-# Learners depend on their own random numbers: rows only. The two queries that grow trees grow fewer and smaller ones
-# than the defaults, as hundreds of boosting rounds for each of sixty fits take hours here; the logistic ones run whole.
-SMALL = TrainingConfig(
-    folds=2,
-    tuning_iterations=2,
-    importance_repeats=2,
-    base={
-        "logistic_regression": {"C": 1.0},
-        "random_forest": {"numTrees": 20, "minInstancesPerNode": 5, "maxDepth": 6, "featureSubsetStrategy": "sqrt"},
-        "gradient_boosting": {"stepSize": 0.1, "maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 20},
-    },
-    spaces={
-        "logistic_regression": {"C": (0.1, 1.0, 10.0)},
-        "random_forest": {"numTrees": (20, 30), "maxDepth": (5, 8)},
-        "gradient_boosting": {"maxIter": (5, 8), "maxDepth": (3, 4)},
-    },
-)
-
-
+# Learners depend on their own random numbers: rows only. All run with the defaults of ``TrainingConfig``.
 def _folded(spark, folder):
     rows = materialize(snapshot(spark, folder))
-    return materialize(cm.stratified_folds(rows, KEY, LABEL, folds=SMALL.folds))
+    return materialize(cm.stratified_folds(rows, KEY, LABEL, folds=TrainingConfig().folds))
 
 
 def _logistic_scores(spark, folder):
@@ -263,8 +245,9 @@ def _logistic_scores(spark, folder):
 
 @CHURN.add("cross_validation")
 def cross_validation(spark, folder):
-    trials = {name: (name, SMALL.base.get(name)) for name in models.CANDIDATES}
-    scored = models.out_of_fold(_folded(spark, folder), trials, folds=SMALL.folds)
+    config = TrainingConfig()
+    trials = {name: (name, config.base.get(name)) for name in config.candidates}
+    scored = models.out_of_fold(_folded(spark, folder), trials, folds=config.folds, seed=config.seed, parallelism=config.parallelism)
     return models.cross_validation(materialize(scored))
 
 
@@ -305,5 +288,5 @@ def permutation_importance(spark, folder):
 @CHURN.add("train_churn_model")
 def train_churn_model(spark, folder):
     """The held-out metrics of the whole workflow."""
-    result = models.train(materialize(snapshot(spark, folder)), SMALL)
+    result = models.train(materialize(snapshot(spark, folder)), TrainingConfig())
     return result.held_out.withColumn("selected", F.lit(result.selected))

@@ -175,3 +175,24 @@ def test_training_config_is_checked():
     for bad in ({"test_size": 0.5}, {"folds": 1}, {"minimum_recall": 0}, {"candidates": ("dummy",)}):
         with pytest.raises(ValueError):
             TrainingConfig(**bad)
+
+
+def test_registered_learners_run_the_whole_job(spark, small, monkeypatch):
+    from tallygrain.plans import churn_queries
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args, **named):
+        raise Seen(args[1:], named)
+
+    monkeypatch.setattr(models, "out_of_fold", stop)
+    whole = TrainingConfig()
+    with pytest.raises(Seen) as seen:
+        churn_queries.cross_validation(spark, small)
+    (trials,), named = seen.value.args
+    assert trials == {n: (n, whole.base.get(n)) for n in models.CANDIDATES} and named["folds"] == whole.folds
+    monkeypatch.setattr(models, "train", stop)
+    with pytest.raises(Seen) as seen:
+        churn_queries.train_churn_model(spark, small)
+    assert seen.value.args[0] == (whole,)
