@@ -89,7 +89,8 @@ def _sketch_rows(size: int):
             hashes, edges = _shingles(batch, size)
             registers = _registers(hashes, edges)
             count = np.diff(edges)
-            sums = [np.concatenate(([0], np.cumsum(mix(hashes ^ np.uint64(salt))))).astype(np.uint64) for salt in (3, 5)]
+            # In whole numbers throughout: sums wrap around, and so do their differences.
+            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(salt)), dtype=np.uint64))) for salt in (3, 5)]
             yield to_batch(
                 {
                     "doc_id": batch.column("doc_id"),

@@ -5,11 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallygrain.llm.embedding_dedup import embedding_near_duplicates
 from tallygrain.llm.graph import components
-from tallygrain.llm.near_dedup import near_duplicates
+from tallygrain.llm.near_dedup import _sketch_rows, near_duplicates
 from tallygrain.llm.substring_dedup import substring_dedup
 from tallygrain.llm.suffix_dedup import _padded, multikey_order, suffix_dedup
 
@@ -248,3 +249,13 @@ def test_vectors_of_few_inner_dimensions_lose_no_link(spark):
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
     got = embedding_near_duplicates(frame, sample=2000).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(close[i].sum()) - 1, root[i]) for i in root}
+
+
+def test_equal_sets_have_equal_fingerprints_wherever_they_lie():
+    texts = [f"a b c d e f g {i % 3}" for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(300), "text": texts, "part": pa.array([0] * 300, pa.int32())})
+    found = {}
+    for out in _sketch_rows(5)(iter([batch])):
+        for row in out.to_pylist():
+            found.setdefault(texts[row["doc_id"]], set()).add((row["f1"], row["f2"]))
+    assert [len(x) for x in found.values()] == [1, 1, 1]
