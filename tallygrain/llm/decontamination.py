@@ -119,14 +119,15 @@ def tiles(in_text: np.ndarray, in_item: np.ndarray, seed: int) -> list[tuple[int
     return found
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """Ids and texts of the items, in blocks of about ``BLOCK_BYTES``."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list, list]]:
+    """Ids and texts of the distinct items and how many rows each has, in blocks of about ``BLOCK_BYTES``."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = items.distinct().agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        yield [row.item_id for row in rows], [row.text for row in rows]
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        rows = own.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("n")).collect()
+        yield [row.item_id for row in rows], [row.text for row in rows], [row.n for row in rows]
 
 
 def _covered(items: Items, batch: pa.RecordBatch, text_col: str, coverage: float) -> Iterator[tuple[int, int, list]]:
@@ -161,13 +162,14 @@ def contamination(
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for ids, texts in _blocks(benchmark, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast((ids, texts))
+    for ids, texts, counts in _blocks(benchmark, item_id_col, item_text_col):
+        shared = spark.sparkContext.broadcast((ids, texts, counts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, seed)
+            *known, counts = shared.value
+            items = Items(*known, seed)
             for batch in slices(batches):
-                rows = {name: [] for name in _MATCH.names}
+                rows, times = {name: [] for name in _MATCH.names}, []
                 for text, item, found in _covered(items, batch, "text", coverage):
                     rows["doc_id"].append(batch.column("doc_id")[text].as_py())
                     rows["item_id"].append(items.ids[item])
@@ -175,7 +177,10 @@ def contamination(
                     rows["n_tiles"].append(len(found))
                     rows["longest_tile"].append(found[0][2])
                     rows["n_item_words"].append(int(items.sizes[item]))
-                yield to_batch(rows, _MATCH)
+                    times.append(counts[item])
+                matches, repeated = to_batch(rows, _MATCH), np.repeat(np.arange(len(times)), times)
+                for begin in range(0, len(repeated), 50_000):
+                    yield matches.take(pa.array(repeated[begin : begin + 50_000]))
 
         part = narrow.mapInArrow(run, _MATCH_DDL)
         out = part if out is None else out.union(part)
@@ -194,7 +199,7 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no item contaminates; see ``contamination``."""
     name = f"c{docs.columns.index(text_col)}"
-    for ids, texts in _blocks(benchmark, item_id_col, item_text_col):
+    for ids, texts, _ in _blocks(benchmark, item_id_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallygrain.llm import bpe, language_id, pii, quality
-from tallygrain.llm.decontamination import Items, contamination, decontaminate, tiles
+from tallygrain.llm.decontamination import Items, _blocks, contamination, decontaminate, tiles
 from tallygrain.llm.queries import QUERIES
 from tallygrain.llm.url_filter import Automaton, _canonical, url_filter
 
@@ -149,6 +149,16 @@ def test_contamination(spark):
     assert Items([], [], 5).sizes.tolist() == []
 
 
+def test_repeated_items_are_sent_once_and_give_repeated_pairs(spark):
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(8)) for i in (1, 2)}
+    bench = spark.createDataFrame([(1, texts[1])] * 40 + [(2, texts[2])], "item_id long, text string")
+    assert sorted(t for block in _blocks(bench, "item_id", "text") for t in block[1]) == sorted(texts.values())
+    docs = spark.createDataFrame([(7, f"{texts[1]} and {texts[2]}"), (8, "nothing of it")], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in contamination(docs, bench).collect()]
+    assert sorted(got) == [(7, 1)] * 40 + [(7, 2)]
+    assert [r.doc_id for r in decontaminate(docs, bench).collect()] == [8]
+
+
 def summed(word, pieces, chances):
     """Probability of a word over all segmentations, character by character."""
     total = [1.0] + [0.0] * len(word)
