@@ -12,12 +12,15 @@ from tallygrain.llm.bpe import bpe_decode, bpe_encode
 from tallygrain.llm.common import table
 from tallygrain.llm.decontamination import contamination
 from tallygrain.llm.embedding_dedup import embedding_near_duplicates
+from tallygrain.llm.filter_audit import document_failures, filter_interactions
 from tallygrain.llm.language_id import identify_language, train_language_model
 from tallygrain.llm.near_dedup import near_duplicates
+from tallygrain.llm.periodic_runs import periodic_runs
 from tallygrain.llm.pii import KINDS, personal_data, train_spans
 from tallygrain.llm.quality import score_quality, train_quality
 from tallygrain.llm.substring_dedup import substring_dedup
 from tallygrain.llm.suffix_dedup import suffix_dedup
+from tallygrain.llm.token_counts import token_counts
 from tallygrain.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +245,155 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(pii, x -> x.base and x.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in KINDS]
     base = F.sha2(_span_list("pii", "x.base").cast("binary"), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), _span_list("pii").alias("spans"))
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failures = document_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_interactions(failures, list("ABCDE"), part_col="part", marks=["good", "toxic"], count_col="n")
+
+
+SQL["op11_filter_audit"] = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+    FROM documents
+), marks AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failures AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 'E' ELSE '' END AS fails
+    FROM split LEFT JOIN marks USING (doc_id)
+), masks AS (
+    SELECT part, fails, good, toxic, count(*) AS n FROM failures GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters AS a JOIN letters AS b ON a.x <> b.x JOIN letters AS c ON c.x NOT IN (a.x, b.x)
+        JOIN letters AS d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters AS e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (
+    SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+    FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)
+), outcomes AS (
+    SELECT part, filter_order, step, own, n, good, toxic, fails = own AS only_own, contains(fails, own) AS hit,
+        translate(fails, before, '') <> fails AS gone
+    FROM masks JOIN steps ON true
+), counted AS (
+    SELECT part, filter_order, step, own,
+        sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN only_own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN hit AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN hit AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+    FROM outcomes GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
+
+
+@_query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents"), vocabulary_path=public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The words of each text, one in ten of the texts with a stretch that repeats to its end, by a checksum of the id."""
+    split = docs.select("doc_id", F.coalesce(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda word: word != ""), F.array()).alias("words"))
+    sized = split.select("doc_id", "words", F.size("words").alias("n"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    g = F.expr("h div 10")
+    first = F.when(F.col("n") > 0, g % F.col("n"))
+    period = F.expr("1 + (n - a) div (3 + h div 10 % 8)")
+    placed = sized.withColumn("a", first).withColumn("p", period)
+    repeated = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1),
+        lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")),
+    )
+    chosen = F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), repeated).otherwise(F.col("words"))
+    return placed.select("doc_id", F.array_join(chosen, " ").alias("text"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_made_periodic(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda x: F.struct(x.length.alias("n"), (-x.start).alias("s"), (-x.period).alias("p"))))
+    every = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x.start, x.length, x.period), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        F.col("longest.n").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.expr("1000 * longest.n div -longest.p").alias("exponent_milli"),
+        F.sha2(every.cast("binary"), 256).alias("runs_sha256"),
+        _sha256("collapsed").alias("collapsed_sha256"),
+    )
+
+
+#: Lengths of the word sequences that the SQL numbers, each twice the one before; periods up to the last are found.
+_LENGTHS = [1 << i for i in range(15)]
+
+
+def _grams_sql(size: int) -> str:
+    """Equal sequences of ``size`` words of one text get equal numbers, made from those of half the size."""
+    if size == 1:
+        return "g1 AS (SELECT doc_id, i, dense_rank() OVER (ORDER BY word) AS g FROM numbered)"
+    half = size // 2
+    return f"""g{size} AS (
+    SELECT doc_id, i, dense_rank() OVER (ORDER BY g, h) AS g
+    FROM (SELECT doc_id, i, g, lead(g, {half}) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM g{half}) WHERE h IS NOT NULL
+)"""
+
+
+def _stretches_sql(size: int) -> str:
+    """Stretches in which each sequence of ``size`` words comes again after q words, but not before."""
+    return f"""
+    SELECT doc_id, q, min(i) AS start, max(i) - min(i) + {size} + q AS length
+    FROM (
+        SELECT doc_id, i, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch
+        FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id, g ORDER BY i) - i AS q FROM g{size})
+        WHERE q <= {size} AND 2 * q > {size}
+    ) GROUP BY doc_id, q, stretch"""
+
+
+SQL["op13_periodic_runs"] = rf"""
+WITH split AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+        xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+            range(1, length(doc_id::VARCHAR) + 1),
+            lambda k: list_concat([ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+            lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c // 2, (c % 2) * 3988292384) END)) AS h
+    FROM documents
+), placed AS (
+    SELECT doc_id, words, len(words) AS n, h,
+        CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM split
+), shaped AS (
+    SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM placed
+), numbered AS (
+    SELECT doc_id, i, CASE WHEN h % 10 = 0 AND i >= a THEN words[1 + a + (i - a) % p] ELSE words[1 + i] END AS word
+    FROM (SELECT *, unnest(range(0, n)) AS i FROM shaped)
+), {", ".join(map(_grams_sql, _LENGTHS))},
+runs AS (
+    SELECT * FROM ({" UNION ALL ".join(map(_stretches_sql, _LENGTHS))}) WHERE length >= greatest(6, 4 * q)
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs, max({{'n': length, 's': -start, 'p': -q}}) AS longest,
+        string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS every
+    FROM runs GROUP BY doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM numbered ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, (-longest.s)::BIGINT AS start, longest.n::BIGINT AS length, (-longest.p)::BIGINT AS period,
+    (1000 * longest.n // -longest.p)::BIGINT AS exponent_milli, sha256(coalesce(every, '')) AS runs_sha256,
+    sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
