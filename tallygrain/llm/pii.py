@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import random
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ SAMPLE = 20_000  # documents that training spans are taken from, about
 MOST_SPANS = 1_200  # training spans before rewriting
 MOST_TOKENS = 24
 MOST_CHARS = 96
+BLOCK_TOKENS = 2048  # tokens whose candidate segments are held at a time
 EPOCHS = 6
 MARGIN = 40  # characters kept on either side of a digit or at sign
 
@@ -127,9 +131,8 @@ def _side(text: str, place: int) -> int:
     return 1 if c.isspace() else 2 if c.isdigit() else 3 if c.isalpha() else 4 if c in ".,;:!?" else 5 if c in "@+-_/" else 6
 
 
-def _lattice(stretches: list[tuple[str, int, int]]) -> _Lattice | None:
-    """Segments of all stretches (text, begin, end) at once."""
-    rows = []
+def _tokens(stretches: list[tuple[str, int, int]]) -> Iterator[tuple]:
+    """Tokens of all stretches (text, begin, end), one after another, as numbers."""
     for number, (text, a, b) in enumerate(stretches):
         before = a
         for m in _TOKEN.finditer(text, a, b):
@@ -139,8 +142,14 @@ def _lattice(stretches: list[tuple[str, int, int]]) -> _Lattice | None:
             gap = s - before
             wide = gap > 1 or (gap == 1 and text[before] != " ")
             word = token in ("at", "AT") and s > 0 and text[s - 1] in "(["
-            rows.append((number, s, e, digits, letters, _PUNCT.get(token, 8) if not digits + letters else -1, gap, wide, word, _side(text, s - 1), _side(text, e)))
+            sign = _PUNCT.get(token, 8) if not digits + letters else -1
+            yield number, s, e, digits, letters, sign, gap, wide, word, _side(text, s - 1), _side(text, e)
             before = e
+
+
+def _lattice(stretches: list[tuple[str, int, int]], rows: list[tuple] | None = None) -> _Lattice | None:
+    """Segments of all stretches at once, or of the given tokens of theirs."""
+    rows = list(_tokens(stretches)) if rows is None else rows
     if not rows:
         return None
     stretch, s, e, digits, letters, sign, gap, wide, word, left, right = np.array(rows, np.int64).T
@@ -212,39 +221,77 @@ class SpanModel:
     inside: np.ndarray
     outside: np.ndarray
 
+    def scores(self, lattice: _Lattice) -> np.ndarray:
+        """Score of each candidate segment by kind."""
+        out = np.zeros((len(lattice.first), len(KINDS)))
+        for place in range(lattice.features.shape[1]):
+            out += self.inside.T[lattice.features[:, place]]
+        return out
+
     def decode(self, lattice: _Lattice) -> list[tuple[int, Span]]:
         """Stretch number and span of each segment on the best path."""
-        scores = self.inside[:, lattice.features].sum(axis=2).T
+        path = _Path(self)
+        path.extend(lattice, 0)
+        return path.spans()
+
+    def find(self, stretches: list[tuple[str, int, int]]) -> list[tuple[int, Span]]:
+        """The same for stretches of any length. A block of tokens and those that a segment can reach back to are held at a time."""
+        path, tokens, before = _Path(self), _tokens(stretches), []
+        while rows := list(islice(tokens, BLOCK_TOKENS)):
+            path.extend(_lattice(stretches, before + rows), len(before))
+            before = (before + rows)[-MOST_TOKENS:]
+        return path.spans()
+
+
+class _Path:
+    """Best segmentation of a growing row of tokens: for each token its place, the best value and the way back."""
+
+    def __init__(self, model: SpanModel):
+        self.model = model
+        self.value = array("d", [0.0])
+        self.back = array("q")  # first token of the segment that ends here, or -1
+        self.kind = array("b")
+        self.starts, self.ends, self.stretch = array("q"), array("q"), array("q")
+
+    def extend(self, lattice: _Lattice, known: int) -> None:
+        """Go on with a lattice whose first ``known`` tokens are the last ones so far."""
+        origin = len(self.back) - known
+        self.starts.extend(lattice.starts[known:].tolist())
+        self.ends.extend(lattice.ends[known:].tolist())
+        self.stretch.extend(lattice.stretch[known:].tolist())
+        scores = self.model.scores(lattice)
         kinds = scores.argmax(axis=1)
         best = scores[np.arange(len(kinds)), kinds]
         order = np.argsort(lattice.last, kind="stable")
         edges = np.searchsorted(lattice.last[order], np.arange(len(lattice.starts) + 1)).tolist()
-        first, gain = lattice.first[order].tolist(), best[order].tolist()
-        alone = self.outside[lattice.looks].tolist()
-        value, came = [0.0], []
-        for t in range(len(alone)):
-            top, back = value[t] + alone[t], -1
+        first, gain, kinds = (lattice.first[order] + origin).tolist(), best[order].tolist(), kinds[order].tolist()
+        alone = self.model.outside[lattice.looks].tolist()
+        value = self.value
+        for t in range(known, len(alone)):
+            top, back = value[origin + t] + alone[t], -1
             for x in range(edges[t], edges[t + 1]):
                 if value[first[x]] + gain[x] > top:
                     top, back = value[first[x]] + gain[x], x
             value.append(top)
-            came.append(back)
-        out, t = [], len(alone)
+            self.back.append(first[back] if back >= 0 else -1)
+            self.kind.append(kinds[back] if back >= 0 else -1)
+
+    def spans(self) -> list[tuple[int, Span]]:
+        out, t = [], len(self.back)
         while t:
-            x = came[t - 1]
-            if x < 0:
+            first = self.back[t - 1]
+            if first < 0:
                 t -= 1
                 continue
-            segment = order[x]
-            out.append((int(lattice.stretch[t - 1]), (int(lattice.starts[first[x]]), int(kinds[segment]), int(lattice.ends[t - 1]))))
-            t = first[x]
+            out.append((self.stretch[t - 1], (self.starts[first], self.kind[t - 1], self.ends[t - 1])))
+            t = first
         return out[::-1]
 
 
 def _gradient(model: SpanModel, lattice: _Lattice, gold: list[Span], inside: np.ndarray, outside: np.ndarray) -> bool:
     """Add observed less expected features of one stretch; False if its spans are not candidates."""
     count = len(lattice.starts)
-    scores = model.inside[:, lattice.features].sum(axis=2).T
+    scores = model.scores(lattice)
     alone = model.outside[lattice.looks]
     wanted = {(a, b): kind for a, kind, b in gold}
     at = {(int(lattice.starts[i]), int(lattice.ends[j])): x for x, (i, j) in enumerate(zip(lattice.first, lattice.last, strict=True))}
@@ -330,8 +377,23 @@ def _examples(rows: list[tuple[str, int, int, int]], draw: random.Random) -> lis
     return out
 
 
-def _overlap(span: Span, others: list[Span]) -> bool:
-    return any(span[0] < b and a < span[2] for a, _, b in others)
+def _taken(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the parts of a text that sorted spans cover; the parts do not touch."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _overlap(span: Span, taken: tuple[list[int], list[int]]) -> bool:
+    starts, ends = taken
+    at = bisect_right(ends, span[0])
+    return at < len(starts) and starts[at] < span[2]
 
 
 def train_spans(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE) -> SpanModel | None:
@@ -366,12 +428,11 @@ def find_spans(texts: list[str | None], model: SpanModel | None) -> list[list[tu
     out = [[(*span, True) for span in spans] for spans in found]
     if model is not None:
         owners = [(number, texts[number], a, b) for number, part in enumerate(parts) for a, b in part]
-        lattice = _lattice([owner[1:] for owner in owners])
-        if lattice is not None:
-            for stretch, span in model.decode(lattice):
-                number = owners[stretch][0]
-                if not _overlap(span, found[number]):
-                    out[number].append((*span, False))
+        taken = [_taken(spans) for spans in found]
+        for stretch, span in model.find([owner[1:] for owner in owners]):
+            number = owners[stretch][0]
+            if not _overlap(span, taken[number]):
+                out[number].append((*span, False))
     return [sorted(spans) for spans in out]
 
 

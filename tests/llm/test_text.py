@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -268,6 +269,71 @@ def test_best_path_equals_all_segmentations():
     assert [span for _, span in model.decode(lattice)] == best(0)[1]
 
 
+def test_blocks_of_tokens_give_the_best_path_of_the_whole(monkeypatch):
+    draw, pick = np.random.default_rng(5), random.Random(5)
+    parts = ["12", "3456", "7", ".", "-", " ", "  ", "ab", "@", "+", "(", ")", "99 99", "x1y2"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randrange(1, 200))) for _ in range(40)]
+    stretches = [(text, 0, len(text)) for text in texts]
+    for block in (1, 5, 64):
+        model = pii.SpanModel(draw.normal(size=(4, pii._BEGINS[-1])), draw.normal(size=pii._OUTSIDE))
+        monkeypatch.setattr(pii, "BLOCK_TOKENS", block)
+        assert model.find(stretches) == model.decode(pii._lattice(stretches))
+
+
+def test_number_heavy_text_takes_bounded_memory():
+    draw = np.random.default_rng(6)
+    model = pii.SpanModel(draw.normal(size=(4, pii._BEGINS[-1])) + 0.5, draw.normal(size=pii._OUTSIDE))
+    text = "1234 5678 90 " * 6_000
+    tracemalloc.start()
+    found = pii.find_spans([text], model)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 40 << 20
+
+
+def test_gradient_equals_finite_differences():
+    draw = np.random.default_rng(7)
+    text, gold = "call 12-3456 or 1.2.3.4 now", [(5, 3, 12), (16, 1, 23)]
+    lattice = pii._lattice([(text, 0, len(text))])
+    model = pii.SpanModel(draw.normal(size=(4, pii._BEGINS[-1])) / 4, draw.normal(size=pii._OUTSIDE) / 4)
+
+    def log_chance():
+        """Score of the given segmentation, less the log of the sum over all."""
+        scores, alone = model.scores(lattice), model.outside[lattice.looks]
+        at = {(int(lattice.starts[i]), int(lattice.ends[j])): x for x, (i, j) in enumerate(zip(lattice.first, lattice.last, strict=True))}
+        total, covered = 0.0, np.zeros(len(alone), bool)
+        for a, kind, b in gold:
+            total += scores[at[a, b], kind]
+            covered[lattice.first[at[a, b]] : lattice.last[at[a, b]] + 1] = True
+        sums = [1.0] + [0.0] * len(alone)
+        for t in range(len(alone)):
+            sums[t + 1] += sums[t] * np.exp(alone[t])
+            for x in np.flatnonzero(lattice.first == t):
+                sums[int(lattice.last[x]) + 1] += sums[t] * np.exp(scores[x]).sum()
+        return total + alone[~covered].sum() - np.log(sums[-1])
+
+    inside, outside = np.zeros_like(model.inside), np.zeros_like(model.outside)
+    assert pii._gradient(model, lattice, gold, inside, outside)
+    used = [(model.inside, inside, (int(k), int(f))) for k, f in zip(draw.integers(0, 4, 60), draw.choice(lattice.features.ravel(), 60), strict=True)]
+    used += [(model.outside, outside, (int(x),)) for x in np.unique(lattice.looks)]
+    for weights, slope, place in used:
+        kept = weights[place]
+        ends = []
+        for step in (1e-5, -1e-5):
+            weights[place] = kept + step
+            ends.append(log_chance())
+        weights[place] = kept
+        assert slope[place] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-5)
+
+
+def test_base_spans_hide_what_the_field_finds_beside_them():
+    spans = [(0, 1, 5), (3, 2, 9), (9, 0, 12), (20, 3, 25)]
+    taken = pii._taken(spans)
+    for a in range(30):
+        for b in range(a + 1, 31):
+            assert pii._overlap((a, 0, b), taken) == any(a < y and x < b for x, _, y in spans)
+
+
 def test_personal_data_rows_and_redaction(spark):
     rows = [(1, "é x@y.zz and 1.2.3.4"), (2, None), (3, ""), (None, "+49 30 1234567"), (5, "4111 1111 1111 1111"), (6, "9" * 50_000)]
     docs = spark.createDataFrame([(i, t, "p") for i, t in rows], "doc_id long, text string, pii string")
