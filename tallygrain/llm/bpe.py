@@ -179,3 +179,18 @@ def bpe_decode(encoded: DataFrame, *, ranks_path: str, pattern: str, id_col: str
 
     narrow = encoded.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{ids_col}` as array<int>) as ids")
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded binary")
+
+
+def bpe_round_trip(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``bpe_decode`` of ``bpe_encode``, in one pass of each task over its texts: ``doc_id``, ``n_tokens``, ``ids``, ``decoded``."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(ranks.value, pattern)
+        for batch in slices(batches, 1 << 20):
+            ids = [codec.encode(text.as_py() or "") for text in batch.column("text")]
+            rows = {"doc_id": batch.column("doc_id"), "n_tokens": [len(x) for x in ids], "ids": [np.array(x, np.int32) for x in ids]}
+            yield to_batch(rows | {"decoded": [codec.decode(x) for x in ids]}, _BYTES)
+
+    narrow = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
+    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded binary")

@@ -28,6 +28,14 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def unused(name: str, frame: DataFrame) -> str:
+    """The name, with as many underscores before it as it takes to differ from all columns of a frame."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(frame: DataFrame) -> DataFrame:
     """Write a frame as Parquet below the shared checkpoint folder and read it back, which cuts its lineage."""
     spark = frame.sparkSession

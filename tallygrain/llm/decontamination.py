@@ -168,7 +168,7 @@ def contamination(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             *known, counts = shared.value
             items = Items(*known, seed)
-            for batch in slices(batches):
+            for batch in slices(batches, 1 << 20):
                 rows, times = {name: [] for name in _MATCH.names}, []
                 for text, item, found in _covered(items, batch, "text", coverage):
                     rows["doc_id"].append(batch.column("doc_id")[text].as_py())
@@ -204,7 +204,7 @@ def decontaminate(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value, seed)
-            for batch in slices(batches, column=name):
+            for batch in slices(batches, 1 << 20, name):
                 clean = np.ones(batch.num_rows, bool)
                 for text, _, _ in _covered(items, batch, name, coverage):
                     clean[text] = False

@@ -6,6 +6,7 @@ runs that already share an anchor, so a false match needs two independent 64-bit
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 WORD_LIMIT = 1 << 16  # positions of a word with powers of their own; longer words reuse them
 BLOCK = 1 << 17  # window starts handled at a time
 _SPACES = (9, 10, 11, 12, 13, 32)  # fixed values: the white space that ends a word
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 
 
 def _random_codes(count: int, seed: int) -> np.ndarray:
@@ -57,6 +59,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as the worker lives on for the tasks of later stages."""
+    Runs.forget()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text, or one row where a text is longer."""
     try:
@@ -70,8 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str
                 yield batch.slice(begin, end - begin)
                 begin = end
     finally:
-        # The worker lives on for later tasks; what this one's texts took goes back.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -120,6 +129,11 @@ class Runs:
 
     _cache: dict[int, np.ndarray] = {}
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the tables that a long text made large."""
+        cls._cache = {base: powers for base, powers in cls._cache.items() if len(powers) <= 1 << 18}
+
     @classmethod
     def _table(cls, base: int, count: int) -> np.ndarray:
         if base not in cls._cache or len(cls._cache[base]) < count:

@@ -1,5 +1,6 @@
 """Registered text queries against their SQL, and the pipeline stage by stage."""
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,6 @@ import __spark_entry__ as contract
 import corpus_pipeline as pipeline
 from tallygrain.llm.common import table, written
 from tallygrain.llm.decontamination import contamination
-from tallygrain.llm.near_dedup import near_duplicates
 from tallygrain.llm.pii import base_spans
 from tallygrain.llm.queries import QUERIES, SQL
 from tools.check_oracle import key, plain
@@ -34,6 +34,42 @@ def test_all_operators_and_the_pipeline_are_registered():
     assert "pipeline" in names and set(SQL) <= set(contract.oracle_sql())
 
 
+def brute_groups(rows, percent):
+    """Least id of each group of texts, by comparing all pairs of their shingle sets."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                group[top(i)] = top(j)
+    return [min((rows[i][0] for i in range(len(rows)) if top(i) == g and rows[i][0] is not None), default=None) for g in range(len(rows)) if top(g) == g]
+
+
+def test_near_dedup_takes_rows_as_documents(spark, small):
+    def varied(n, at=20):
+        return " ".join(f"w{i}" if i not in range(at, at + n) else f"x{i}" for i in range(120))
+
+    # 120 words have 116 shingles; n changed words touch n + 4 of them.
+    rows = [(1, varied(0)), (2, varied(8)), (3, varied(9, 60)), (4, "one two three four five six"), (4, "another text under the same id")]
+    rows += [(None, "no id here at all"), (None, "no id here at all"), (7, "no id here at all"), (9, varied(0)), (None, "only once without an id"), (8, "one two three four five six")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    kept = pipeline.near_dedup(spark, docs, small)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect())
+    wanted = [rows[0], rows[2], rows[3], rows[4], rows[7], rows[9]]
+    assert got == sorted((i is None, i or 0, t) for i, t in wanted)
+    assert sorted(str(i) for i, _ in wanted) == sorted(map(str, brute_groups(rows, 80)))
+
+
 def test_stages(spark, small):
     docs = table(spark, small, "documents")
     whole = {r.doc_id: r.text for r in docs.collect()}
@@ -43,8 +79,7 @@ def test_stages(spark, small):
         seen[name] = docs
     known = {r.doc_id for r in seen["language_id"].collect()}
     assert known == {i for i, t in whole.items() if t and any(map(str.isalpha, t))}
-    groups = near_duplicates(seen["language_id"]).collect()
-    assert {r.doc_id for r in seen["near_dedup"].collect()} == {r.component_id for r in groups}
+    assert {r.doc_id for r in seen["near_dedup"].collect()} == set(brute_groups([(r.doc_id, r.text) for r in seen["language_id"].collect()], 80))
     leaked = {r.doc_id for r in contamination(seen["near_dedup"], table(spark, small, "benchmark")).collect()}
     clean = {r.doc_id for r in seen["decontamination"].collect()}
     assert leaked and clean == {r.doc_id for r in seen["near_dedup"].collect()} - leaked
