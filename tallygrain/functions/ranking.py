@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tallygrain.functions.exprs import any_true, side_by_side
+from tallygrain.functions.exprs import side_by_side
 from tallygrain.session import materialize
 
 
@@ -109,47 +109,6 @@ def numbered(
     )
 
 
-def value_counts(frame: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, column, distinct non-null value as double) with its count ``n``."""
-    long = frame.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        list(keys), list(columns), "column", "value"
-    )
-    return long.filter("value IS NOT NULL").groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
-
-
-def place_counts(counts: DataFrame, *, by: Sequence[str] = ()) -> Placed:
-    """Place value counts by value."""
-    return place(counts, order=["value"], sums=["n"], by=by)
-
-
-def quantiles(placed: Placed, probabilities: Mapping[str, float], *, few_groups: bool = False) -> DataFrame:
-    """Linear-interpolated quantiles of placed value counts, one row per group.
-
-    The slice sums tell which slices hold the wanted places, so only those are sorted: at most two
-    per group and probability, whatever the number of values.
-    """
-    total = F.col("n_total") - 1
-
-    def ends(p: float) -> tuple[Column, Column, Column]:
-        at = total * F.lit(float(p))
-        return F.floor(at), F.ceil(at), at - F.floor(at)
-
-    first, after = F.col("_n_offset"), F.col("_n_offset") + F.col("_n_slice")
-    wanted = [(first <= i) & (i < after) for p in probabilities.values() for i in ends(p)[:2]]
-    slices = placed.slices.filter(any_true(wanted))
-    near = accumulate(placed, F.broadcast(slices) if few_groups or not placed.by else slices)
-
-    def value_at(index: Column) -> Column:
-        inside = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, F.col("value")))
-
-    columns = []
-    for name, p in probabilities.items():
-        low, high, weight = ends(p)
-        columns.append((value_at(low) + (value_at(high) - value_at(low)) * F.max(weight)).alias(name))
-    return near.groupBy(*placed.by).agg(*columns)
-
-
 def average_ranks(counts: DataFrame, *, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
     """Average rank of each distinct ``value`` from its count ``n``, as ``average_rank``.
 
@@ -161,44 +120,6 @@ def average_ranks(counts: DataFrame, *, by: Sequence[str] = (), extra: Sequence[
     )
 
 
-def weighted_shape(
-    placed: Placed, probabilities: Mapping[str, float], *, few_groups: bool = False
-) -> DataFrame:
-    """Size, mean, extremes, quantiles, sample deviation and skewness from placed value counts.
-
-    Deviations are summed around the mean in a second step, which keeps their digits. The counts are
-    read from the cut lineage, so the facts are scanned once. ``few_groups`` states that the group
-    rows are bounded, for example one per column of a table, and may be broadcast.
-    """
-    by = list(placed.by)
-    shape = placed.rows.groupBy(*by).agg(
-        F.sum("n").alias("count"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    if by:
-        means = shape.select(*by, "mean")
-        centred = placed.rows.join(F.broadcast(means) if few_groups else means, by)
-    else:
-        centred = placed.rows.withColumn("mean", shape.select("mean").scalar())
-    off = F.col("value") - F.col("mean")
-    spread = centred.groupBy(*by).agg(
-        F.sum("n").alias("_n"),
-        F.sum(F.col("n") * off * off).alias("_m2"),
-        F.sum(F.col("n") * off * off * off).alias("_m3"),
-    )
-    n, m2 = F.col("_n"), F.col("_m2")
-    population = F.col("_m3") / n / F.nullif(F.pow(m2 / n, F.lit(1.5)), F.lit(0.0))
-    measures = spread.select(
-        *by,
-        F.sqrt(m2 / F.nullif(n - 1, F.lit(0))).alias("std"),
-        F.when(n > 2, population * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))).alias("skewness"),
-    )
-    parts = (shape, quantiles(placed, probabilities, few_groups=few_groups), measures)
-    return reduce(lambda a, b: a.join(b, by), parts) if by else side_by_side(*parts)
-
-
 # Ranks between which a quantile is looked for, as a share on either side; and the accuracy of the sketch that finds
 # them, whose error is a tenth of that share.
 BRACKET = 0.001
@@ -207,16 +128,58 @@ ACCURACY = 10_000
 FEW_VALUES = 4 / BRACKET
 
 
+def _bracket_ends(probabilities: Mapping[str, float]) -> list[float]:
+    return [min(1.0, max(0.0, p + side * BRACKET)) for p in probabilities.values() for side in (-1, 1)]
+
+
+def _value_at(rank: str) -> Column:
+    """The value at a rank, from the rows whose ranks run from ``start`` on."""
+    here = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("start") + F.col("n"))
+    return F.max(F.when(here, F.col("value")))
+
+
+def _interpolated() -> Column:
+    return _value_at("low") + (_value_at("high") - _value_at("low")) * F.max(F.col("at") - F.floor("at"))
+
+
+def _near(
+    values: DataFrame, brackets: Mapping[tuple[int, int], tuple[float, float]], place: int, expected: int
+) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Distinct values inside each bracket with their count, and how many values lie below it, from one scan.
+
+    Only what lies inside is put into rows of its own. What lies below is counted beside the scan, as metrics that are
+    collected with its result. A task that runs again after a loss may be counted twice there; the values of column
+    ``place`` are counted in the same way, and if there are not as many as expected, a plain aggregate counts instead.
+    """
+    column = {i: F.col(f"v{i}") for i, _ in brackets}
+    inside = F.array(
+        *[
+            F.when((column[i] >= F.lit(low)) & (column[i] <= F.lit(high)), F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), column[i].alias("value")))
+            for (i, k), (low, high) in brackets.items()
+        ]
+    )
+    counts = [F.count_if(column[i] < F.lit(low)).alias(f"below_{i}_{k}") for (i, k), (low, _) in brackets.items()]
+    seen = Observation()
+    watched = values.observe(seen, F.count(column[place]).alias("values"), *counts)
+    rows = watched.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x"))
+    counted = materialize(rows.groupBy("x.c", "x.k", "x.value").agg(F.count("*").alias("n")))
+    found = seen.get
+    if found["values"] != expected:
+        found = values.agg(*counts).first().asDict()
+    return counted, {(i, k): found[f"below_{i}_{k}"] for i, k in brackets}
+
+
 def column_quantiles(frame: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact linear quantiles of whole columns, one row per column.
 
-    The first scan brackets every quantile between two sketched ranks; the second counts what lies below the bracket
-    and keeps the distinct values inside, a few thousandths of the rows, whose order then gives the exact value. No
-    value outside a bracket is shuffled. Only one row of bracket ends per column reaches the driver.
+    The first scan brackets every quantile between two sketched ranks. The second keeps the distinct values inside, a
+    few thousandths of the rows, whose order gives the exact value, and counts what lies below. No value outside a
+    bracket becomes a row or is shuffled. Should a wanted rank lie outside its bracket after all, the whole column
+    becomes that bracket. Only numbers by column and quantile reach the driver.
     """
     columns, names = list(columns), list(probabilities)
     values = frame.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    ends = [min(1.0, max(0.0, p + side * BRACKET)) for p in probabilities.values() for side in (-1, 1)]
+    ends = _bracket_ends(probabilities)
     measures = []
     for i in range(len(columns)):
         v = F.col(f"v{i}")
@@ -231,52 +194,81 @@ def column_quantiles(frame: DataFrame, columns: Sequence[str], probabilities: Ma
             ).alias(f"s{i}")
         )
     first = values.agg(*measures).first()
-    shapes = []
-    pieces = []
-    for i, column in enumerate(columns):
-        s = first[f"s{i}"]
-        shapes.append((column, i, s["count"], s["mean"], s["std"], s["min"], s["max"]))
-        for k in range(len(names)):
-            whole = s["count"] < FEW_VALUES
-            low, high = (s["min"], s["max"]) if whole else s["ends"][2 * k : 2 * k + 2]
-            if low is None:
-                continue
-            value = F.col(f"v{i}")
-            inside = value >= F.lit(low)
-            pieces.append(
-                F.when(
-                    value <= F.lit(high),
-                    F.struct(
-                        F.lit(i).alias("c"),
-                        F.lit(k).alias("k"),
-                        inside.alias("inside"),
-                        F.when(inside, value).alias("value"),
-                    ),
-                )
-            )
+    shapes = [(c, i, *[first[f"s{i}"][m] for m in ("count", "mean", "std", "min", "max")]) for i, c in enumerate(columns)]
     shape = frame.sparkSession.createDataFrame(
         shapes, "`column` string, c int, count long, mean double, std double, min double, max double"
     )
-    if not pieces:
+    brackets, ranks = {}, {}
+    for i in range(len(columns)):
+        s = first[f"s{i}"]
+        for k, p in enumerate(probabilities.values()):
+            if s["count"]:
+                brackets[i, k] = (s["min"], s["max"]) if s["count"] < FEW_VALUES else tuple(s["ends"][2 * k : 2 * k + 2])
+                ranks[i, k] = (s["count"] - 1) * float(p)
+    if not brackets:
         return shape.select("*", *[F.lit(None).cast("double").alias(n) for n in names]).drop("c").filter("count > 0")
-    near = values.select(F.explode(F.filter(F.array(*pieces), lambda x: x.isNotNull())).alias("x"))
-    counted = materialize(near.groupBy("x.c", "x.k", "x.inside", "x.value").agg(F.count("*").alias("n")))
-    below = counted.filter(~F.col("inside")).select("c", "k", F.col("n").alias("below"))
-    chances = F.array(*[F.lit(float(p)) for p in probabilities.values()])
-    placed = running_totals(counted.filter("inside").drop("inside"), order=["value"], sums=["n"], by=["c", "k"])
-    at = (F.col("count") - 1) * F.element_at(chances, F.col("k") + 1)
+    known = next(i for i, _ in brackets)
+    counted, below = _near(values, brackets, known, first[f"s{known}"]["count"])
+    held = {(r.c, r.k): r.n for r in counted.groupBy("c", "k").agg(F.sum("n").alias("n")).collect()}
+    missed = {x for x, at in ranks.items() if floor(at) < below[x] or ceil(at) >= below[x] + held.get(x, 0)}
+    if missed:
+        wide = {x: tuple(first[f"s{x[0]}"][m] for m in ("min", "max")) if x in missed else ends for x, ends in brackets.items()}
+        counted, below = _near(values, wide, known, first[f"s{known}"]["count"])
+    places = frame.sparkSession.createDataFrame([(*x, below[x], at) for x, at in ranks.items()], "c int, k int, below long, at double")
     ranked = (
-        placed.join(F.broadcast(shape.select("c", "count")), "c")
-        .join(F.broadcast(below), ["c", "k"], "left")
-        .withColumns({"start": F.coalesce("below", F.lit(0)) + F.col("n_before"), "low": F.floor(at), "high": F.ceil(at)})
+        running_totals(counted, order=["value"], sums=["n"], by=["c", "k"])
+        .join(F.broadcast(places), ["c", "k"])
+        .withColumns({"start": F.col("below") + F.col("n_before"), "low": F.floor("at"), "high": F.ceil("at")})
     )
+    found = ranked.groupBy("c", "k").agg(_interpolated().alias("q"))
+    wide = found.groupBy("c").agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(n) for k, n in enumerate(names)])
+    return shape.join(F.broadcast(wide), "c").drop("c")
 
-    def value_at(place: str) -> Column:
-        here = (F.col("start") <= F.col(place)) & (F.col(place) < F.col("start") + F.col("n"))
-        return F.max(F.when(here, F.col("value")))
 
-    found = ranked.groupBy("c", "k").agg(
-        (value_at("low") + (value_at("high") - value_at("low")) * F.max(at - F.floor(at))).alias("q")
+def grouped_shape(frame: DataFrame, value: str, by: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
+    """Count, mean, extremes, sample deviation, bias-corrected skewness and exact linear quantiles of ``value`` by group.
+
+    A group's sketch merges across tasks, so its brackets come from one aggregate by key. They are joined back to the
+    rows, which Spark does without a shuffle while the groups are few. Values outside a bracket are only counted, per
+    group and before the shuffle; the few inside are counted by value and put in order. Groups with a null key are left
+    out. Without ``by`` there is one group.
+    """
+    by = list(by)
+    values = frame.select(*by, F.col(value).cast("double").alias("value")).where("value IS NOT NULL")
+    v, count = F.col("value"), F.col("count")
+    skewness = F.when(count > 2, F.col("_skew") * F.sqrt(count * (count - 1)) / F.nullif(count - 2, F.lit(0)))
+    if not by:
+        whole = column_quantiles(values, ["value"], probabilities).drop("column")
+        return side_by_side(whole, values.agg(F.skewness(v).alias("_skew"))).withColumn("skewness", skewness).drop("_skew")
+    shape = materialize(
+        values.groupBy(*by).agg(
+            F.count(v).alias("count"),
+            F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.skewness(v).alias("_skew"),
+            F.percentile_approx(v, _bracket_ends(probabilities), ACCURACY).alias("_ends"),
+        )
     )
-    wide = found.groupBy("c").agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(n) for k, n in enumerate(names)])
-    return shape.join(F.broadcast(wide), "c").drop("c")
+    places = range(len(probabilities))
+    few = count < FEW_VALUES
+    lows = [F.when(few, F.col("min")).otherwise(F.col("_ends")[2 * k]) for k in places]
+    highs = [F.when(few, F.col("max")).otherwise(F.col("_ends")[2 * k + 1]) for k in places]
+    brackets = shape.select(*by, F.array(*lows).alias("_low"), F.array(*highs).alias("_high"))
+    keyed = values.join(brackets, by)
+    below = keyed.groupBy(*by).agg(F.array(*[F.count_if(v < F.col("_low")[k]) for k in places]).alias("_below"))
+    inside = F.array(*[F.when((v >= F.col("_low")[k]) & (v <= F.col("_high")[k]), F.lit(k)) for k in places])
+    near = keyed.select(*by, v, F.explode(F.array_compact(inside)).alias("_k"))
+    counted = near.groupBy(*by, "_k", "value").agg(F.count("*").alias("n"))
+    chances = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+    ranked = (
+        running_totals(counted, order=["value"], sums=["n"], by=[*by, "_k"])
+        .join(shape.select(*by, "count").join(below, by), by)
+        .withColumns({"at": (count - 1) * chances[F.col("_k")], "below": F.col("_below")[F.col("_k")]})
+        .withColumns({"start": F.col("below") + F.col("n_before"), "low": F.floor("at"), "high": F.ceil("at")})
+    )
+    found = ranked.groupBy(*by, "_k").agg(_interpolated().alias("q"))
+    checked = F.when(F.col("q").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(F.col("q"))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("_k") == k, checked)).alias(n) for k, n in enumerate(probabilities)])
+    return shape.join(wide, by).withColumn("skewness", skewness).drop("_skew", "_ends")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.functions.exprs import as_double, correlation, ratio, tally
-from tallygrain.functions.ranking import average_ranks, place_counts, weighted_shape
+from tallygrain.functions.ranking import average_ranks, grouped_shape
 from tallygrain.functions.tails import (
     chi_square_p_value,
     normal_p_value,
@@ -50,14 +50,8 @@ def _check_level(value: float, name: str) -> None:
 
 def descriptive_statistics(frame: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFrame:
     """Location, spread, exact quartiles and bias-corrected skewness; needs two values."""
-    counts = (
-        frame.select(*by, as_double(value).alias("value"))
-        .filter("value IS NOT NULL")
-        .groupBy(*by, "value")
-        .agg(F.count("*").alias("n"))
-    )
     return (
-        weighted_shape(place_counts(counts, by=by), {"median": 0.5, "p25": 0.25, "p75": 0.75})
+        grouped_shape(frame, value, by, {"median": 0.5, "p25": 0.25, "p75": 0.75})
         .filter(F.col("count") >= 2)
         .select(*by, F.col("count").alias("n"), "mean", "median", "std", "min", "p25", "p75", "max", "skewness")
     )

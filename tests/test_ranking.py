@@ -7,15 +7,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallygrain.functions import ranking
 from tallygrain.functions.ranking import (
     average_ranks,
     column_quantiles,
+    grouped_shape,
     numbered,
-    place_counts,
-    quantiles,
     running_totals,
-    value_counts,
-    weighted_shape,
 )
 
 
@@ -49,13 +47,6 @@ def test_numbered_gives_every_group_dense_positions(spark, skewed):
         assert (part["position_count"] == len(part)).all()
 
 
-@pytest.mark.parametrize("p", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0])
-def test_quantiles_match_linear_interpolation(spark, skewed, p):
-    counts = value_counts(spark.createDataFrame(skewed), ["v"])
-    got = quantiles(place_counts(counts, by=["column"]), {"q": p}).first().q
-    assert got == pytest.approx(float(np.quantile(skewed["v"], p)), abs=1e-9)
-
-
 def test_average_ranks_match_pandas(spark, skewed):
     counts = spark.createDataFrame(skewed).groupBy("g", F.col("v").alias("value")).agg(F.count("*").alias("n"))
     got = average_ranks(counts, by=["g"]).toPandas().set_index(["g", "value"])["average_rank"]
@@ -64,14 +55,60 @@ def test_average_ranks_match_pandas(spark, skewed):
         assert got[(g, v)] == r
 
 
-def test_weighted_shape_matches_pandas(spark, skewed):
-    counts = spark.createDataFrame(skewed).groupBy("g", F.col("v").alias("value")).agg(F.count("*").alias("n"))
-    got = weighted_shape(place_counts(counts, by=["g"]), {"median": 0.5}).toPandas().set_index("g")
-    for g, part in skewed.groupby("g"):
-        assert got.loc[g, "count"] == len(part)
-        assert got.loc[g, "std"] == pytest.approx(part["v"].std())
-        assert got.loc[g, "skewness"] == pytest.approx(part["v"].skew())
-        assert got.loc[g, "median"] == pytest.approx(part["v"].median())
+def check_shape(got, part, chances):
+    assert got["count"] == len(part)
+    assert got["std"] == pytest.approx(part.std(), nan_ok=True)
+    assert got["skewness"] == pytest.approx(part.skew(), nan_ok=True)
+    for name, p in chances.items():
+        assert got[name] == pytest.approx(float(np.quantile(part, p)), abs=1e-12)
+
+
+@pytest.mark.parametrize("size", [60, 40_000])
+def test_grouped_shape_matches_pandas(spark, size):
+    """One group holds most rows; in another one value does, in a third all are equal, and one has a single row."""
+    draw = np.random.default_rng(size)
+    groups = np.where(draw.random(size) < 0.6, "hot", draw.choice(["tied", "flat", "plain"], size))
+    values = np.select([groups == "tied", groups == "flat"], [np.where(draw.random(size) < 0.5, 5.0, draw.random(size) * 9), 1.0], draw.lognormal(size=size))
+    frame = pd.DataFrame({"g": groups, "h": 1, "v": values})
+    rows = [*frame.itertuples(index=False, name=None), ("single", 1, 3.0), ("single", 1, None), ("none", 1, None)]
+    chances = {"q0": 0.0, "median": 0.5, "p25": 0.25, "p99": 0.99, "q1": 1.0}
+    made = spark.createDataFrame([(g, h, None if v is None else float(v)) for g, h, v in rows], "g string, h int, v double").repartition(6)
+    got = {r.g: r for r in grouped_shape(made, "v", ["g", "h"], chances).collect()}
+    assert set(got) == set(groups) | {"single"} and got["single"]["skewness"] is None and got["single"]["median"] == 3.0
+    for g, part in frame.groupby("g"):
+        if g == "flat":
+            assert got[g]["skewness"] is None and got[g]["std"] == 0 and got[g]["p99"] == 1.0
+        else:
+            check_shape(got[g], part["v"], chances)
+    check_shape(grouped_shape(made.where("v is not null and g <> 'single'"), "v", [], chances).first(), frame["v"], chances)
+
+
+def test_values_outside_the_brackets_become_no_rows(spark, monkeypatch):
+    """What the second scan explodes: a fiftieth of the values at most."""
+    made = []
+    real = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda frame: made.append(real(frame)) or made[-1])
+    frame = spark.range(0, 200_000, 1, 8).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"), (F.col("id") % 3).alias("g"))
+    column_quantiles(frame, ["v"], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).collect()
+    counted = next(x for x in made if set(x.columns) == {"c", "k", "value", "n"})
+    assert 0 < counted.agg(F.sum("n")).first()[0] < 200_000 * 3 / 50
+    made.clear()
+    grouped_shape(frame, "v", ["g"], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).collect()
+    placed = next(x for x in made if "_slice" in x.columns)
+    assert 0 < placed.agg(F.sum("n")).first()[0] < 200_000 * 3 / 50
+
+
+def test_a_bracket_that_misses_its_rank_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_bracket_ends", lambda chances: [0.9, 0.91] * len(chances))
+    frame = spark.range(50_000).select(F.col("id").cast("double").alias("v"))
+    assert column_quantiles(frame, ["v"], {"p25": 0.25, "p90": 0.905}).first().p25 == 0.25 * 49_999
+
+
+def test_counts_beside_a_scan_are_taken_again_if_they_are_off(spark):
+    values = spark.range(10_000).select(F.col("id").cast("double").alias("v0"))
+    for expected in (10_000, 9_999):
+        counted, below = ranking._near(values, {(0, 0): (100.0, 120.0)}, 0, expected)
+        assert below == {(0, 0): 100} and counted.agg(F.sum("n")).first()[0] == 21
 
 
 def test_empty_input_gives_no_rows(spark):
