@@ -27,6 +27,7 @@ from tallygrain.llm.tokens import Runs, lower, mix, slices, text_bytes, word_cod
 REGISTERS = 256
 MANTISSA_BITS = 10
 BAND = 6  # registers of a band: 42 bands, which miss a pair at 0.85 once in 400 million
+CROWD = 8  # texts at a rare shingle from which they meet one among them first
 DEVIATIONS = 8  # a pair is dropped unverified only if its estimate is so many standard errors below the threshold
 COLLISION = 0.169919487159739  # fixed value: the chance term of the published HyperMinHash estimator
 _EMPTY = np.uint16(0xFFFF)
@@ -233,6 +234,23 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     return written(picked.where("x.df > 1").select("x.s", "node", "n", "m", "label", (F.col("n") - F.col("i")).alias("left")))
 
 
+def _around_hubs(rare: DataFrame, verifier: _Verifier, percent: int) -> DataFrame:
+    """The rows of ``rare`` with labels of their own anew, after each crowded shingle's texts met one among them.
+
+    That one is the text with the largest share of shingles that others have too: of a template and its many variants,
+    the template, to which most variants are linked even where few are linked to each other. Their number at a shingle
+    then counts once, by the label, and only what is still apart meets in pairs. No pair is passed over by this.
+    """
+    share = F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("node")).alias("least"), "n", "m", "label", "left")
+    hubs = rare.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.max(share).alias("hub")).where(F.col("k") > CROWD)
+    most = F.least("m", "hub.m", "left", "hub.left")
+    star = rare.join(hubs, "s").withColumn("centre", -F.col("hub.least")).where("node <> centre and label <> hub.label")
+    star = star.where(100 * most >= percent * (F.col("n") + F.col("hub.n") - most))
+    verifier.add(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    labels = written(components(verifier.all_links(), "a", "b")).toDF("node", "new")
+    return written(rare.join(labels, "node", "left").withColumn("label", F.coalesce("new", "node")).select(rare.columns))
+
+
 def _settle(members: DataFrame, verifier: _Verifier, percent: int) -> DataFrame:
     """Component of each node in ``members`` (key, node) that has a link."""
     centred = written(members.groupBy("key").agg(F.min("node").alias("centre")))
@@ -246,7 +264,7 @@ def _settle(members: DataFrame, verifier: _Verifier, percent: int) -> DataFrame:
     # A bucket of two has been looked at in full.
     unsettled = written(state.where("x < y and k > 2").select("key"))
     rest = labelled.join(unsettled, "key").select("node", "label").distinct()
-    rare = _rare_first(verifier.sets.join(rest, "node"), percent)
+    rare = _around_hubs(_rare_first(verifier.sets.join(rest, "node"), percent), verifier, percent)
     other = rare.toDF("s", "node2", "n2", "m2", "label2", "left2")
     # At the first shingle that two nodes share, what they have left must be enough for a link.
     most = F.least("m", "m2", "left", "left2")

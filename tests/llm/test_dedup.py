@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
+from tallygrain.llm import near_dedup
 from tallygrain.llm.embedding_dedup import embedding_near_duplicates
 from tallygrain.llm.graph import components
 from tallygrain.llm.near_dedup import _sketch_rows, near_duplicates
@@ -183,6 +186,27 @@ def test_near_duplicates_that_straddle_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows)).collect()} == expected
 
 
+def test_variants_of_a_template_meet_the_template(spark, monkeypatch):
+    """Most variants are linked to the template alone, and the smallest ids to few, so buckets stay unsettled."""
+    draw = random.Random(12)
+    template = [f"w{i}" for i in range(200)]
+    texts = [template]
+    for n in range(150):
+        own = list(template)
+        for place in draw.sample(range(200), draw.choice((2, 3, 4))):
+            own[place] = f"x{n}y{place}"
+        texts.append(own)
+    rows = list(zip([9999, *draw.sample(range(1000), 150)], map(" ".join, texts), strict=True))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    expected = smallest_reachable([i for i, _ in rows], links)
+    met = []
+    around = near_dedup._around_hubs
+    monkeypatch.setattr(near_dedup, "_around_hubs", lambda *x: met.append(around(*x)) or met[-1])
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows)).collect()} == expected
+    assert len(met) == 1 and met[0].groupBy("s").agg(F.count_distinct("label").alias("k")).where("k > 8").count() == 0
+
+
 def test_near_duplicates_with_odd_ids(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "q r s t u v"), (9, "q r s t u v"), (9, "q r s t u v")]
     got = near_duplicates(frame(spark, rows)).collect()
