@@ -17,9 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallygrain.functions.exprs import as_double, ratio, tally
+from tallygrain.functions.ranking import grouped_shape, running_totals
 from tallygrain.operators.scope import iso_date
 from tallygrain.schemas import COST_COLUMNS, COST_COMPONENTS
 from tallygrain.session import materialize
@@ -208,60 +208,65 @@ def tree_steps(values: np.ndarray, rng: np.random.Generator) -> Iterator[tuple[f
         stack.append((low, middle, depth + 1, left_cut))
 
 
+def _low_hashes(rows: DataFrame, config: AnomalyConfig) -> DataFrame:
+    """The rows (_series, _key, _x) that may belong to a tree's sample, with the number of the tree.
+
+    A row goes on to a tree only if its hash is low enough, judged by the size of its series. So many rows are expected
+    below the limit that fewer than a sample would be ten deviations off.
+    """
+    size = config.sample_size
+    share = F.lit(size + 10 * math.sqrt(size) + 20) / F.col("_rows")
+    low = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    sizes = rows.groupBy("_series").agg(F.count("*").alias("_rows")).select("_series", low.alias("_low"))
+    trees = F.filter(
+        F.sequence(F.lit(1), F.lit(config.trees)),
+        lambda tree: F.xxhash64(F.lit(config.seed), tree, F.col("_key")) <= F.col("_low"),
+    )
+    return rows.join(sizes, "_series").select("_series", "_key", "_x", F.explode(trees).alias("tree"))
+
+
 def isolation_scores(
     frame: DataFrame, value: str, config: AnomalyConfig, *, key: str = "date", by: Sequence[str] = ()
 ) -> DataFrame:
     """A4: isolation-forest score of one value per row; higher is more unusual.
 
     A tree over one value only cuts the number line, so the summed path length of all trees is a
-    step function. Each tree grows in its own task from a hashed sample; a running sum over all cuts
-    then gives every row its mean path. The threshold is the ``1 - contamination`` quantile per
+    step function. Each tree grows in its own task from the rows of least hash; a running sum over the
+    distinct cuts and values, which no single task holds, then gives every row its mean path. The threshold is the ``1 - contamination`` quantile per
     series, ``anomaly_score`` is measured from it.
     """
     seed, size = config.seed, config.sample_size
-    rows = frame.select(*by, F.col(key).alias("_key"), as_double(value).alias("_x")).filter("_x IS NOT NULL")
+    series = F.to_json(F.struct(*by)) if by else F.lit("")
+    rows = frame.select(*by, series.alias("_series"), F.col(key).alias("_key"), as_double(value).alias("_x")).filter("_x IS NOT NULL")
     order = F.xxhash64(F.lit(seed), F.col("tree"), F.col("_key"))
     sample = (
-        rows.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(config.trees))))
-        .withColumn("_place", F.row_number().over(Window.partitionBy(*by, "tree").orderBy(order, "_key")))
+        _low_hashes(rows, config)
+        .withColumn("_place", F.row_number().over(Window.partitionBy("_series", "tree").orderBy(order, "_key")))
         .filter(F.col("_place") <= size)
-        .drop("_place", "_key")
+        .select("_series", "tree", "_x")
     )
-    keys = [frame.schema[c] for c in by]
-    names = [c for c in by]
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
         values = np.sort(group["_x"].to_numpy())
         steps = pd.DataFrame(tree_steps(values, np.random.default_rng([seed, tree])), columns=["_x", "change"])
-        for name in names:
-            steps[name] = group[name].iloc[0]
-        steps["sampled"] = len(values)
-        return steps[[*names, "_x", "change", "sampled"]]
-
-    step_type = T.StructType(
-        [*keys, T.StructField("_x", T.DoubleType()), T.StructField("change", T.DoubleType()),
-         T.StructField("sampled", T.IntegerType())]
-    )
-    steps = sample.groupBy(*by, "tree").applyInPandas(grow, step_type)
-    line = steps.select(*by, "_x", "change", "sampled", F.lit(1).alias("_is_cut"), F.lit(None).alias("_key")).unionByName(
-        rows.select(
-            *by, "_x", F.lit(0.0).alias("change"), F.lit(None).cast("int").alias("sampled"), F.lit(0).alias("_is_cut"), "_key"
-        )
-    )
-    # A value equal to a cut lies on its left, so rows come before cuts at the same place.
-    along = Window.partitionBy(*by).orderBy("_x", "_is_cut").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
+        return steps.assign(_series=group["_series"].iloc[0], sampled=len(values))
+
+    steps = materialize(sample.groupBy("_series", "tree").applyInPandas(grow, "_series string, _x double, change double, sampled int"))
+    # A value equal to a cut lies on its left, so values come before cuts at the same place.
+    cuts = steps.groupBy("_series", "_x").agg(F.sum("change").alias("change")).withColumn("_is_cut", F.lit(1))
+    places = rows.select("_series", "_x").distinct().withColumns({"change": F.lit(0.0), "_is_cut": F.lit(0)})
+    line = running_totals(cuts.unionByName(places), order=["_x", "_is_cut"], sums=["change"], by=["_series"])
+    paths = line.filter("_is_cut = 0").select("_series", "_x", (F.col("change_before") / config.trees).alias("_path"))
     n = F.col("_sampled").cast("double")
     typical = F.when(n > 2, 2 * (F.log(n - 1) + EULER_GAMMA) - 2 * (n - 1) / n).when(n == 2, 1.0)
-    scored = (
-        line.withColumn("_path", F.sum("change").over(along) / config.trees)
-        .withColumn("_sampled", F.max("sampled").over(whole))
-        .filter("_is_cut = 0")
+    scored = materialize(
+        rows.join(paths, ["_series", "_x"])
+        .join(steps.groupBy("_series").agg(F.max("sampled").alias("_sampled")), "_series")
         .withColumn("_score", F.pow(F.lit(2.0), -F.col("_path") / typical))
-        .withColumn("_limit", F.percentile("_score", F.lit(1 - config.contamination)).over(whole))
     )
-    return scored.select(
+    limits = grouped_shape(scored, "_score", ["_series"], {"_limit": 1 - config.contamination}).select("_series", "_limit")
+    return scored.join(limits, "_series", "left").select(
         *by,
         F.col("_key").alias(key),
         (F.col("_score") - F.col("_limit")).alias("anomaly_score"),

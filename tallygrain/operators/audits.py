@@ -124,14 +124,16 @@ def ungrounded_numbers(
     text: str = "text",
     metrics: str | None = None,
 ) -> DataFrame:
-    """Numbers of a claim that none of its cited evidence holds."""
+    """Numbers of a claim that none of its cited evidence holds.
+
+    Evidence keeps only numbers that some claim says before citations repeat it, so a claim of many numbers and many
+    citations meets the numbers its evidence holds, not all of its own for each citation.
+    """
     said = claims.select("claim_id", F.explode(numbers_in(statement)).alias("number"))
     held = evidence_numbers(evidence, text=text, metrics=metrics)
-    grounded = (
-        said.join(citations(claims, ids=ids).drop("times"), "claim_id")
-        .join(held, ["evidence_id", "number"], "left_semi")
-        .select("claim_id", "number")
-    )
+    useful = held.join(said.select("number").distinct(), "number", "left_semi")
+    cited = citations(claims, ids=ids).select("claim_id", "evidence_id").join(useful, "evidence_id")
+    grounded = cited.select("claim_id", "number").distinct()
     return said.join(grounded, ["claim_id", "number"], "left_anti")
 
 

@@ -106,14 +106,25 @@ def _parallel(jobs: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
 # --- preprocessing and fitting ---------------------------------------------------------------
 
 
+def category_modes(frame: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The most frequent non-null value of each column, of equally frequent ones the first; none for a column of nulls.
+
+    Values are counted before the shuffle, so no task holds the members of a column. A row per column is collected.
+    """
+    long = frame.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    counts = long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    first = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("x"))
+    return {r["column"]: r.value for r in first.select("column", "x.value").collect()}
+
+
 def preprocessing_stages(train: DataFrame, *, scale: bool) -> list[Any]:
     """M1: medians with missing indicators, optional scaling, modes and one-hot blocks.
 
     The modes are one row read from the training rows. A category unseen in training gets an
     all-zero block: the indexer puts it last, and the encoder drops the last place.
     """
-    modes = train.agg(*[F.mode(c, True).alias(c) for c in CATEGORICAL_FEATURES]).first()
-    quoted = {c: str(modes[c] if modes[c] is not None else "missing").replace("'", "\\'") for c in CATEGORICAL_FEATURES}
+    modes = category_modes(train, CATEGORICAL_FEATURES)
+    quoted = {c: modes.get(c, "missing").replace("\\", "\\\\").replace("'", "\\'") for c in CATEGORICAL_FEATURES}
     filled = [f"coalesce(CAST({c} AS STRING), '{quoted[c]}') AS {c}_filled" for c in CATEGORICAL_FEATURES]
     numbers = [f"CAST({c} AS DOUBLE) AS {c}_number" for c in NUMERIC_FEATURES]
     flags = [f"CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in NUMERIC_FEATURES]

@@ -59,8 +59,18 @@ class ForecastConfig:
 # --- series ----------------------------------------------------------------------------------
 
 
-def monthly_series(sales: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Net revenue per series and month as ``value``."""
+def monthly_series(
+    sales: DataFrame, *, by: Sequence[str] = (), owners: DataFrame | None = None, owner_key: str = "subscription_id"
+) -> DataFrame:
+    """Net revenue per series and month as ``value``.
+
+    Where the columns of ``by`` belong to an owner of the sales, give ``owners``, unique on ``owner_key``: sales are
+    then summed by owner and month before they meet their owners, so a hot owner meets as one row a month. Sales
+    without owner fall out.
+    """
+    if owners is not None:
+        per_owner = sales.groupBy(owner_key, F.trunc("sale_date", "month").alias("sale_date")).agg(F.sum("net_revenue").alias("net_revenue"))
+        sales = per_owner.join(owners.select(owner_key, *by), owner_key)
     return sales.groupBy(*by, month_of("sale_date").alias("month")).agg(total("net_revenue").alias("value"))
 
 

@@ -220,7 +220,7 @@ def contract_owners(spark, folder):
 
 @CONTRACTS.add("contract_sales", SALES_SQL, ["sales"])
 def contract_sales(spark, folder):
-    return contracts.sales_rules(roles.sales(spark, folder))
+    return contracts.sales_rules(roles.sale_lines(spark, folder))
 
 
 @CONTRACTS.add("contract_costs", COST_SQL, ["event_costs"])

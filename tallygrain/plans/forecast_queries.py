@@ -22,11 +22,11 @@ MONTHLY_BY_REGION = """SELECT region, CAST(date_trunc('month', sale_date) AS DAT
 
 def _total(spark, folder):
     """The months of the whole company. Every later step reads these few rows, not the facts again."""
-    return materialize(fc.monthly_series(roles.sales(spark, folder)))
+    return materialize(fc.monthly_series(roles.sale_lines(spark, folder)))
 
 
 def _by_region(spark, folder):
-    return materialize(fc.monthly_series(roles.sales(spark, folder), by=["region"]))
+    return materialize(fc.monthly_series(roles.sale_lines(spark, folder), by=["region"], owners=roles.sale_owners(spark, folder)))
 
 
 def _tested_by_region(monthly):
@@ -107,12 +107,12 @@ def smoothing_sql(by: str = "") -> str:
 
 @FORECAST.add("monthly_net_revenue", MONTHLY, SALES)
 def monthly_net_revenue(spark, folder):
-    return fc.monthly_series(roles.sales(spark, folder))
+    return fc.monthly_series(roles.sale_lines(spark, folder))
 
 
 @FORECAST.add("monthly_net_revenue_by_region", MONTHLY_BY_REGION, SALES)
 def monthly_net_revenue_by_region(spark, folder):
-    return fc.monthly_series(roles.sales(spark, folder), by=["region"])
+    return fc.monthly_series(roles.sale_lines(spark, folder), by=["region"], owners=roles.sale_owners(spark, folder))
 
 
 # Series per part brand and type have months without sales.

@@ -683,7 +683,7 @@ def parameterised_select(spark, folder):
     ["sales"],
 )
 def date_bounds(spark, folder):
-    return sc.date_bounds(roles.sales(spark, folder))
+    return sc.date_bounds(roles.sale_lines(spark, folder))
 
 
 @KPI.add(

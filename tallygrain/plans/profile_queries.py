@@ -80,7 +80,7 @@ def missing_values(spark, folder):
 
 @PROFILE.add("numerical_summary_sales", summary_sql("sales", SALES_NUMBERS), ["sales"])
 def numerical_summary_sales(spark, folder):
-    return _summary(roles.sales(spark, folder), SALES_NUMBERS)
+    return _summary(roles.sale_lines(spark, folder), SALES_NUMBERS)
 
 
 @PROFILE.add("numerical_summary_tickets", summary_sql("support_tickets", TICKET_NUMBERS), ["support_tickets"])
@@ -137,7 +137,7 @@ def iqr_outliers(spark, folder):
 
 @PROFILE.add("iqr_outliers_sales", outlier_sql("sales", SALES_NUMBERS), ["sales"])
 def iqr_outliers_sales(spark, folder):
-    outliers = profiling.iqr_outliers(roles.sales(spark, folder), SALES_NUMBERS)
+    outliers = profiling.iqr_outliers(roles.sale_lines(spark, folder), SALES_NUMBERS)
     return rounded(outliers, 6, "q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_percent")
 
 

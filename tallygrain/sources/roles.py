@@ -95,19 +95,19 @@ def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Sales with the region and plan of their owners.
-
-    Owners are joined to each other first: both are unique on their key, so a hot order or customer
-    only repeats on the line-item side, which a skew join can split.
-    """
-    owners = (
+def sale_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer, plan and region of each subscription. Both sides are unique on their key."""
+    return (
         subscriptions(spark, folder)
         .select("subscription_id", "customer_id", "plan_type")
         .join(
             _customer_places(spark, folder).select(F.col("c_custkey").alias("customer_id"), "region"), "customer_id"
         )
     )
+
+
+def sale_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales as their lines alone tell them: no customer, plan or region, and so no join."""
     gross = money("l_extendedprice")
     discount = gross * F.col("l_discount").cast("decimal(4,2)")
     return (
@@ -121,7 +121,18 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
             (gross - discount).cast("decimal(18,4)").alias("net_revenue"),
             F.col("l_returnflag").alias("sales_channel"),
         )
-        .join(owners, "subscription_id")
+    )
+
+
+def sales(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales with the customer, region and plan of their owners.
+
+    Owners are joined to each other first, so a hot order or customer only repeats on the line-item side, which a skew
+    join can split.
+    """
+    return (
+        sale_lines(spark, folder)
+        .join(sale_owners(spark, folder), "subscription_id")
         .select(
             "sale_id", "customer_id", "subscription_id", "sale_date", "region", "plan_type",
             "gross_revenue", "discount_amount", "net_revenue", "sales_channel",

@@ -96,3 +96,38 @@ def test_outlier_scores_highest(spark):
     best = max(scores, key=lambda r: r.anomaly_score)
     assert best.date == START + timedelta(days=200) and best.isolation_forest_anomaly
     assert len(scores) == 101
+
+
+def test_isolation_scores_equal_brute_force(spark):
+    """Two series and one without a name; the samples are the rows of least hash of each tree."""
+    config = AnomalyConfig(trees=50, sample_size=40, contamination=0.1)
+    draw = np.random.default_rng(3)
+    rows = [(r, START + timedelta(days=i), float(x)) for r, size in (("a", 700), ("b", 30), (None, 90)) for i, x in enumerate(draw.normal(size=size).round(1))]
+    frame = spark.createDataFrame([*rows, ("a", START - timedelta(days=1), None)], "region string, date date, x double")
+    hashed = frame.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(50)))).select(
+        "region", "date", "tree", F.xxhash64(F.lit(config.seed), "tree", "date").alias("h")
+    )
+    order = {(r.region, r.date, r.tree): (r.h, r.date) for r in hashed.collect()}
+    got = {(r.region, r.date): (r.anomaly_score, r.isolation_forest_anomaly) for r in an.isolation_scores(frame, "x", config, by=["region"]).collect()}
+    assert len(got) == len(rows)
+    for region in ("a", "b", None):
+        own = [(d, x) for r, d, x in rows if r == region]
+        values, paths = np.array([x for _, x in own]), np.zeros(len(own))
+        for tree in range(1, 51):
+            sample = sorted(own, key=lambda row: order[region, row[0], tree])[: config.sample_size]
+            cuts = list(an.tree_steps(np.sort([x for _, x in sample]), np.random.default_rng([config.seed, tree])))
+            paths += [sum(change for cut, change in cuts if cut < x) for x in values]
+        n = min(config.sample_size, len(own))
+        scores = 2.0 ** (-paths / 50 / (2 * (math.log(n - 1) + an.EULER_GAMMA) - 2 * (n - 1) / n))
+        limit = np.quantile(scores, 0.9)
+        for (day, _), score in zip(own, scores, strict=True):
+            assert got[region, day][0] == pytest.approx(score - limit, abs=1e-9)
+
+
+def test_few_rows_go_on_to_a_tree(spark):
+    """Little more than a sample for each tree, however long the series, and never less."""
+    rows = spark.range(20_000).select(F.lit("").alias("_series"), F.col("id").alias("_key"), F.rand(1).alias("_x"))
+    config = AnomalyConfig(trees=50, sample_size=64)
+    for frame, fits in ((rows, lambda n: 64 <= n <= 290), (rows.where("_key < 50"), lambda n: n == 50)):
+        counts = an._low_hashes(frame, config).groupBy("tree").count().collect()
+        assert len(counts) == 50 and all(fits(r["count"]) for r in counts)

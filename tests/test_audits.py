@@ -63,6 +63,15 @@ def test_grounding(spark, evidence):
     assert metric == {"b", "d"}
 
 
+def test_a_claim_of_many_numbers_and_citations(spark):
+    """A thousand of each: numbers meet what the evidence holds, not every citation."""
+    said = " ".join(str(i) for i in range(1000))
+    evidence = spark.createDataFrame([(f"SQL-{i:03d}", f"value {i * 2} and -{i}.5") for i in range(1, 1001)], "evidence_id string, text string")
+    rows = claims(spark, [("a", said, "finding", [f"SQL-{i:03d}" for i in range(1, 1001)]), ("b", "7", "finding", ["SQL-003"])])
+    got = audits.ungrounded_numbers(rows, evidence)
+    assert {(r.claim_id, float(r.number)) for r in got.collect()} == {("a", float(i)) for i in range(1000) if i % 2 or not i} | {("b", 7.0)}
+
+
 def test_causal_wording(spark, evidence):
     rows = claims(spark, [
         ("a", "Delays caused churn", "finding", ["SQL-001"]),

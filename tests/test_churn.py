@@ -56,6 +56,26 @@ def test_ranking_quality_matches_all_pairs(spark, scored):
     assert (row.roc_auc, row.average_precision) == pytest.approx(brute_quality(scored))
 
 
+def test_category_modes(spark):
+    rows = [("b\\", "x", None, "q'")] * 3 + [("a", "y", None, None)] * 3 + [("a", "y", None, "r")] * 0 + [("c", None, None, "p")] * 2
+    frame_ = spark.createDataFrame(rows, "k string, l string, m string, n string").repartition(3)
+    assert models.category_modes(frame_, ["k", "l", "m", "n"]) == {"k": "a", "l": "x", "n": "q'"}
+    assert models.category_modes(frame_.limit(0), ["k"]) == {}
+
+
+def test_preparation_fills_with_odd_modes(spark, monkeypatch):
+    """A most frequent value that ends in a backslash or holds a quote stands in for a missing one."""
+    plain = models.NUMERIC_FEATURES
+    schema = ", ".join([f"{c} double" for c in plain] + [f"{c} string" for c in models.CATEGORICAL_FEATURES])
+    odd = ["it's \\", "a\\'b", "\\"]
+    values = [odd[i % 3] for i in range(len(models.CATEGORICAL_FEATURES))]
+    rows = [(*[float(i + j) for j in range(len(plain))], *(values if i else [None] * len(values))) for i in range(6)]
+    train = spark.createDataFrame(rows, schema)
+    prepared = models.preprocessing_stages(train, scale=False)[0].transform(train)
+    filled = prepared.select(*[f"{c}_filled" for c in models.CATEGORICAL_FEATURES]).distinct().collect()
+    assert [tuple(r) for r in filled] == [tuple(values)]
+
+
 def test_one_class_has_no_auc(spark):
     row = cm.ranking_quality(frame(spark, [(1, 0.2, 0), (2, 0.4, 0)]), "score", "label").first()
     assert row.roc_auc is None and row.average_precision is None

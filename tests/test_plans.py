@@ -52,6 +52,17 @@ def test_top_values_are_limited_before_the_shuffle(spark, small):
     assert "WindowGroupLimit" in text
 
 
+def test_monthly_sums_need_no_owner_or_meet_it_summed(spark, small):
+    text = plan(contract.queries()["monthly_net_revenue"](spark, small))
+    assert "Join" not in text and "o_custkey" not in text
+    text = plan(contract.queries()["monthly_net_revenue_by_region"](spark, small))
+    lines = text.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan parquet" in line and "l_shipdate" in line)
+    above = "\n".join(lines[:scan])
+    # Going up from the line items, a sum comes before the first join.
+    assert above.rfind("partial_sum") > above.rfind("Join")
+
+
 def test_skewed_join_is_split_at_run_time(spark):
     """A third of all rows share one key: the sort-merge join splits that partition."""
     settings = {
