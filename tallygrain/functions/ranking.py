@@ -14,7 +14,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tallygrain.functions.exprs import side_by_side
+from tallygrain.functions.exprs import any_true, side_by_side
 from tallygrain.session import materialize
 
 
@@ -152,16 +152,15 @@ def _near(
     ``place`` are counted in the same way, and if there are not as many as expected, a plain aggregate counts instead.
     """
     column = {i: F.col(f"v{i}") for i, _ in brackets}
+    within = {(i, k): (column[i] >= F.lit(low)) & (column[i] <= F.lit(high)) for (i, k), (low, high) in brackets.items()}
     inside = F.array(
-        *[
-            F.when((column[i] >= F.lit(low)) & (column[i] <= F.lit(high)), F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), column[i].alias("value")))
-            for (i, k), (low, high) in brackets.items()
-        ]
+        *[F.when(here, F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), column[i].alias("value"))) for (i, k), here in within.items()]
     )
     counts = [F.count_if(column[i] < F.lit(low)).alias(f"below_{i}_{k}") for (i, k), (low, _) in brackets.items()]
     seen = Observation()
     watched = values.observe(seen, F.count(column[place]).alias("values"), *counts)
-    rows = watched.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x"))
+    # Rows without a value inside go before anything is built of them.
+    rows = watched.where(any_true(list(within.values()))).select(F.explode(F.array_compact(inside)).alias("x"))
     counted = materialize(rows.groupBy("x.c", "x.k", "x.value").agg(F.count("*").alias("n")))
     found = seen.get
     if found["values"] != expected:
@@ -258,8 +257,9 @@ def grouped_shape(frame: DataFrame, value: str, by: Sequence[str], probabilities
     brackets = shape.select(*by, F.array(*lows).alias("_low"), F.array(*highs).alias("_high"))
     keyed = values.join(brackets, by)
     below = keyed.groupBy(*by).agg(F.array(*[F.count_if(v < F.col("_low")[k]) for k in places]).alias("_below"))
-    inside = F.array(*[F.when((v >= F.col("_low")[k]) & (v <= F.col("_high")[k]), F.lit(k)) for k in places])
-    near = keyed.select(*by, v, F.explode(F.array_compact(inside)).alias("_k"))
+    within = [(v >= F.col("_low")[k]) & (v <= F.col("_high")[k]) for k in places]
+    inside = F.array_compact(F.array(*[F.when(here, F.lit(k)) for k, here in enumerate(within)]))
+    near = keyed.where(any_true(within)).select(*by, v, F.explode(inside).alias("_k"))
     counted = near.groupBy(*by, "_k", "value").agg(F.count("*").alias("n"))
     chances = F.array(*[F.lit(float(p)) for p in probabilities.values()])
     ranked = (
