@@ -1,12 +1,14 @@
 """Contract rules as queries: one row ``(table, rule, severity, violations)`` per rule.
 
-Row-local rules of a table share one pass. Relations are checked on distinct keys, so a key that
-owns a large share of a fact table reaches the join once.
+Row-local rules of a table share one pass, and ``validate`` finds keys, owners, repeated events and row rules of a table
+in the same scan. Relations are checked on distinct keys, so a key that owns a large share of a fact table reaches the
+join once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
@@ -25,6 +27,7 @@ from tallygrain.schemas import (
     SCHEMAS,
     Tables,
 )
+from tallygrain.session import materialize
 
 ERROR, WARNING = "error", "warning"
 RESULT_SCHEMA = "table string, rule string, severity string, violations bigint"
@@ -132,18 +135,28 @@ def orphan_rule(
     return _result(orphans.agg(F.sum("n").alias("n")), table, f"{name} has no parent", ERROR, "n")
 
 
+# Columns of a fact table that name its owners.
+OWNERS = {
+    "subscriptions": ("customer_id",),
+    "sales": ("subscription_id", "customer_id", "plan_type", "region"),
+    "support_tickets": ("customer_id",),
+}
+
+
 def _sale_owners(sales: DataFrame) -> DataFrame:
     """Distinct owners named on sales with their row count. Rules built on it share its shuffle."""
-    return sales.groupBy("subscription_id", "customer_id", "plan_type", "region").agg(F.count("*").alias("n"))
+    return sales.groupBy(*OWNERS["sales"]).agg(F.count("*").alias("n"))
 
 
-def relation_rules(tables: Tables) -> DataFrame:
+def relation_rules(tables: Tables, owners: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """V4 for every relation. ``owners`` names children that are grouped by owner already, with row count ``n``."""
     frames = dict(tables.items())
-    children = {**frames, "sales": _sale_owners(tables.sales)}
+    grouped = owners or {"sales": _sale_owners(tables.sales)}
     return _union(
         [
             orphan_rule(
-                children[child], column, frames[parent], key, child, name, weight="n" if child == "sales" else None
+                grouped.get(child, frames[child]), column, frames[parent], key, child, name,
+                weight="n" if child in grouped else None,
             )
             for name, (child, column, parent, key) in FOREIGN_KEYS.items()
         ]
@@ -182,10 +195,16 @@ def ticket_rules(tickets: DataFrame) -> DataFrame:
 
 def status_rule(customers: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """V7: customer status equals 'active' exactly when any subscription is active."""
-    expected = subscriptions.groupBy("customer_id").agg(
-        F.when(F.bool_or(F.col("subscription_status") == "active"), "active").otherwise("inactive").alias("expected")
+    holders = subscriptions.groupBy("customer_id").agg(tally(F.col("subscription_status") == "active").alias("active"))
+    return _status_rule(customers, holders)
+
+
+def _status_rule(customers: DataFrame, holders: DataFrame) -> DataFrame:
+    """V7 from the number of ``active`` subscriptions per customer."""
+    expected = F.when(F.col("active") > 0, "active").otherwise("inactive").alias("expected")
+    compared = customers.select("customer_id", "customer_status").join(
+        holders.select("customer_id", expected), "customer_id", "left"
     )
-    compared = customers.select("customer_id", "customer_status").join(expected, "customer_id", "left")
     return _one_pass(
         compared,
         "customers",
@@ -195,7 +214,11 @@ def status_rule(customers: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def owner_rules(sales: DataFrame, subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
     """V8: customer, plan and region on sales equal those of their owners."""
-    copies = _sale_owners(sales)
+    return _owner_rules(_sale_owners(sales), subscriptions, customers)
+
+
+def _owner_rules(copies: DataFrame, subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
+    """V8 from the distinct owners on sales with their row count ``n``."""
     owned = subscriptions.select(
         "subscription_id", F.col("customer_id").alias("_customer"), F.col("plan_type").alias("_plan")
     )
@@ -253,30 +276,104 @@ def cost_rules(costs: DataFrame, *, absolute: str = "0.03", relative: str = "0.0
     return _one_pass(costs, "cloud_costs", _cost_rules(absolute, relative))
 
 
-def row_rules(tables: Tables, allowed: Mapping[tuple[str, str], Sequence[str]] = ALLOWED_VALUES) -> DataFrame:
-    """V3, V5, V6, V9, V10 and the null counts of V11, with one pass over each table."""
+def _row_rules(table: str, allowed: Mapping[tuple[str, str], Sequence[str]]) -> dict[str, Column]:
+    """V3, V5, V6, V9 and V10 of one table."""
     own = {
-        "subscriptions": _subscription_rules(),
-        "sales": _sales_rules(),
-        "cloud_costs": _cost_rules(),
-        "support_tickets": _ticket_rules(),
+        "subscriptions": _subscription_rules,
+        "sales": _sales_rules,
+        "cloud_costs": _cost_rules,
+        "support_tickets": _ticket_rules,
     }
-    parts = []
-    for name, frame in tables.items():
-        rules = {**_member_rules(name, allowed), **own.get(name, {})}
-        counted = frame.agg(
-            *[tally(broken).alias(rule) for rule, broken in rules.items()],
-            F.coalesce(F.sum(_null_cells(frame)), F.lit(0)).alias("missing values"),
-        )
-        parts.append(
-            counted.unpivot([], counted.columns, "rule", "violations").select(
-                F.lit(name).alias("table"),
-                "rule",
-                F.when(F.col("rule") == "missing values", WARNING).otherwise(ERROR).alias("severity"),
-                "violations",
+    return {**_member_rules(table, allowed), **(own[table]() if table in own else {})}
+
+
+@dataclass(frozen=True)
+class Facts:
+    """What one scan of a table finds: ``counts``, one row of counts by rule, and ``owners``, rows by owner.
+
+    ``owners`` has the owner columns of the table, their row count ``n`` and, for subscriptions, how many are ``active``;
+    it is nothing for a table without owners.
+    """
+
+    counts: DataFrame
+    owners: DataFrame | None
+
+
+def fact_groups(
+    frame: DataFrame, table: str, allowed: Mapping[tuple[str, str], Sequence[str]] = ALLOWED_VALUES
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The grouping that all rules of one table are read from, and each rule it counts with its severity.
+
+    Grouping sets by key, by owner, by business event and over all rows share one scan and one shuffle. Key and event
+    groups are then summed to a row each before anything else meets them, so that owners alone are left as rows.
+    """
+    key = PRIMARY_KEYS[table]
+    rules = _row_rules(table, allowed)
+    sets = {"all": (), "key": (key,)}
+    if table in OWNERS:
+        sets["owner"] = OWNERS[table]
+    if table == "support_tickets":
+        sets["event"] = tuple(c for c in frame.columns if c != key)
+    columns = list(dict.fromkeys(c for names in sets.values() for c in names))
+    # A bit of the grouping id is set for each column a row is not grouped by, the first column highest.
+    ids = {
+        name: sum(1 << place for place, c in enumerate(reversed(columns)) if c not in names) for name, names in sets.items()
+    }
+    broken = {f"_{i}": tally(rule) for i, rule in enumerate(rules.values())}
+    grouped = frame.groupingSets([[F.col(c) for c in names] for names in sets.values()], *[F.col(c) for c in columns]).agg(
+        F.grouping_id().alias("_set"),
+        F.count("*").alias("n"),
+        F.sum(_null_cells(frame)).alias("_missing"),
+        *[count.alias(name) for name, count in broken.items()],
+        *([tally(F.col("subscription_status") == "active").alias("active")] if table == "subscriptions" else []),
+    )
+
+    def of(name: str) -> Column:
+        return F.col("_set") == ids[name]
+
+    keyed = F.col(key).isNotNull()
+    counted = {
+        f"{key} is null": F.when(of("key") & ~keyed, F.col("n")),
+        f"{key} repeats": F.when(of("key") & keyed, F.col("n") - 1),
+        **{rule: F.when(of("all"), F.col(name)) for rule, name in zip(rules, broken, strict=True)},
+        "missing values": F.when(of("all"), F.col("_missing")),
+    }
+    if "event" in sets:
+        counted["duplicate business records"] = F.when(of("event"), F.col("n") - 1)
+    severities = [(r, WARNING if r in ("missing values", "duplicate business records") else ERROR) for r in counted]
+    owner_columns = [F.when(of("owner"), F.col(c)).alias(c) for c in sets.get("owner", ())]
+    is_owner = of("owner") if "owner" in sets else F.lit(False)
+    summed = grouped.groupBy(is_owner.alias("_owner"), *owner_columns).agg(
+        F.sum("n").alias("n"),
+        *([F.sum("active").alias("active")] if table == "subscriptions" else []),
+        *[F.sum(count).alias(f"c{i}") for i, count in enumerate(counted.values())],
+    )
+    return summed, severities
+
+
+def facts_of(
+    frame: DataFrame, table: str, allowed: Mapping[tuple[str, str], Sequence[str]] = ALLOWED_VALUES
+) -> Facts:
+    """Keys, row rules, null cells, owners and repeated events of a table, found in one scan and then kept."""
+    summed, severities = fact_groups(frame, table, allowed)
+    # Read by the counts and by each relation, so it is written once.
+    kept = materialize(summed)
+    total = kept.filter("NOT _owner").agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(severities))])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(table).alias("table"),
+                F.lit(rule).alias("rule"),
+                F.lit(severity).alias("severity"),
+                F.col(f"c{i}").cast("bigint").alias("violations"),
             )
-        )
-    return _union(parts)
+            for i, (rule, severity) in enumerate(severities)
+        ]
+    )
+    counts = total.select(F.inline(rows))
+    if table not in OWNERS:
+        return Facts(counts, None)
+    return Facts(counts, kept.filter("_owner").select(*OWNERS[table], *[c for c in ("n", "active") if c in kept.columns]))
 
 
 def _null_cells(frame: DataFrame) -> Column:
@@ -309,14 +406,14 @@ def validate(
     shape = structure(frames)
     if any(set(schema.fieldNames()) - set(frames[name].columns) for name, schema in SCHEMAS.items()):
         return shape
+    facts = {name: facts_of(frames[name], name, allowed) for name in PRIMARY_KEYS}
+    owners = {name: found.owners for name, found in facts.items() if found.owners is not None}
     return _union(
         [
-            *[key_rules(frames[name], name, key) for name, key in PRIMARY_KEYS.items()],
-            row_rules(tables, allowed),
-            relation_rules(tables),
-            status_rule(tables.customers, tables.subscriptions),
-            owner_rules(tables.sales, tables.subscriptions, tables.customers),
-            duplicate_warning(tables.support_tickets),
+            *[found.counts for found in facts.values()],
+            relation_rules(tables, owners),
+            _status_rule(tables.customers, owners["subscriptions"]),
+            _owner_rules(owners["sales"], tables.subscriptions, tables.customers),
         ]
     )
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrain.operators import cleaning, contracts
+from tallygrain.schemas import PRIMARY_KEYS
 from tests.frames import valid_tables
 
 
@@ -107,3 +108,36 @@ def test_structure_report_counts_rows_and_names_what_lacks(spark):
     report = {r.table: r for r in contracts.structure_report(frames).collect()}
     assert len(report) == 5 and report["customers"].rows == 2 and report["sales"].rows is None
     assert "region" in report["customers"].missing_columns.split(",") and "sale_id" in report["sales"].missing_columns.split(",")
+
+
+def test_validate_agrees_with_the_rules_taken_one_by_one(spark):
+    """Null and repeated keys, null owners, all-null events and a table without rows."""
+    t = valid_tables(spark)
+    empty = [None] * len(t.support_tickets.columns)
+    odd = t.with_tables(
+        customers=t.customers.withColumn("customer_id", F.when(F.col("customer_id") != "C4", F.col("customer_id"))),
+        sales=t.sales.unionAll(t.sales.limit(2)).withColumn(
+            "subscription_id", F.when(F.col("sale_id") != "A1", F.col("subscription_id"))
+        ),
+        cloud_costs=t.cloud_costs.limit(0),
+        support_tickets=t.support_tickets.unionAll(spark.createDataFrame([tuple(empty)] * 3, t.support_tickets.schema)),
+    )
+    frames = dict(odd.items())
+    alone = [
+        *[contracts.key_rules(frames[name], name, key) for name, key in PRIMARY_KEYS.items()],
+        contracts.member_rules(odd),
+        contracts.relation_rules(odd),
+        contracts.subscription_rules(odd.subscriptions),
+        contracts.ticket_rules(odd.support_tickets),
+        contracts.status_rule(odd.customers, odd.subscriptions),
+        contracts.owner_rules(odd.sales, odd.subscriptions, odd.customers),
+        contracts.sales_rules(odd.sales),
+        contracts.cost_rules(odd.cloud_costs),
+        contracts.warnings(odd),
+    ]
+    expected = sorted(tuple(r) for part in alone for r in part.collect())
+    found = sorted(tuple(r) for r in contracts.validate(odd).collect())
+    assert found == expected
+    assert ("support_tickets", "ticket_id is null", "error", 3) in found
+    assert ("support_tickets", "duplicate business records", "warning", 3) in found
+    assert ("sales", "sale_id repeats", "error", 2) in found

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from tallygrain.operators import cleaning, kpis
+from tallygrain.operators import cleaning, contracts, kpis
 from tallygrain.operators.scope import Scope
 from tallygrain.sources import roles
 
@@ -63,6 +63,18 @@ def test_monthly_sums_need_no_owner_or_meet_it_summed(spark, small):
     assert above.rfind("partial_sum") > above.rfind("Join")
 
 
+def test_all_rules_of_a_table_come_from_one_scan(spark, small):
+    tables = roles.business_tables(spark, small)
+    summed, _ = contracts.fact_groups(tables.sales, "sales")
+    text = plan(summed)
+    assert len(re.findall(r"FileScan parquet .*l_linenumber", text)) == 1 and text.count("Expand") == 1
+    # Keys and events are summed within each task before the second shuffle.
+    assert text.count("partial_sum(n#") == 1
+    assert "l_shipdate" not in plan(contracts.validate(tables))
+    text = plan(contracts.fact_groups(tables.support_tickets, "support_tickets")[0])
+    assert text.count("FileScan parquet") == 1
+
+
 def test_skewed_join_is_split_at_run_time(spark):
     """A third of all rows share one key: the sort-merge join splits that partition."""
     settings = {
