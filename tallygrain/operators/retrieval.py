@@ -235,6 +235,13 @@ BLOCK_NUMBERS = 4_000_000
 GROUP = 64
 # Parts that the hits of a query are cut down in before the last ranking.
 PARTS = 64
+# Numbers and rows of the sample of chunks that cells and first limits are taken from, at most, and cells made of it.
+# They decide how much is skipped, never what is found.
+SAMPLE_NUMBERS = 1_000_000
+SAMPLE_ROWS = 4_096
+CELLS = 64
+# Angles and cosines near their ends are this exact.
+ANGLE_SLACK = 1e-6
 
 
 def _unit(rows: Iterable) -> np.ndarray:
@@ -258,6 +265,53 @@ def _best(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, flo
         yield number, ids[usable][order], exact[order]
 
 
+def _centres(sample: np.ndarray) -> np.ndarray:
+    """Unit centres of at most ``CELLS`` cells, by a few rounds of spherical k-means."""
+    if not len(sample):
+        return np.eye(1, sample.shape[1])
+    centres = sample[np.linspace(0, len(sample) - 1, min(CELLS, len(sample))).astype(int)]
+    for _ in range(5):
+        home = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, sample)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return centres
+
+
+def _first_limits(wanted: np.ndarray, sample: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """A lower bound for the k-th hit of each query: the k-th best among a part of the chunks."""
+    limits = np.full(len(wanted), floor)
+    if len(sample) >= k:
+        for at in range(0, len(wanted), GROUP):
+            scores = np.nan_to_num(wanted[at : at + GROUP] @ sample.T, nan=-1.0)
+            limits[at : at + GROUP] = np.maximum(floor, np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k])
+    return limits
+
+
+def _turns(wanted: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(wanted @ centres.T, -1.0, 1.0))
+
+
+def _reach(turns: np.ndarray, radius: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Which cells may hold a hit of which query.
+
+    A member of a cell is at least the angle to its centre less the cell's radius away from the query, so its cosine is
+    at most that of this angle. Cells below the query's limit hold no hit. Radii below zero mark empty cells.
+    """
+    least = np.clip(turns - radius - ANGLE_SLACK, 0.0, np.pi)
+    return (np.cos(least) >= limits[:, None] - ANGLE_SLACK) & (radius >= 0)
+
+
+def _groups(turns: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of neighbouring queries of one cell, of at most ``GROUP``, so that a group leaves out much at once."""
+    if not len(turns):
+        return []
+    home = turns.argmin(axis=1)
+    cuts = [0, *(np.flatnonzero(home[1:] != home[:-1]) + 1).tolist(), len(home)]
+    return [(at, min(at + GROUP, end)) for begin, end in zip(cuts, cuts[1:]) for at in range(begin, end, GROUP)]
+
+
 def check_search(top_k: int, min_similarity: float) -> None:
     if not 1 <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
@@ -283,7 +337,9 @@ def search(
     """Exact cosine top-k of every query, ties by chunk key.
 
     Queries go to the tasks in blocks of bounded size, and the chunks pass by each block in Arrow batches; a task
-    keeps k rows per query, so pairs are never written out and no chunk is shuffled. ``model`` keeps the chunks of one
+    keeps k rows per query, so pairs are never written out and no chunk is shuffled. The chunks of a batch lie in cells,
+    and a query leaves out each cell that by its radius can hold nothing above the query's k-th hit so far; the k-th best
+    of a sample of chunks is where that limit starts. Nothing is lost by it. ``model`` keeps the chunks of one
     embedding model; ``columns`` adds columns of the chunks to the result. A bad query vector is an error, and so is a
     bad chunk vector unless ``check`` is off; then it is left out and ``vector_problems`` names it. A zero vector is
     similar to nothing.
@@ -292,11 +348,22 @@ def search(
     if model is not None:
         chunks = chunks.filter(F.col("embedding_model") == model)
     offered = chunks.select(F.col(key).alias("_id"), F.col(vector).alias("_v"))
-    if check:
-        bad = vector_problems(offered, "_id", "_v", dimensions).limit(5).collect()
-        if bad:
-            raise ValueError(f"Chunk vectors break the contract, for example {[tuple(r) for r in bad]}")
-    good = offered.filter(vector_problem("_v", dimensions).isNull())
+    sound = F.col("_problem").isNull()
+    state = offered.withColumn("_problem", vector_problem("_v", dimensions))
+    # One scan looks for bad vectors, which sort first, and takes the sample.
+    seen = (
+        (state if check else state.filter(sound))
+        .select("_id", F.when(sound, F.col("_v")).alias("_v"), "_problem")
+        .orderBy(sound, F.xxhash64("_id"))
+        .limit(max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dimensions)))
+        .collect()
+    )
+    bad = [(r["_id"], r["_problem"]) for r in seen if r["_problem"] is not None]
+    if bad:
+        raise ValueError(f"Chunk vectors break the contract, for example {bad[:5]}")
+    sample = _unit(r["_v"] for r in seen) if seen else np.zeros((0, dimensions))
+    sample = sample[~np.isnan(sample[:, 0])]
+    good = state.filter(sound).select("_id", "_v")
     asked = queries.select(F.col(query_key).alias("_q"), F.col(vector).alias("_v"))
     if not vector_problems(asked, "_q", "_v", dimensions).isEmpty():
         raise ValueError("A query vector is missing, has the wrong size or is not finite")
@@ -307,7 +374,7 @@ def search(
             T.StructField("similarity_score", T.DoubleType()),
         ]
     )
-    found = _search_blocks(good, asked, result, top_k, min_similarity, max(1, block_numbers // dimensions))
+    found = _search_blocks(good, asked, sample, result, top_k, min_similarity, max(1, block_numbers // dimensions))
     # Each task has k rows for a query; they are cut down in parts before they meet.
     part = Window.partitionBy("_q", F.pmod(F.xxhash64("_id"), F.lit(PARTS))).orderBy(F.desc("similarity_score"), "_id")
     few = found.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= top_k)
@@ -321,16 +388,20 @@ def search(
 
 
 def _search_blocks(
-    good: DataFrame, asked: DataFrame, result: T.StructType, k: int, floor: float, block_rows: int
+    good: DataFrame, asked: DataFrame, sample: np.ndarray, result: T.StructType, k: int, floor: float, block_rows: int
 ) -> DataFrame:
-    """All chunks against one block of queries after another."""
+    """All chunks against one block of queries after another. Queries of one cell stand together in a block."""
+    centres = _centres(sample)
     blocks = max(1, math.ceil(asked.count() / block_rows))
     found = None
     for block in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).orderBy("_q").collect()
         names = np.array([r["_q"] for r in rows], object)
-        matrix = _unit(r["_v"] for r in rows) if rows else np.zeros((0, 1))
-        shared = good.sparkSession.sparkContext.broadcast((names, matrix))
+        matrix = _unit(r["_v"] for r in rows) if rows else np.zeros((0, centres.shape[1]))
+        together = np.argsort((matrix @ centres.T).argmax(axis=1), kind="stable")
+        names, matrix = names[together], matrix[together]
+        limits = _first_limits(matrix, sample, k, floor)
+        shared = good.sparkSession.sparkContext.broadcast((names, matrix, limits, centres))
         part = good.mapInPandas(_scorer(shared, k, floor), result)
         found = part if found is None else found.unionAll(part)
     return found
@@ -338,20 +409,38 @@ def _search_blocks(
 
 def _scorer(shared: Broadcast, k: int, floor: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, wanted = shared.value
+        names, wanted, first_limits, centres = shared.value
+        limits, turns = first_limits.copy(), _turns(wanted, centres)
+        groups = _groups(turns)
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if batch.empty or not len(names):
                 continue
             ids, vectors = batch["_id"].to_numpy(), _unit(batch["_v"])
-            for at in range(0, len(names), GROUP):
-                for number, near, values in _best(ids, vectors, wanted[at : at + GROUP], k, floor):
-                    if at + number in kept:
-                        near = np.concatenate((kept[at + number][0], near))
-                        values = np.concatenate((kept[at + number][1], values))
+            sound = ~np.isnan(vectors[:, 0])
+            ids, vectors = ids[sound], vectors[sound]
+            if not len(ids):
+                continue
+            beside = vectors @ centres.T
+            home = beside.argmax(axis=1)
+            radius = np.full(len(centres), -1.0)
+            np.maximum.at(radius, home, np.arccos(np.clip(beside.max(axis=1), -1.0, 1.0)))
+            for at, end in groups:
+                reach = _reach(turns[at:end], radius, limits[at:end])
+                asked = at + np.flatnonzero(reach.any(axis=1))
+                if not len(asked):
+                    continue
+                rows = np.flatnonzero(reach.any(axis=0)[home])
+                for number, near, values in _best(ids[rows], vectors[rows], wanted[asked], k, floor):
+                    query = int(asked[number])
+                    if query in kept:
+                        near = np.concatenate((kept[query][0], near))
+                        values = np.concatenate((kept[query][1], values))
                         order = np.lexsort((near, -values))[:k]
                         near, values = near[order], values[order]
-                    kept[at + number] = near, values
+                    kept[query] = near, values
+                    if len(values) == k:
+                        limits[query] = max(limits[query], values[-1])
         for begin in range(0, len(names), 1_000):
             own = [n for n in range(begin, min(begin + 1_000, len(names))) if n in kept and len(kept[n][0])]
             if own:

@@ -1,8 +1,10 @@
 import hashlib
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,57 @@ def test_search_is_exact_in_one_block_and_in_many(spark, bound):
     assert found == expected
 
 
+def clustered(n, seed, cells=20, dimensions=16):
+    draw = np.random.default_rng(seed)
+    centres = np.random.default_rng(0).normal(size=(cells, dimensions))
+    rows = centres[draw.integers(cells, size=n)] + 0.05 * draw.normal(size=(n, dimensions))
+    rows[::50] = rows[0]  # ties
+    rows[1::97] = 0.0
+    return [(i, [float(x) for x in row]) for i, row in enumerate(rows.astype(np.float32))]
+
+
+def exact_scores(chunks, queries, k, floor):
+    ids = np.array([c for c, _ in chunks])
+    with np.errstate(invalid="ignore"):
+        a, b = rt._unit([v for _, v in queries]), rt._unit([v for _, v in chunks])
+    out = {}
+    for (q, _), row in zip(queries, a @ b.T, strict=True):
+        ranked = sorted((-round(float(s), 9), int(c)) for s, c in zip(row, ids, strict=True) if s >= floor)
+        if ranked:
+            out[q] = [c for _, c in ranked[:k]]
+    return out
+
+
+@pytest.mark.parametrize("floor", [-1.0, 0.3])
+def test_search_by_cells_loses_no_hit(spark, floor):
+    chunks, queries = clustered(3000, 1), clustered(150, 2)
+    frame = spark.createDataFrame(chunks, "chunk_id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    found = {}
+    for r in rt.search(frame, asked, dimensions=16, top_k=7, min_similarity=floor).orderBy("query_id", "place").collect():
+        found.setdefault(r.query_id, []).append(r.chunk_id)
+    assert found == exact_scores(chunks, queries, 7, floor)
+
+
+def test_search_skips_cells_that_cannot_hold_a_hit(monkeypatch):
+    chunks, queries = clustered(3000, 1), clustered(150, 2)
+    scored = []
+    best = rt._best
+    monkeypatch.setattr(rt, "_best", lambda ids, v, q, k, floor: scored.append(len(ids) * len(q)) or best(ids, v, q, k, floor))
+    with np.errstate(invalid="ignore"):
+        wanted, every = (rt._unit([v for _, v in rows]) for rows in (queries, chunks))
+    sample = every[:500][~np.isnan(every[:500, 0])]
+    centres = rt._centres(sample)
+    together = np.argsort((wanted @ centres.T).argmax(axis=1), kind="stable")
+    names, wanted = np.array([q for q, _ in queries], object)[together], wanted[together]
+    shared = SimpleNamespace(value=(names, wanted, rt._first_limits(wanted, sample, 5, -1.0), centres))
+    batches = [pd.DataFrame(chunks[at : at + 1000], columns=["_id", "_v"]) for at in range(0, 3000, 1000)]
+    hits = pd.concat(rt._scorer(shared, 5, -1.0)(iter(batches)))
+    assert sum(scored) < 0.5 * len(chunks) * len(queries)
+    expected = exact_scores(chunks, queries, 5, -1.0)
+    assert {q: rows["_id"].tolist() for q, rows in hits.groupby("_q")} == expected
+
+
 def test_search_contract(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, float("nan")]), (3, [1.0])], "chunk_id long, embedding array<float>")
     good = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
