@@ -153,12 +153,75 @@ def upsert_repeats(incoming: DataFrame, key: str) -> DataFrame:
 def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, *, replace: bool = False) -> DataFrame:
     """IO10: stored rows not named by the incoming ones, with the incoming rows.
 
-    A key may come in once; ``upsert_repeats`` names those that break this. Write the result to a new path, then point readers to it: parquet has no update in place.
+    A key may come in once; ``upsert_repeats`` names those that break this. Write the result to a new path, then point readers to it: parquet has no update in place. ``upsert_stored`` rewrites only the parts of a stored table that change.
     """
+    _refuse_repeats(incoming, key)
+    if existing is None or replace:
+        return incoming
+    return _merged(existing, incoming, key)
+
+
+def _refuse_repeats(incoming: DataFrame, key: str) -> None:
     repeats = upsert_repeats(incoming, key).orderBy(key).limit(5).collect()
     if repeats:
         raise ValueError(f"Incoming rows repeat a key, for example {[tuple(r) for r in repeats]}")
-    if existing is None or replace:
-        return incoming
-    kept = existing.join(incoming.select(key), key, "left_anti")
-    return kept.unionByName(incoming)
+
+
+def _merged(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+
+
+# The folder column of a table stored by key says into how many buckets keys are hashed.
+BUCKET_PREFIX = "bucket_of_"
+
+
+def _write_buckets(frame: DataFrame, path: str, bucket: str, mode: str) -> None:
+    # Rows of a bucket meet in a few files; a bucket that is too large for a task is split.
+    frame.hint("rebalance", bucket).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
+
+
+def _bucketed(frame: DataFrame, key: str, bucket: str) -> DataFrame:
+    count = int(bucket.removeprefix(BUCKET_PREFIX))
+    return frame.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(count)).cast("int"))
+
+
+def store_by_key(frame: DataFrame, path: str, key: str, *, buckets: int) -> None:
+    """IO10: a table in folders by the hash of its key, for ``upsert_stored``. The path must not exist yet.
+
+    Take as many buckets as give files of some 100 MB to 1 GB; the folder names keep the number.
+    """
+    if buckets < 1:
+        raise ValueError("buckets must be positive")
+    bucket = f"{BUCKET_PREFIX}{buckets}"
+    _write_buckets(_bucketed(frame, key, bucket), path, bucket, "errorifexists")
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    frame = spark.read.parquet(path)
+    names = [c for c in frame.columns if c.startswith(BUCKET_PREFIX)]
+    if len(names) != 1:
+        raise ValueError(f"{path} is not stored by key")
+    return frame, names[0]
+
+
+def read_by_key(spark: SparkSession, path: str) -> DataFrame:
+    """IO10: the rows of a table stored by key."""
+    frame, bucket = _stored(spark, path)
+    return frame.drop(bucket)
+
+
+def upsert_stored(incoming: DataFrame, path: str, key: str) -> list[int]:
+    """IO10: put incoming rows into a table stored by key, and return the buckets that were rewritten.
+
+    Only buckets that an incoming key falls into are read and replaced; the files of all others stay as they are. New
+    files are staged beside the table and take the place of the old ones when the job is committed, so a lost executor
+    changes nothing; readers should wait for the commit. A key may come in once. An empty increment changes nothing.
+    """
+    _refuse_repeats(incoming, key)
+    stored, bucket = _stored(incoming.sparkSession, path)
+    arriving = _bucketed(incoming, key, bucket)
+    # At most as many numbers as there are buckets.
+    touched = sorted(r[0] for r in arriving.select(bucket).distinct().collect())
+    if touched:
+        _write_buckets(_merged(stored.filter(F.col(bucket).isin(touched)), arriving, key), path, bucket, "overwrite")
+    return touched

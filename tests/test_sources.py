@@ -74,6 +74,27 @@ def test_upsert(spark):
     assert files.upsert(old, new, "k", replace=True).count() == 2 and files.upsert(None, new, "k").count() == 2
 
 
+def test_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    path = tmp_path / "stored"
+    old = spark.range(200).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("a").alias("v"))
+    files.store_by_key(old, str(path), "k", buckets=8)
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    new = spark.createDataFrame([(7, "b"), (1000, "b")], "k long, v string")
+    touched = files.upsert_stored(new, str(path), "k")
+    after = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    changed = {int(f.parent.name.partition("=")[2]) for f, _ in before.items() ^ after.items()}
+    assert changed == set(touched) and 1 <= len(touched) <= 2
+    expected = {k: "a" for k in [None, *range(1, 200)]} | {7: "b", 1000: "b"}
+    rows = files.read_by_key(spark, str(path)).collect()
+    assert len(rows) == len(expected) and {r.k: r.v for r in rows} == expected
+    assert files.upsert_stored(new.limit(0), str(path), "k") == []
+    with pytest.raises(ValueError, match="repeat a key"):
+        files.upsert_stored(new.unionAll(new), str(path), "k")
+    old.write.parquet(str(tmp_path / "plain"))
+    with pytest.raises(ValueError, match="not stored by key"):
+        files.upsert_stored(new, str(tmp_path / "plain"), "k")
+
+
 def test_jdbc_reads_are_split():
     assert jdbc.hash_predicates("sale_id", 2) == ["mod(abs(hashtext(sale_id)), 2) = 0", "mod(abs(hashtext(sale_id)), 2) = 1"]
     with pytest.raises(ValueError):
