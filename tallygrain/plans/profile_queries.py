@@ -185,39 +185,41 @@ def correlations_spearman(spark, folder):
     return rounded(profiling.correlations(_behavior(spark, folder), BEHAVIOR_NUMBERS), 9, "correlation")
 
 
-def profile_sql() -> str:
-    texts = ("ticket_category", "severity", "status")
-    section = "SELECT 'support_tickets' AS \"table\", '{}' AS section, {} AS \"column\", '{}' AS measure, {} AS number, {} AS text FROM {}"
-    base = f"(SELECT {', '.join(TICKET_COLUMNS[1:])} FROM support_tickets)"
+# Measures whose last bits depend on the order of a sum.
+SUMMED = ("mean", "std", "missing_percent")
+
+
+def profile_sql(table: str, source: str, columns, numbers, texts, digits: int = 4) -> str:
+    """The profile of one table, of which ``source`` is the SQL name; quantiles and fences to so many digits."""
+    section = f"SELECT '{table}' AS \"table\", '{{}}' AS section, {{}} AS \"column\", '{{}}' AS measure, {{}} AS number, {{}} AS text FROM {{}}"
     dataset = (
-        "(SELECT sum(n) AS rows, 8 AS columns, sum(n - 1) AS duplicate_rows FROM (SELECT count(*) AS n FROM"
-        f" {base} GROUP BY ALL))"
-    ).replace("GROUP BY ALL", "GROUP BY " + ", ".join(TICKET_COLUMNS[1:]))
+        f"(SELECT sum(n) AS rows, {len(columns)} AS columns, sum(n - 1) AS duplicate_rows FROM"
+        f" (SELECT count(*) AS n FROM {source} GROUP BY {', '.join(columns)}))"
+    )
     parts = [
         section.format("dataset", "NULL", m, f"CAST({m} AS DOUBLE)", "NULL", dataset)
         for m in ("rows", "columns", "duplicate_rows")
     ]
     missing = " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_count,"
-        f" (count(*) - count({c})) * 100.0::DOUBLE / greatest(count(*), 1) AS missing_percent FROM support_tickets"
-        for c in TICKET_COLUMNS[1:]
+        f" (count(*) - count({c})) * 100.0::DOUBLE / greatest(count(*), 1) AS missing_percent FROM {source}"
+        for c in columns
     )
     parts += [
         section.format("missing", '"column"', m, f"round(CAST({m} AS DOUBLE), 4)", "NULL", f"({missing})")
         for m in ("missing_count", "missing_percent")
     ]
-    numbers = ("customer_id", *TICKET_NUMBERS)
-    summary = summary_sql("support_tickets", numbers)
+    summary = summary_sql(source, numbers)
     parts += [
-        section.format("numeric", '"column"', m, f"round(CAST({m} AS DOUBLE), 4)", "NULL", f"({summary})")
+        section.format("numeric", '"column"', m, f"round(CAST({m} AS DOUBLE), {4 if m in SUMMED else digits})", "NULL", f"({summary})")
         for m in ("count", "mean", "median", "std", "min", "p25", "p50", "p75", "max")
     ]
-    fences = outlier_sql("support_tickets", numbers)
+    fences = outlier_sql(source, numbers)
     parts += [
-        section.format("iqr_outliers", '"column"', m, f"round(CAST({m} AS DOUBLE), 4)", "NULL", f"({fences})")
+        section.format("iqr_outliers", '"column"', m, f"round(CAST({m} AS DOUBLE), {digits})", "NULL", f"({fences})")
         for m in ("q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_count", "outlier_percent")
     ]
-    top = top_sql("support_tickets", texts, 10)
+    top = top_sql(source, texts, 10)
     parts += [
         section.format("categorical", '"column"', m, f"CAST({m} AS DOUBLE)", "value", f"({top})")
         for m in ("unique_count", "place", "n")
@@ -225,7 +227,60 @@ def profile_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@PROFILE.add("profile_tickets", profile_sql(), ["support_tickets"])
+TICKET_TEXTS = ("ticket_category", "severity", "status")
+
+# Per table: its name in SQL, all columns, those of numbers and those of texts.
+PROFILED = {
+    "customers": (
+        "customers",
+        ("customer_id", "customer_name", "region", "country", "industry", "company_size", "acquisition_channel",
+         "signup_date", "customer_status"),
+        ("customer_id",),
+        ("customer_name", "region", "country", "industry", "company_size", "acquisition_channel", "customer_status"),
+    ),
+    "subscriptions": (
+        "subscriptions",
+        ("subscription_id", "customer_id", "plan_type", "start_date", "renewal_date", "end_date", "monthly_price",
+         "seats", "subscription_status"),
+        ("subscription_id", "customer_id", "monthly_price", "seats"),
+        ("plan_type", "subscription_status"),
+    ),
+    "sales": (
+        "sales",
+        ("sale_id", "customer_id", "subscription_id", "sale_date", "region", "plan_type", *SALES_NUMBERS, "sales_channel"),
+        ("customer_id", "subscription_id", *SALES_NUMBERS),
+        ("sale_id", "region", "plan_type", "sales_channel"),
+    ),
+    "cloud_costs": (
+        "event_costs",
+        ("cost_id", "date", "region", "service_type", "compute_cost", "storage_cost", "network_cost", "gpu_cost",
+         "total_cost"),
+        ("compute_cost", "storage_cost", "network_cost", "gpu_cost", "total_cost"),
+        ("cost_id", "region", "service_type"),
+    ),
+    "support_tickets": ("support_tickets", TICKET_COLUMNS, ("ticket_id", "customer_id", *TICKET_NUMBERS), TICKET_TEXTS),
+}
+
+
+@PROFILE.add(
+    "profile_tables",
+    " UNION ALL ".join(profile_sql(table, *described, digits=6) for table, described in PROFILED.items()),
+    ["customers", "subscriptions", "sales", "event_costs", "support_tickets"],
+)
+def profile_tables(spark, folder):
+    """All columns of all five tables. Quantiles of four-digit amounts have six digits, so none is cut at a half."""
+    frames = dict(roles.business_tables(spark, folder).items())
+    number = F.when(F.col("measure").isin(*SUMMED), F.round("number", 4)).otherwise(F.round("number", 6))
+    return profiling.profile(frames).withColumn("number", number)
+
+
+@PROFILE.add(
+    "profile_tickets",
+    profile_sql(
+        "support_tickets", "support_tickets", TICKET_COLUMNS[1:], ("customer_id", *TICKET_NUMBERS), TICKET_TEXTS
+    ),
+    ["support_tickets"],
+)
 def profile_tickets(spark, folder):
     tickets = roles.support_tickets(spark, folder).drop("ticket_id")
     return profiling.profile({"support_tickets": tickets}).withColumn("number", F.round("number", 4))
