@@ -293,7 +293,7 @@ def permutation_importance(
 
     Rows are numbered in a hashed order. A shuffled feature is taken from the row at
     ``(step * position + shift) mod n``: with a step that shares no factor with n, that is a
-    permutation, and an equi-join on the position carries it out.
+    permutation, and an equi-join on the position and the feature carries it out.
     """
     features = [*CATEGORICAL_FEATURES, *NUMERIC_FEATURES]
     hashed = rows.select(KEY, LABEL, *features).withColumn("_draw", F.xxhash64(F.lit(seed), KEY))
@@ -315,14 +315,20 @@ def permutation_importance(
     )
     # Products of two positions may pass 64 bits, hence decimal.
     donor = (F.col("step").cast("decimal(19,0)") * (F.col("_position") - 1) + F.col("shift")) % F.lit(n)
-    every = placed.select("*", F.expr(f"inline(array({literals}))")).withColumn("_donor", donor.cast("bigint") + 1)
-    donors = placed.select(F.col("_position").alias("_donor"), F.struct(*features).alias("_from"))
-    swapped = every.join(donors, "_donor").withColumns(
-        {
-            f: F.when(F.col("feature") == f, F.col(f"_from.{f}")).otherwise(F.col(f))
-            for f in features
-        }
-    ).drop("_from", "_donor")
+    wanted = placed.select("_position", F.expr(f"inline(array({literals}))")).select(
+        "_position", "feature", "repeat", (donor.cast("bigint") + 1).alias("_donor")
+    )
+    # Only the one value that a copy of a row takes over is shuffled with it, as text, which keeps every type exact.
+    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("_value")) for f in features])
+    donors = placed.select(F.col("_position").alias("_donor"), F.inline(values))
+    taken = wanted.join(donors, ["_donor", "feature"]).drop("_donor")
+    kinds = dict(placed.dtypes)
+    swapped = taken.join(placed, "_position").select(
+        *[c for c in placed.columns if c not in features],
+        "feature",
+        "repeat",
+        *[F.when(F.col("feature") == f, F.col("_value").cast(kinds[f])).otherwise(F.col(f)).alias(f) for f in features],
+    )
     base = ranking_quality(model.score(placed), SCORE, LABEL).select("average_precision")
     shuffled = ranking_quality(model.score(swapped), SCORE, LABEL, by=["feature", "repeat"])
     return (

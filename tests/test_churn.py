@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from tallygrain.operators import churn_metrics as cm
 from tallygrain.operators import churn_models as models
 from tallygrain.operators.churn_models import TrainingConfig
+from tallygrain.operators.features import CATEGORICAL_FEATURES, LABEL, NUMERIC_FEATURES
 
 
 @pytest.fixture(scope="module")
@@ -216,3 +219,37 @@ def test_registered_learners_run_the_whole_job(spark, small, monkeypatch):
     with pytest.raises(Seen) as seen:
         churn_queries.train_churn_model(spark, small)
     assert seen.value.args[0] == (whole,)
+
+
+def test_permutation_changes_one_column_and_keeps_its_values(spark):
+    features = [*CATEGORICAL_FEATURES, *NUMERIC_FEATURES]
+    known = NUMERIC_FEATURES[0]
+    draw = random.Random(5)
+    rows = spark.createDataFrame([(f"C{i}", int(draw.random() < 0.4), i / 7) for i in range(40)], f"customer_id string, {LABEL} int, x double")
+    rows = rows.select(
+        "customer_id",
+        F.when(F.col("x") > 3, 1).otherwise(F.col(LABEL)).alias(LABEL),
+        *[F.when(F.col("x") > 0.5, F.concat(F.lit(c), F.col("x").cast("string"))).alias(c) for c in CATEGORICAL_FEATURES],
+        *[(F.col("x") + i).alias(c) for i, c in enumerate(NUMERIC_FEATURES)],
+    )
+    scored = []
+
+    def score(frame):
+        scored.append(frame)
+        return frame.withColumn(models.SCORE, F.col(known))
+
+    found = {r.feature: r for r in models.permutation_importance(SimpleNamespace(score=score), rows, repeats=2).collect()}
+    assert set(found) == set(features)
+    assert found[known].importance_mean > 0
+    assert all(abs(r.importance_mean) < 1e-12 for f, r in found.items() if f != known)
+    whole = {r.customer_id: r for r in rows.collect()}
+    swapped = next(f for f in scored if "feature" in f.columns).collect()
+    assert len(swapped) == 40 * len(features) * 2
+    taken, moved = {}, Counter()
+    for r in swapped:
+        own = whole[r.customer_id]
+        assert all(r[f] == own[f] for f in features if f != r.feature)
+        taken.setdefault((r.feature, r.repeat), []).append(r[r.feature])
+        moved[r.feature] += r[r.feature] != own[r.feature]
+    assert all(Counter(v) == Counter(own[f] for own in whole.values()) for (f, _), v in taken.items())
+    assert all(moved[f] > 40 for f in features)
