@@ -1,7 +1,9 @@
 """Churn models on Spark ML: preprocessing, candidates, validation, tuning, training.
 
-What is fitted is fitted on the training rows of its fold only. The driver holds models, parameters
-and one row of metrics per fit; customer rows stay distributed.
+What is fitted is fitted on the training rows of its fold only. What preprocessing learns is gathered for
+all folds at once, in three scans of the rows, and shared by all fits. The driver holds what the features of a
+fold need (a number or two per feature, a count per category), parameters, and the models of running fits only:
+a model is let go as soon as its scores are stored. Customer rows stay distributed.
 """
 
 from __future__ import annotations
@@ -12,19 +14,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
+from math import sqrt
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (
-    Imputer,
-    OneHotEncoder,
-    SQLTransformer,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,56 +102,159 @@ def _parallel(jobs: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
 # --- preprocessing and fitting ---------------------------------------------------------------
 
 
+# One part in so many is the largest error in rank of an imputed median.
+MEDIAN_ACCURACY = 1000
+# A column whose deviation is a smaller share of its mean does not vary; it is scaled to zero.
+NO_VARIATION = 1e-9
+
+
+@dataclass(frozen=True)
+class Preparation:
+    """M1: what preprocessing learns from one set of training rows.
+
+    ``labels`` are the categories seen there in alphabetical order, and ``shifts`` and ``scales`` standardise the
+    imputed numbers and then their missing flags, in the order of :func:`feature_names`.
+    """
+
+    rows: int
+    positives: int
+    modes: Mapping[str, str]
+    labels: Mapping[str, Sequence[str]]
+    medians: Mapping[str, float]
+    shifts: Sequence[float]
+    scales: Sequence[float]
+
+
+def category_counts(frame: DataFrame, columns: Sequence[str], by: str) -> dict[str, dict[str, dict[int, int]]]:
+    """Rows of each non-null value of each column, by fold.
+
+    Values are counted before the shuffle, so no task holds the members of a column. A row per value and fold is
+    collected: the indexer needs every category anyway.
+    """
+    long = frame.select(by, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot([by], list(columns), "column", "value")
+    found: dict[str, dict[str, dict[int, int]]] = {c: {} for c in columns}
+    for r in long.where("value IS NOT NULL").groupBy(by, "column", "value").agg(F.count("*").alias("n")).collect():
+        found[r["column"]].setdefault(r.value, {})[r[by]] = r.n
+    return found
+
+
+def _modes(counts: Mapping[str, Mapping[str, int]]) -> dict[str, str]:
+    """The most frequent value of each column, of equally frequent ones the first; none for a column of nulls."""
+    return {c: min(values, key=lambda v: (-values[v], v)) for c, values in counts.items() if values}
+
+
 def category_modes(frame: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """The most frequent non-null value of each column, of equally frequent ones the first; none for a column of nulls.
+    """The most frequent non-null value of each column, of equally frequent ones the first; none for a column of nulls."""
+    counts = category_counts(frame.withColumn("fold", F.lit(0)), columns, "fold")
+    return _modes({c: {v: n[0] for v, n in values.items()} for c, values in counts.items()})
+
+
+def _moments(parts: Sequence[tuple[int, float, float]]) -> tuple[float, float]:
+    """Mean and reciprocal sample deviation of the union of parts of (count, mean, variance within the part).
+
+    The reciprocal is zero where nothing varies.
+    """
+    size = sum(n for n, _, _ in parts)
+    mean = sum(n * m for n, m, _ in parts) / size
+    spread = sum(n * (v + (m - mean) ** 2) for n, m, v in parts)
+    deviation = sqrt(spread / (size - 1)) if size > 1 else 0.0
+    return mean, 0.0 if deviation <= NO_VARIATION * abs(mean) else 1.0 / deviation
+
+
+def prepare(frame: DataFrame) -> dict[int | None, Preparation]:
+    """M1: what preprocessing learns without each ``fold``, and under None from all rows (all there is without folds).
 
-    Values are counted before the shuffle, so no task holds the members of a column. A row per column is collected.
+    Three scans serve all folds. One sums numbers by fold; the moments without a fold are put together from the
+    sums of the others, an imputed part being a part that does not vary. One has a sketch per feature and fold left
+    out, which merges across tasks, for the medians. One counts categories by fold. NaN counts as missing; a feature
+    without any value is imputed as zero, a category without any as ``missing``.
     """
-    long = frame.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    counts = long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
-    first = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("x"))
-    return {r["column"]: r.value for r in first.select("column", "x.value").collect()}
+    kept = [F.col(c).cast("string").alias(c) for c in CATEGORICAL_FEATURES]
+    numbers = [F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in NUMERIC_FEATURES]
+    fold = F.col("fold") if "fold" in frame.columns else F.lit(0).alias("fold")
+    label = F.col(LABEL) if LABEL in frame.columns else F.lit(None).cast("int").alias(LABEL)
+    typed = frame.select(fold, label, *kept, *numbers)
+    measures = [F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("variance")).alias(c) for c in NUMERIC_FEATURES]
+    sums = {
+        r.fold: r
+        for r in typed.groupBy("fold").agg(F.count("*").alias("rows"), F.sum(LABEL).alias("positives"), *measures).collect()
+    }
+    parts: dict[int | None, list[int]] = {None: sorted(sums)}
+    if len(sums) > 1:
+        parts |= {k: [f for f in sorted(sums) if f != k] for k in sums}
+    seen = {k: F.lit(True) if k is None else F.col("fold") != k for k in parts}
+    middle = typed.agg(
+        *[
+            F.struct(*[F.percentile_approx(F.when(here, F.col(c)), 0.5, MEDIAN_ACCURACY).alias(c) for c in NUMERIC_FEATURES]).alias(
+                f"without_{k}"
+            )
+            for k, here in seen.items()
+        ]
+    ).first()
+    counts = category_counts(typed, CATEGORICAL_FEATURES, "fold")
+
+    def learnt(k: int | None) -> Preparation:
+        rows = [sums[f] for f in parts[k]]
+        size = sum(r.rows for r in rows)
+        medians = {c: 0.0 if x is None else x for c, x in middle[f"without_{k}"].asDict().items()}
+        filled, flags = [], []
+        for c in NUMERIC_FEATURES:
+            known = [(r[c].n, r[c].mean, r[c].variance) for r in rows if r[c].n]
+            gaps = size - sum(n for n, _, _ in known)
+            filled.append(_moments([*known, (gaps, medians[c], 0.0)]) if size else (0.0, 0.0))
+            flags.append(_moments([(gaps, 1.0, 0.0), (size - gaps, 0.0, 0.0)]) if size else (0.0, 0.0))
+        within = {
+            c: {v: sum(by.get(f, 0) for f in parts[k]) for v, by in values.items() if any(f in by for f in parts[k])}
+            for c, values in counts.items()
+        }
+        modes = {c: "missing" for c in CATEGORICAL_FEATURES} | _modes(within)
+        return Preparation(
+            rows=size,
+            positives=sum(r.positives or 0 for r in rows),
+            modes=modes,
+            labels={c: sorted({*values, modes[c]}) for c, values in within.items()},
+            medians=medians,
+            shifts=[m for m, _ in filled + flags],
+            scales=[x for _, x in filled + flags],
+        )
+
+    return {k: learnt(k) for k in parts}
+
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def preprocessing_stages(train: DataFrame, *, scale: bool) -> list[Any]:
-    """M1: medians with missing indicators, optional scaling, modes and one-hot blocks.
 
-    The modes are one row read from the training rows. A category unseen in training gets an
+def preprocessing_stages(train: DataFrame, *, scale: bool, learnt: Preparation | None = None) -> list[Transformer]:
+    """M1: medians with missing indicators, optional scaling, modes and one-hot blocks, as transformers.
+
+    What they need is ``learnt`` already, so making them reads no rows. A category unseen in training gets an
     all-zero block: the indexer puts it last, and the encoder drops the last place.
     """
-    modes = category_modes(train, CATEGORICAL_FEATURES)
-    quoted = {c: modes.get(c, "missing").replace("\\", "\\\\").replace("'", "\\'") for c in CATEGORICAL_FEATURES}
-    filled = [f"coalesce(CAST({c} AS STRING), '{quoted[c]}') AS {c}_filled" for c in CATEGORICAL_FEATURES]
-    numbers = [f"CAST({c} AS DOUBLE) AS {c}_number" for c in NUMERIC_FEATURES]
-    flags = [f"CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in NUMERIC_FEATURES]
-    prepare = SQLTransformer(statement=f"SELECT *, {', '.join(filled + numbers + flags)} FROM __THIS__")
-    imputer = Imputer(
-        strategy="median",
-        inputCols=[f"{c}_number" for c in NUMERIC_FEATURES],
-        outputCols=[f"{c}_imputed" for c in NUMERIC_FEATURES],
-    )
-    numeric = VectorAssembler(
-        inputCols=[f"{c}_imputed" for c in NUMERIC_FEATURES] + [f"{c}_missing" for c in NUMERIC_FEATURES],
-        outputCol="numeric_block",
-    )
-    indexer = StringIndexer(
-        inputCols=[f"{c}_filled" for c in CATEGORICAL_FEATURES],
-        outputCols=[f"{c}_index" for c in CATEGORICAL_FEATURES],
-        handleInvalid="keep",
-        stringOrderType="alphabetAsc",
-    )
-    encoder = OneHotEncoder(
-        inputCols=[f"{c}_index" for c in CATEGORICAL_FEATURES],
-        outputCols=[f"{c}_block" for c in CATEGORICAL_FEATURES],
-        handleInvalid="keep",
-    )
-    scaler = (
-        [StandardScaler(inputCol="numeric_block", outputCol="numeric_scaled", withMean=True, withStd=True)] if scale else []
-    )
-    blocks = ["numeric_scaled" if scale else "numeric_block", *[f"{c}_block" for c in CATEGORICAL_FEATURES]]
-    return [
-        prepare, imputer, numeric, *scaler, indexer, encoder, VectorAssembler(inputCols=blocks, outputCol="features"),
+    learnt = learnt or prepare(train)[None]
+    filled = [f"coalesce(CAST({c} AS STRING), {_quoted(learnt.modes[c])}) AS {c}_filled" for c in CATEGORICAL_FEATURES]
+    known = {c: f"nullif(CAST({c} AS DOUBLE), DOUBLE('NaN'))" for c in NUMERIC_FEATURES}
+    numbers = [f"coalesce({known[c]}, DOUBLE('{learnt.medians[c]!r}'))" for c in NUMERIC_FEATURES]
+    flags = [f"CAST({known[c]} IS NULL AS DOUBLE)" for c in NUMERIC_FEATURES]
+    values = [
+        f"({x} - DOUBLE('{shift!r}')) * DOUBLE('{by!r}')" if scale else x
+        for x, shift, by in zip(numbers + flags, learnt.shifts, learnt.scales)
+    ]
+    named = [f"{name}_number" for name in feature_names()]
+    listed = ", ".join(filled + [f"{x} AS {name}" for x, name in zip(values, named)])
+    filler = SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__")
+    indexers = [
+        StringIndexerModel.from_labels(
+            list(learnt.labels[c]), inputCol=f"{c}_filled", outputCol=f"{c}_index", handleInvalid="keep"
+        )
+        for c in CATEGORICAL_FEATURES
     ]
+    # Indexers name their categories in the schema, so that this fit reads no rows.
+    encoder = OneHotEncoder(
+        inputCols=[f"{c}_index" for c in CATEGORICAL_FEATURES], outputCols=[f"{c}_block" for c in CATEGORICAL_FEATURES]
+    ).fit(PipelineModel([filler, *indexers]).transform(train))
+    blocks = [*named, *[f"{c}_block" for c in CATEGORICAL_FEATURES]]
+    return [filler, *indexers, encoder, VectorAssembler(inputCols=blocks, outputCol="features")]
 
 
 def feature_names() -> list[str]:
@@ -194,23 +293,30 @@ class ChurnModel:
         return self.pipeline.transform(rows).select(*kept, vector_to_array("probability")[1].alias(SCORE))
 
 
-def fit_candidate(train: DataFrame, name: str, parameters: Mapping[str, Any] | None = None, *, seed: int = 42) -> ChurnModel:
-    """M2: fit one candidate with classes balanced by weight ``n / (2 * n_class)``."""
+def fit_candidate(
+    train: DataFrame,
+    name: str,
+    parameters: Mapping[str, Any] | None = None,
+    *,
+    seed: int = 42,
+    learnt: Preparation | None = None,
+) -> ChurnModel:
+    """M2: fit one candidate with classes balanced by weight ``n / (2 * n_class)``.
+
+    ``learnt`` is what :func:`prepare` found in just these rows; without it, it is found here.
+    """
     parameters = dict(BASE_PARAMETERS.get(name, {}) if parameters is None else parameters)
-    size = train.agg(F.count("*").alias("n"), F.sum(LABEL).alias("positives")).first()
-    if not size.n or not size.positives or size.positives == size.n:
+    learnt = learnt or prepare(train)[None]
+    n, positives = learnt.rows, learnt.positives
+    if not n or not positives or positives == n:
         raise ValueError("Training rows must contain both classes")
-    rate = size.positives / size.n
     if name == "dummy":
-        return ChurnModel(name, {}, None, rate)
-    weights = F.when(F.col(LABEL) == 1, size.n / (2.0 * size.positives)).otherwise(
-        size.n / (2.0 * (size.n - size.positives))
-    )
-    stages = [
-        *preprocessing_stages(train, scale=name == "logistic_regression"), _learner(name, parameters, size.n, seed),
-    ]
-    pipeline = Pipeline(stages=stages).fit(train.withColumn("class_weight", weights))
-    return ChurnModel(name, parameters, pipeline, rate)
+        return ChurnModel(name, {}, None, positives / n)
+    weights = F.when(F.col(LABEL) == 1, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
+    learner = _learner(name, parameters, n, seed)
+    stages = preprocessing_stages(train, scale=name == "logistic_regression", learnt=learnt)
+    features = PipelineModel(stages).transform(train).select("features", LABEL, weights.alias("class_weight"))
+    return ChurnModel(name, parameters, PipelineModel([*stages, learner.fit(features)]), positives / n)
 
 
 # --- validation and tuning -------------------------------------------------------------------
@@ -223,17 +329,24 @@ def out_of_fold(
     folds: int,
     seed: int = 42,
     parallelism: int = 4,
+    prepared: Mapping[int | None, Preparation] | None = None,
 ) -> DataFrame:
-    """Every training row scored by the model that did not see it, for each named trial."""
+    """Every training row scored by the model that did not see it, for each named trial.
+
+    All trials share what :func:`prepare` finds in ``folded``. The scores of a fit are stored at once, and its model
+    is let go, so as many models are held as fits run.
+    """
     keep = [KEY, LABEL, "fold"]
+    prepared = prepared or prepare(folded)
 
     def one(trial: str, fold: int) -> DataFrame:
         name, parameters = trials[trial]
-        model = fit_candidate(folded.filter(F.col("fold") != fold), name, parameters, seed=seed)
-        scored = model.score(folded.filter(F.col("fold") == fold))
+        model = fit_candidate(folded.filter(F.col("fold") != fold), name, parameters, seed=seed, learnt=prepared[fold])
+        scored = materialize(model.score(folded.filter(F.col("fold") == fold)).select(*keep, SCORE))
+        # A union of stored frames needs a projection on each: Spark looks up what it knows of their former columns.
         return scored.select(F.lit(trial).alias("trial"), *keep, SCORE)
 
-    jobs = [lambda t=trial, k=fold: one(t, k) for trial in trials for fold in range(folds)]
+    jobs = [lambda t=trial, k=fold: one(t, k) for trial in trials for fold in range(folds) if fold in prepared]
     return reduce(lambda a, b: a.unionByName(b), _parallel(jobs, parallelism))
 
 
@@ -253,20 +366,24 @@ def drawn_parameters(space: Mapping[str, Sequence[Any]], iterations: int, seed:
     return random.Random(seed).sample(points, min(iterations, len(points)))
 
 
-def tune(folded: DataFrame, name: str, config: TrainingConfig) -> tuple[dict[str, Any], DataFrame]:
-    """M5: parameters with the best mean average precision, and the result of every draw."""
+def tune(
+    folded: DataFrame, name: str, config: TrainingConfig, prepared: Mapping[int | None, Preparation] | None = None
+) -> tuple[dict[str, Any], DataFrame, DataFrame]:
+    """M5: parameters with the best mean average precision, the result of every draw, and the best draw's scores."""
     if name not in config.spaces:
         raise ValueError(f"No parameters to search for {name!r}")
     draws = drawn_parameters(config.spaces[name], config.tuning_iterations, config.seed)
     base = dict(config.base.get(name, {}))
     trials = {f"{i:03d}": (name, {**base, **draw}) for i, draw in enumerate(draws)}
     scored = materialize(
-        out_of_fold(folded, trials, folds=config.folds, seed=config.seed, parallelism=config.parallelism)
+        out_of_fold(
+            folded, trials, folds=config.folds, seed=config.seed, parallelism=config.parallelism, prepared=prepared
+        )
     )
     quality = ranking_quality(scored, SCORE, LABEL, by=["trial", "fold"])
     results = quality.groupBy("trial").agg(F.avg("average_precision").alias("average_precision"))
     best = results.orderBy(F.desc("average_precision"), "trial").first()
-    return trials[best.trial][1], results
+    return trials[best.trial][1], results, scored.filter(F.col("trial") == best.trial)
 
 
 # --- interpretation --------------------------------------------------------------------------
@@ -277,12 +394,11 @@ def coefficients(model: ChurnModel, spark: SparkSession) -> DataFrame:
     schema = "feature string, coefficient double"
     if model.name != "logistic_regression" or model.pipeline is None:
         return spark.createDataFrame([], schema)
-    indexer, learner = model.pipeline.stages[-4], model.pipeline.stages[-1]
-    names = feature_names() + [
-        f"{c}={value}" for c, values in zip(CATEGORICAL_FEATURES, indexer.labelsArray) for value in values
-    ]
+    indexers = [stage for stage in model.pipeline.stages if isinstance(stage, StringIndexerModel)]
+    names = feature_names() + [f"{c}={value}" for c, x in zip(CATEGORICAL_FEATURES, indexers) for value in x.labels]
+    learner = model.pipeline.stages[-1]
     values = learner.coefficients.toArray().tolist()
-    rows = sorted(zip(names, values), key=lambda row: -abs(row[1]))
+    rows = sorted(zip(names, values, strict=True), key=lambda row: -abs(row[1]))
     return spark.createDataFrame(rows, schema)
 
 
@@ -379,7 +495,8 @@ def train(snapshot: DataFrame, config: TrainingConfig | None = None) -> Training
         stratified_folds(cohort.filter("NOT is_test").drop("is_test"), KEY, LABEL, folds=config.folds, seed=config.seed)
     )
     trials = {name: (name, config.base.get(name)) for name in config.candidates}
-    shared = {"folds": config.folds, "seed": config.seed, "parallelism": config.parallelism}
+    prepared = prepare(training)
+    shared = {"folds": config.folds, "seed": config.seed, "parallelism": config.parallelism, "prepared": prepared}
     validated = materialize(cross_validation(materialize(out_of_fold(training, trials, **shared))))
     best = (
         validated.filter((F.col("metric") == "average_precision") & (F.col("trial") != "dummy"))
@@ -387,18 +504,18 @@ def train(snapshot: DataFrame, config: TrainingConfig | None = None) -> Training
         .first()
     )
     selected = best.trial
-    parameters, tuning = tune(training, selected, config)
-    held_back = materialize(out_of_fold(training, {"tuned": (selected, parameters)}, **shared))
+    parameters, tuning, held_back = tune(training, selected, config, prepared)
     threshold = threshold_for_recall(held_back, SCORE, LABEL, minimum_recall=config.minimum_recall).first().threshold
-    model = fit_candidate(training, selected, parameters, seed=config.seed)
+    model = fit_candidate(training, selected, parameters, seed=config.seed, learnt=prepared[None])
     scored = materialize(model.score(test))
-    untuned = _parallel(
-        [lambda n=name, p=p: fit_candidate(training, n, p, seed=config.seed) for name, p in trials.values()],
-        config.parallelism,
-    )
+
+    def untuned(name: str, base: Mapping[str, Any] | None) -> DataFrame:
+        fitted = fit_candidate(training, name, base, seed=config.seed, learnt=prepared[None])
+        return materialize(fitted.score(test).select(LABEL, SCORE)).select(F.lit(name).alias("trial"), LABEL, SCORE)
+
     base_scores = reduce(
         lambda a, b: a.unionByName(b),
-        [m.score(test).select(F.lit(m.name).alias("trial"), LABEL, SCORE) for m in untuned],
+        _parallel([lambda n=name, p=p: untuned(n, p) for name, p in trials.values()], config.parallelism),
     )
     return TrainingResult(
         deployed=fit_candidate(cohort, selected, parameters, seed=config.seed),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallygrain.operators import churn_metrics as cm
 from tallygrain.operators import churn_models as models
 from tallygrain.operators.churn_models import KEY, LABEL, SCORE, TrainingConfig
+from tallygrain.operators.features import CATEGORICAL_FEATURES
 from tallygrain.plans.base import Registry, rounded
 from tallygrain.plans.feature_queries import SNAPSHOT_ROLES, SNAPSHOT_SQL, snapshot
 from tallygrain.session import materialize
@@ -279,6 +280,20 @@ def logistic_coefficients(spark, folder):
     return models.coefficients(models.fit_candidate(materialize(snapshot(spark, folder)), "logistic_regression"), spark)
 
 
+def coefficient_names_sql() -> str:
+    fixed = ", ".join(f"'{name}'" for name in models.feature_names())
+    members = " UNION ALL ".join(
+        f"SELECT DISTINCT '{c}=' || {c} AS feature FROM ({SNAPSHOT_SQL}) WHERE {c} IS NOT NULL" for c in CATEGORICAL_FEATURES
+    )
+    return f"SELECT unnest([{fixed}]) AS feature UNION ALL {members}"
+
+
+@CHURN.add("coefficient_names", coefficient_names_sql(), SNAPSHOT_ROLES)
+def coefficient_names(spark, folder):
+    """The features of a fitted model, one for each member of a category that its training rows hold."""
+    return logistic_coefficients(spark, folder).select("feature")
+
+
 @CHURN.add("permutation_importance")
 def permutation_importance(spark, folder):
     rows = materialize(snapshot(spark, folder))

@@ -181,6 +181,91 @@ def test_unseen_categories_and_nulls_are_scored(spark, snapshot):
     assert model.score(snapshot).columns == [*snapshot.columns, "churn_probability"]
 
 
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """Rows of three folds with gaps, NaN, a constant, a feature without values and a category of one fold only."""
+    draw = random.Random(11)
+    rows = []
+    for i in range(240):
+        fold = i % 3
+        numbers = [draw.gauss(j, 1 + j) if draw.random() < 0.8 else None for j in range(len(NUMERIC_FEATURES))]
+        numbers[1] = float("nan") if i % 7 == 0 else float(i)
+        numbers[2], numbers[3] = 0.1, None
+        texts = [draw.choice(["a", "b", "c", None]) for _ in CATEGORICAL_FEATURES]
+        texts[1] = "only" if fold == 1 else None
+        texts[2] = None
+        label = int(texts[0] == "b") if draw.random() < 0.9 else int(draw.random() < 0.5)
+        rows.append((f"C{i}", label, fold, *texts, *numbers))
+    types = [f"{c} string" for c in CATEGORICAL_FEATURES] + [f"{c} double" for c in NUMERIC_FEATURES]
+    return spark.createDataFrame(rows, f"customer_id string, {LABEL} int, fold int, {', '.join(types)}").repartition(5).cache()
+
+
+def test_preparation_without_each_fold_matches_brute_force(gappy):
+    from statistics import fmean, median_low, stdev
+
+    rows = gappy.collect()
+    prepared = models.prepare(gappy)
+    assert set(prepared) == {None, 0, 1, 2}
+    for k, got in prepared.items():
+        part = [r for r in rows if k is None or r.fold != k]
+        assert (got.rows, got.positives) == (len(part), sum(r[LABEL] for r in part))
+        for i, c in enumerate(NUMERIC_FEATURES):
+            known = [r[c] for r in part if r[c] is not None and r[c] == r[c]]
+            middle = median_low(known) if known else 0.0
+            flags = [float(r[c] is None or r[c] != r[c]) for r in part]
+            filled = [middle if gap else r[c] for gap, r in zip(flags, part)]
+            assert got.medians[c] == middle
+            for at, values in ((i, filled), (len(NUMERIC_FEATURES) + i, flags)):
+                spread = stdev(values)
+                assert got.shifts[at] == pytest.approx(fmean(values), abs=1e-12)
+                assert got.scales[at] == pytest.approx(1 / spread if spread > 1e-9 else 0.0)
+        for c in CATEGORICAL_FEATURES:
+            counts = Counter(r[c] for r in part if r[c] is not None)
+            first = min(counts, key=lambda v: (-counts[v], v)) if counts else "missing"
+            assert got.modes[c] == first and got.labels[c] == sorted({*counts, first})
+    assert "only" in prepared[0].labels[CATEGORICAL_FEATURES[1]]
+    assert prepared[1].labels[CATEGORICAL_FEATURES[1]] == ["missing"]
+
+
+def test_preparation_of_no_rows_and_of_one_fold(gappy):
+    empty = models.prepare(gappy.limit(0))[None]
+    assert (empty.rows, empty.positives) == (0, 0) and set(empty.scales) == {0.0}
+    assert set(models.prepare(gappy.filter("fold = 0"))) == {None}
+    with pytest.raises(ValueError):
+        models.fit_candidate(gappy.limit(0), "dummy")
+
+
+def test_stages_of_what_is_learnt_read_no_rows(spark, gappy):
+    learnt = models.prepare(gappy)[2]
+    spark.sparkContext.setJobGroup("stages", "stages")
+    stages = models.preprocessing_stages(gappy, scale=True, learnt=learnt)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("stages")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    size = len(models.feature_names()) + sum(len(x) for x in learnt.labels.values())
+    features = models.PipelineModel(stages).transform(gappy).select("features").collect()
+    assert {r.features.size for r in features} == {size}
+
+
+def test_coefficients_belong_to_their_categories(spark, gappy):
+    model = models.fit_candidate(gappy, "logistic_regression")
+    found = {r.feature: r.coefficient for r in models.coefficients(model, spark).collect()}
+    learnt = models.prepare(gappy)[None]
+    members = {f"{c}={v}" for c, values in learnt.labels.items() for v in values}
+    assert set(found) == members | set(models.feature_names())
+    assert max(found, key=found.get) == f"{CATEGORICAL_FEATURES[0]}=b"
+
+
+def test_folds_score_as_a_model_of_their_training_rows_alone(spark, gappy):
+    """What is shared between folds does not leak: each fold's scores are those of a fit on the other rows alone."""
+    trials = {"l": ("logistic_regression", {"C": 1.0})}
+    got = {r.customer_id: r[models.SCORE] for r in models.out_of_fold(gappy, trials, folds=3).collect()}
+    for k in range(3):
+        alone = models.fit_candidate(gappy.filter(F.col("fold") != k).drop("fold"), "logistic_regression", {"C": 1.0})
+        for r in alone.score(gappy.filter(F.col("fold") == k)).collect():
+            assert got[r.customer_id] == pytest.approx(r[models.SCORE], abs=1e-6)
+    assert len(got) == 240
+
+
 def test_out_of_fold_scores_every_row_once(spark, snapshot):
     folded = cm.stratified_folds(snapshot, "customer_id", models.LABEL, folds=2)
     got = models.out_of_fold(folded, {"d": ("dummy", None)}, folds=2)
