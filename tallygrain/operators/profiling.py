@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
+from math import sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,58 +152,86 @@ def pearson_pairs(frame: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return row.select(F.inline(rows))
 
 
+def shared_rankings(values: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], tuple[str, str]]:
+    """The ranking each column needs beside each other column, as (column, a column that must not be null either).
+
+    Ranks of a column depend on its partner only through the rows where the partner is null. A partner that is never
+    null where the column is not asks for the column's own ranking, and partners that are null in the same rows
+    share one, under the first of them. One scan counts, for each two columns, the rows that only one of them has.
+    """
+    ordered = [(a, b) for a in columns for b in columns if a != b]
+    if not ordered:
+        return {}
+    only = [F.count_if(F.col(a).isNotNull() & F.col(b).isNull()) for a, b in ordered]
+    lost = dict(zip(ordered, values.agg(*[n.alias(f"_{i}") for i, n in enumerate(only)]).first()))
+    first = {b: next(c for c in columns if c == b or not (lost[b, c] or lost[c, b])) for b in columns}
+    return {(a, b): (a, first[b] if lost[a, b] else a) for a, b in ordered}
+
+
 def spearman_pairs(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Spearman correlation of every column pair, ranked again over each pair's complete rows.
+    """Spearman correlation of every column pair over the pair's complete rows; null where there are none.
 
-    Equal (x, y) rows of a pair are counted once, ranks are found per distinct value, and the
-    products are summed where the counts are.
+    A column is ranked once for all partners that leave it the same rows, from counts of its distinct values, and so
+    are the sums of its squared ranks. Only products belong to a pair: equal (x, y) rows are counted once, and the
+    side with more distinct values takes its ranks first. What it adds to each value of the other side is summed
+    before that side's ranks are joined, so a column of two values meets the join as two rows.
     """
     columns = list(columns or numeric_columns(frame))
     pairs = list(combinations(columns, 2))
-    both = F.array(
-        *[
-            F.struct(F.lit(i).alias("pair"), as_double(a).alias("x"), as_double(b).alias("y"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    joint = (
-        frame.select(F.inline(both))
-        .filter("x IS NOT NULL AND y IS NOT NULL")
-        .groupBy("pair", "x", "y")
+    values = frame.select(*[as_double(c).alias(c) for c in columns])
+    needed = shared_rankings(values, columns)
+    number = {ranking: j for j, ranking in enumerate(dict.fromkeys(needed.values()))}
+    schema = "first string, second string, pair int, spread double"
+    if not pairs:
+        return frame.sparkSession.createDataFrame([], schema).select("first", "second", F.col("spread").alias("correlation"))
+    members = [
+        F.when(F.col(other).isNotNull(), F.struct(F.lit(j).alias("ranking"), F.col(c).alias("value")))
+        for (c, other), j in number.items()
+    ]
+    counts = (
+        values.select(F.inline(F.array_compact(F.array(*members))))
+        .filter("value IS NOT NULL")
+        .groupBy("ranking", "value")
         .agg(F.count("*").alias("n"))
     )
-    sides = joint.select(
-        "pair",
-        "n",
-        F.inline(
-            F.array(
-                F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
-                F.struct(F.lit("y").alias("side"), F.col("y").alias("value")),
-            )
-        ),
-    )
-    ranks = average_ranks(
-        sides.groupBy("pair", "side", "value").agg(F.sum("n").alias("n")), by=["pair", "side"]
-    ).withColumn("centred", F.col("average_rank") - (F.col("n_total") + 1) / 2.0)
-
-    def side(name: str) -> DataFrame:
-        return ranks.filter(F.col("side") == name).select("pair", F.col("value").alias(name), F.col("centred").alias(f"r{name}"))
-
-    names = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in pairs])
-    products = (
-        joint.join(side("x"), ["pair", "x"])
-        .join(side("y"), ["pair", "y"])
-        .groupBy("pair")
-        .agg(
-            F.sum(F.col("n") * F.col("rx") * F.col("ry")).alias("xy"),
-            F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("xx"),
-            F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("yy"),
+    ranks = materialize(
+        average_ranks(counts, by=["ranking"]).select(
+            "ranking", "value", "n", (F.col("average_rank") - (F.col("n_total") + 1) / 2.0).alias("centred")
         )
     )
-    return products.withColumn("names", F.element_at(names, F.col("pair") + 1)).select(
-        "names.first", "names.second", ratio("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation")
+    # A row per ranking: how much its ranks spread, and of how many values.
+    spread = F.sum(F.col("n") * F.col("centred") * F.col("centred"))
+    shape = {r.ranking: r for r in ranks.groupBy("ranking").agg(spread.alias("spread"), F.count("*").alias("distinct")).collect()}
+
+    def sides(a: str, b: str) -> list[tuple[str, int]]:
+        both = [(a, number[needed[a, b]]), (b, number[needed[b, a]])]
+        return sorted(both, key=lambda side: -shape[side[1]].distinct if side[1] in shape else 0)
+
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        (x, jx), (y, jy) = sides(a, b)
+        row = {"pair": F.lit(i), "jx": F.lit(jx), "x": F.col(x), "jy": F.lit(jy), "y": F.col(y)}
+        rows.append(F.struct(*[value.alias(name) for name, value in row.items()]))
+    joint = (
+        values.select(F.inline(F.array(*rows)))
+        .filter("x IS NOT NULL AND y IS NOT NULL")
+        .groupBy("pair", "jx", "x", "jy", "y")
+        .agg(F.count("*").alias("n"))
     )
 
+    def ranked(j: str, value: str) -> DataFrame:
+        return ranks.select(F.col("ranking").alias(j), F.col("value").alias(value), F.col("centred").alias(f"r{value}"))
+
+    added = joint.join(ranked("jx", "x"), ["jx", "x"]).groupBy("pair", "jy", "y").agg(F.sum(F.col("n") * F.col("rx")).alias("rx"))
+    products = added.join(ranked("jy", "y"), ["jy", "y"]).groupBy("pair").agg(F.sum(F.col("rx") * F.col("ry")).alias("xy"))
+    spreads = [
+        (a, b, i, sqrt(jx.spread) * sqrt(jy.spread) if jx and jy else None)
+        for i, (a, b) in enumerate(pairs)
+        for jx, jy in [[shape.get(j) for _, j in sides(a, b)]]
+    ]
+    named = frame.sparkSession.createDataFrame(spreads, schema)
+    return named.join(products, "pair", "left").select("first", "second", ratio("xy", "spread").alias("correlation"))
+
 
 def correlations(frame: DataFrame, columns: Sequence[str] | None = None, *, method: str = "spearman") -> DataFrame:
     """One row per column pair ``(first, second, correlation)``; null where a column does not vary."""
