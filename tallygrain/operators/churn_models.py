@@ -58,6 +58,9 @@ SEARCH_SPACES: dict[str, dict[str, Sequence[Any]]] = {
     },
 }
 
+# Candidates that see standardised features.
+SCALED = ("logistic_regression",)
+
 # Parameters of the untuned candidates.
 BASE_PARAMETERS: dict[str, dict[str, Any]] = {
     "logistic_regression": {"C": 1.0},
@@ -307,16 +310,25 @@ def fit_candidate(
     """
     parameters = dict(BASE_PARAMETERS.get(name, {}) if parameters is None else parameters)
     learnt = learnt or prepare(train)[None]
-    n, positives = learnt.rows, learnt.positives
-    if not n or not positives or positives == n:
-        raise ValueError("Training rows must contain both classes")
+    _check_classes(learnt)
+    rate = learnt.positives / learnt.rows
     if name == "dummy":
-        return ChurnModel(name, {}, None, positives / n)
+        return ChurnModel(name, {}, None, rate)
+    stages = preprocessing_stages(train, scale=name in SCALED, learnt=learnt)
+    fitted = _fitted(PipelineModel(stages).transform(train), name, parameters, learnt, seed)
+    return ChurnModel(name, parameters, PipelineModel([*stages, fitted]), rate)
+
+
+def _check_classes(learnt: Preparation) -> None:
+    if not learnt.rows or not learnt.positives or learnt.positives == learnt.rows:
+        raise ValueError("Training rows must contain both classes")
+
+
+def _fitted(features: DataFrame, name: str, parameters: Mapping[str, Any], learnt: Preparation, seed: int) -> Transformer:
+    """A learner fitted to prepared training rows."""
+    n, positives = learnt.rows, learnt.positives
     weights = F.when(F.col(LABEL) == 1, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
-    learner = _learner(name, parameters, n, seed)
-    stages = preprocessing_stages(train, scale=name == "logistic_regression", learnt=learnt)
-    features = PipelineModel(stages).transform(train).select("features", LABEL, weights.alias("class_weight"))
-    return ChurnModel(name, parameters, PipelineModel([*stages, learner.fit(features)]), positives / n)
+    return _learner(name, parameters, n, seed).fit(features.select("features", LABEL, weights.alias("class_weight")))
 
 
 # --- validation and tuning -------------------------------------------------------------------
@@ -333,21 +345,39 @@ def out_of_fold(
 ) -> DataFrame:
     """Every training row scored by the model that did not see it, for each named trial.
 
-    All trials share what :func:`prepare` finds in ``folded``. The scores of a fit are stored at once, and its model
-    is let go, so as many models are held as fits run.
+    All trials share what :func:`prepare` finds in ``folded``, and those of a fold share its feature vectors, which
+    are stored once for its training rows and its own. Folds come one after the other, the trials of a fold side by
+    side. The scores of a fit are stored at once, and its model is let go, so as many models are held as fits run.
     """
     keep = [KEY, LABEL, "fold"]
     prepared = prepared or prepare(folded)
-
-    def one(trial: str, fold: int) -> DataFrame:
-        name, parameters = trials[trial]
-        model = fit_candidate(folded.filter(F.col("fold") != fold), name, parameters, seed=seed, learnt=prepared[fold])
-        scored = materialize(model.score(folded.filter(F.col("fold") == fold)).select(*keep, SCORE))
+    chosen = {t: (name, dict(BASE_PARAMETERS.get(name, {}) if p is None else p)) for t, (name, p) in trials.items()}
+    kinds = {name in SCALED for name, _ in chosen.values() if name != "dummy"}
+
+    def one(trial: str, fold: int, features: Mapping[bool, DataFrame]) -> DataFrame:
+        name, parameters = chosen[trial]
+        learnt = prepared[fold]
+        if name == "dummy":
+            held = folded.filter(F.col("fold") == fold).select(*keep, F.lit(learnt.positives / learnt.rows).alias(SCORE))
+        else:
+            rows = features[name in SCALED]
+            model = _fitted(rows.filter(F.col("fold") != fold), name, parameters, learnt, seed)
+            held = model.transform(rows.filter(F.col("fold") == fold)).select(*keep, vector_to_array("probability")[1].alias(SCORE))
         # A union of stored frames needs a projection on each: Spark looks up what it knows of their former columns.
-        return scored.select(F.lit(trial).alias("trial"), *keep, SCORE)
-
-    jobs = [lambda t=trial, k=fold: one(t, k) for trial in trials for fold in range(folds) if fold in prepared]
-    return reduce(lambda a, b: a.unionByName(b), _parallel(jobs, parallelism))
+        return materialize(held).select(F.lit(trial).alias("trial"), *keep, SCORE)
+
+    parts = [fold for fold in range(folds) if fold in prepared]
+    if not parts:
+        raise ValueError("Rows of at least two folds are needed")
+    scored = []
+    for fold in parts:
+        _check_classes(prepared[fold])
+        features = {}
+        for scale in kinds:
+            stages = preprocessing_stages(folded, scale=scale, learnt=prepared[fold])
+            features[scale] = materialize(PipelineModel(stages).transform(folded).select(*keep, "features"))
+        scored += _parallel([lambda t=trial, k=fold, x=features: one(t, k, x) for trial in chosen], parallelism)
+    return reduce(lambda a, b: a.unionByName(b), scored)
 
 
 def cross_validation(scored: DataFrame) -> DataFrame:

@@ -233,6 +233,8 @@ def test_preparation_of_no_rows_and_of_one_fold(gappy):
     assert set(models.prepare(gappy.filter("fold = 0"))) == {None}
     with pytest.raises(ValueError):
         models.fit_candidate(gappy.limit(0), "dummy")
+    with pytest.raises(ValueError):
+        models.out_of_fold(gappy.filter("fold = 0"), {"d": ("dummy", None)}, folds=3)
 
 
 def test_stages_of_what_is_learnt_read_no_rows(spark, gappy):
