@@ -268,6 +268,24 @@ def test_folds_score_as_a_model_of_their_training_rows_alone(spark, gappy):
     assert len(got) == 240
 
 
+@pytest.mark.parametrize(
+    ("name", "parameters"),
+    [
+        ("logistic_regression", {"C": 1.0}),
+        ("random_forest", {"numTrees": 2, "maxDepth": 2}),
+        ("gradient_boosting", {"maxIter": 2, "maxDepth": 2}),
+    ],
+)
+def test_models_score_in_a_session_that_has_observed_a_frame(spark, gappy, name, parameters):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    scored = models.fit_candidate(gappy, name, parameters).score(gappy)
+    assert scored.filter(F.col(models.SCORE).between(0, 1)).count() == 240
+
+
 def test_out_of_fold_scores_every_row_once(spark, snapshot):
     folded = cm.stratified_folds(snapshot, "customer_id", models.LABEL, folds=2)
     got = models.out_of_fold(folded, {"d": ("dummy", None)}, folds=2)
