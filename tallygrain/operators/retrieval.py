@@ -231,6 +231,10 @@ def chunks_without_vectors(chunks: DataFrame, vectors: DataFrame, key: str) -> D
 
 # A block of queries holds about this many numbers. All chunks pass by one block after another, whatever their count.
 BLOCK_NUMBERS = 4_000_000
+# The blocks that meet the chunks in one pass hold about this many numbers.
+PASS_NUMBERS = 4_000_000
+# A task takes this many chunks where there are enough of them to keep all cores busy.
+TASK_ROWS = 50_000
 # Queries scored at a time, so that the similarity matrix of a batch stays small.
 GROUP = 64
 # Parts that the hits of a query are cut down in before the last ranking.
@@ -336,8 +340,9 @@ def search(
 ) -> DataFrame:
     """Exact cosine top-k of every query, ties by chunk key.
 
-    Queries go to the tasks in blocks of bounded size, and the chunks pass by each block in Arrow batches; a task
-    keeps k rows per query, so pairs are never written out and no chunk is shuffled. The chunks of a batch lie in cells,
+    Queries go to the tasks in blocks of bounded size, and the chunks pass by the blocks in Arrow batches, by as many
+    blocks in one pass as fit bounded memory; a task keeps k rows per query, so pairs are never written out. Chunks are
+    dealt to the tasks once. The chunks of a batch lie in cells,
     and a query leaves out each cell that by its radius can hold nothing above the query's k-th hit so far; the k-th best
     of a sample of chunks is where that limit starts. Nothing is lost by it. ``model`` keeps the chunks of one
     embedding model; ``columns`` adds columns of the chunks to the result. A bad query vector is an error, and so is a
@@ -390,31 +395,81 @@ def search(
 def _search_blocks(
     good: DataFrame, asked: DataFrame, sample: np.ndarray, result: T.StructType, k: int, floor: float, block_rows: int
 ) -> DataFrame:
-    """All chunks against one block of queries after another. Queries of one cell stand together in a block."""
+    """All chunks against the blocks of queries, as many in one pass as bounded memory allows.
+
+    Queries of one cell stand together in a block. The chunks are dealt evenly to the tasks first, as a file of theirs
+    may be one partition: a task's work is its chunks times all queries.
+    """
     centres = _centres(sample)
-    blocks = max(1, math.ceil(asked.count() / block_rows))
+    context = good.sparkSession.sparkContext
+    blocks_in_pass = max(1, PASS_NUMBERS // (block_rows * centres.shape[1]))
+    pass_rows = block_rows * blocks_in_pass
+    passes = max(1, math.ceil(asked.count() / pass_rows))
+    dealt = good.repartition(max(context.defaultParallelism, math.ceil(good.count() / TASK_ROWS)))
     found = None
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).orderBy("_q").collect()
+    for number in range(passes):
+        rows = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(passes)) == number).orderBy("_q").collect()
         names = np.array([r["_q"] for r in rows], object)
         matrix = _unit(r["_v"] for r in rows) if rows else np.zeros((0, centres.shape[1]))
         together = np.argsort((matrix @ centres.T).argmax(axis=1), kind="stable")
         names, matrix = names[together], matrix[together]
         limits = _first_limits(matrix, sample, k, floor)
-        shared = good.sparkSession.sparkContext.broadcast((names, matrix, limits, centres))
-        part = good.mapInPandas(_scorer(shared, k, floor), result)
+        shared = context.broadcast((names, matrix, limits, centres))
+        part = dealt.mapInPandas(_scorer(shared, k, floor, block_rows), result)
         found = part if found is None else found.unionAll(part)
     return found
 
 
-def _scorer(shared: Broadcast, k: int, floor: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+class _Hits:
+    """The best chunks of each query of a block so far."""
+
+    def __init__(self, names: np.ndarray, wanted: np.ndarray, limits: np.ndarray, centres: np.ndarray) -> None:
+        self.names, self.wanted, self.limits = names, wanted, limits.copy()
+        self.turns = _turns(wanted, centres)
+        self.groups = _groups(self.turns)
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, home: np.ndarray, radius: np.ndarray, k: int, floor: float) -> None:
+        for at, end in self.groups:
+            reach = _reach(self.turns[at:end], radius, self.limits[at:end])
+            asked = at + np.flatnonzero(reach.any(axis=1))
+            if not len(asked):
+                continue
+            rows = np.flatnonzero(reach.any(axis=0)[home])
+            for number, near, values in _best(ids[rows], vectors[rows], self.wanted[asked], k, floor):
+                query = int(asked[number])
+                if query in self.kept:
+                    near = np.concatenate((self.kept[query][0], near))
+                    values = np.concatenate((self.kept[query][1], values))
+                    order = np.lexsort((near, -values))[:k]
+                    near, values = near[order], values[order]
+                self.kept[query] = near, values
+                if len(values) == k:
+                    self.limits[query] = max(self.limits[query], values[-1])
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        for begin in range(0, len(self.names), 1_000):
+            own = [n for n in range(begin, min(begin + 1_000, len(self.names))) if n in self.kept and len(self.kept[n][0])]
+            if own:
+                yield pd.DataFrame(
+                    {
+                        "_q": np.repeat(self.names[own], [len(self.kept[n][0]) for n in own]),
+                        "_id": np.concatenate([self.kept[n][0] for n in own]),
+                        "similarity_score": np.concatenate([self.kept[n][1] for n in own]),
+                    }
+                )
+
+
+def _scorer(
+    shared: Broadcast, k: int, floor: float, block_rows: int | None = None
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, wanted, first_limits, centres = shared.value
-        limits, turns = first_limits.copy(), _turns(wanted, centres)
-        groups = _groups(turns)
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        names, wanted, limits, centres = shared.value
+        size = block_rows or max(1, len(names))
+        blocks = [slice(at, at + size) for at in range(0, len(names), size)]
+        hits = [_Hits(names[b], wanted[b], limits[b], centres) for b in blocks]
         for batch in batches:
-            if batch.empty or not len(names):
+            if batch.empty or not hits:
                 continue
             ids, vectors = batch["_id"].to_numpy(), _unit(batch["_v"])
             sound = ~np.isnan(vectors[:, 0])
@@ -425,32 +480,10 @@ def _scorer(shared: Broadcast, k: int, floor: float) -> Callable[[Iterator[pd.Da
             home = beside.argmax(axis=1)
             radius = np.full(len(centres), -1.0)
             np.maximum.at(radius, home, np.arccos(np.clip(beside.max(axis=1), -1.0, 1.0)))
-            for at, end in groups:
-                reach = _reach(turns[at:end], radius, limits[at:end])
-                asked = at + np.flatnonzero(reach.any(axis=1))
-                if not len(asked):
-                    continue
-                rows = np.flatnonzero(reach.any(axis=0)[home])
-                for number, near, values in _best(ids[rows], vectors[rows], wanted[asked], k, floor):
-                    query = int(asked[number])
-                    if query in kept:
-                        near = np.concatenate((kept[query][0], near))
-                        values = np.concatenate((kept[query][1], values))
-                        order = np.lexsort((near, -values))[:k]
-                        near, values = near[order], values[order]
-                    kept[query] = near, values
-                    if len(values) == k:
-                        limits[query] = max(limits[query], values[-1])
-        for begin in range(0, len(names), 1_000):
-            own = [n for n in range(begin, min(begin + 1_000, len(names))) if n in kept and len(kept[n][0])]
-            if own:
-                yield pd.DataFrame(
-                    {
-                        "_q": np.repeat(names[own], [len(kept[n][0]) for n in own]),
-                        "_id": np.concatenate([kept[n][0] for n in own]),
-                        "similarity_score": np.concatenate([kept[n][1] for n in own]),
-                    }
-                )
+            for block in hits:
+                block.meet(ids, vectors, home, radius, k, floor)
+        for block in hits:
+            yield from block.frames()
 
     return score
 

@@ -127,6 +127,22 @@ def test_search_is_exact_in_one_block_and_in_many(spark, bound):
     assert found == expected
 
 
+def test_search_passes_all_blocks_at_once_and_in_bounded_passes(spark, monkeypatch):
+    chunks, queries = vectors(300, 1), vectors(40, 2)
+    frame = spark.createDataFrame(chunks, "chunk_id long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    expected = {q: ids for q, ids in exact(chunks, queries, 6, 0.1).items() if ids}
+    for numbers, passes in ((rt.PASS_NUMBERS, 1), (8 * 21, 2)):
+        monkeypatch.setattr(rt, "PASS_NUMBERS", numbers)
+        got = rt.search(frame, asked, dimensions=8, top_k=6, min_similarity=0.1, block_numbers=8 * 7)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == passes
+        found = {}
+        for r in got.orderBy("query_id", "place").collect():
+            found.setdefault(r.query_id, []).append(r.chunk_id)
+        assert found == expected
+
+
 def clustered(n, seed, cells=20, dimensions=16):
     draw = np.random.default_rng(seed)
     centres = np.random.default_rng(0).normal(size=(cells, dimensions))
