@@ -292,6 +292,22 @@ def test_out_of_fold_scores_every_row_once(spark, snapshot):
     assert got.count() == snapshot.count() == got.select("customer_id").distinct().count()
 
 
+def test_rows_of_a_fit_are_dealt_to_the_cores_and_folds_do_not_wait(spark, gappy, monkeypatch):
+    assert [models.fit_parts(gappy, n) for n in (0, 240, 3_000, 12_000, 10_000_000)] == [1, 1, 2, 6, 100]
+    monkeypatch.setattr(models, "FEW_ROWS", 60)
+    fitted, jobs = models._fitted, []
+    monkeypatch.setattr(
+        models, "_fitted", lambda x, *rest: jobs.append(x.rdd.getNumPartitions()) or fitted(x, *rest)
+    )
+    pools = []
+    parallel = models._parallel
+    monkeypatch.setattr(models, "_parallel", lambda work, n: pools.append(len(work)) or parallel(work, n))
+    trials = {"l": ("logistic_regression", {"C": 1.0}), "d": ("dummy", None)}
+    scored = models.out_of_fold(gappy.coalesce(1), trials, folds=3)
+    assert Counter((r.trial, r.fold) for r in scored.collect()) == {(t, k): 80 for t in trials for k in range(3)}
+    assert jobs == [3, 3, 3] and pools == [6]
+
+
 def test_drawn_parameters_are_distinct_and_repeatable():
     space = {"a": (1, 2, 3), "b": (1, 2)}
     drawn = models.drawn_parameters(space, 12, 42)
