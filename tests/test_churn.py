@@ -374,3 +374,24 @@ def test_permutation_changes_one_column_and_keeps_its_values(spark):
         moved[r.feature] += r[r.feature] != own[r.feature]
     assert all(Counter(v) == Counter(own[f] for own in whole.values()) for (f, _), v in taken.items())
     assert all(moved[f] > 40 for f in features)
+
+
+def test_copies_of_few_rows_are_scored_by_many_tasks(spark, monkeypatch):
+    features = [*CATEGORICAL_FEATURES, *NUMERIC_FEATURES]
+    rows = spark.range(40).select(
+        F.concat(F.lit("C"), "id").alias("customer_id"),
+        (F.col("id") % 3 == 0).cast("int").alias(LABEL),
+        *[F.col("id").cast("string").alias(c) for c in CATEGORICAL_FEATURES],
+        *[F.col("id").cast("double").alias(c) for c in NUMERIC_FEATURES],
+    )
+    scored = []
+
+    def score(frame):
+        scored.append(frame)
+        return frame.withColumn(models.SCORE, F.col(NUMERIC_FEATURES[0]))
+
+    monkeypatch.setattr(models, "MANY_ROWS", 100)
+    models.permutation_importance(SimpleNamespace(score=score), rows, repeats=2)
+    swapped = next(f for f in scored if "feature" in f.columns)
+    assert swapped.rdd.getNumPartitions() == -(-40 * len(features) * 2 // 100)
+    assert swapped._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
