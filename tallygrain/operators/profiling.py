@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tallygrain.functions.exprs import as_double, correlation, ratio
 from tallygrain.functions.ranking import average_ranks, column_quantiles
-from tallygrain.session import materialize
+from tallygrain.session import materialize, stored
 
 
 def numeric_columns(frame: DataFrame) -> list[str]:
@@ -89,7 +89,8 @@ def categorical_summary(frame: DataFrame, columns: Sequence[str] | None = None,
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"))
     )
-    unique = counts.groupBy("column").agg(F.count("value").alias("unique_count"))
+    # Both sides name n, so that they plan the same counts and Spark makes and shuffles these once.
+    unique = counts.groupBy("column").agg(F.count_if((F.col("n") > 0) & F.col("value").isNotNull()).alias("unique_count"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
     top = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n)
     return top.join(unique, "column").select("column", "unique_count", "place", "value", "n")
@@ -241,7 +242,10 @@ def correlations(frame: DataFrame, columns: Sequence[str] | None = None, *, meth
 
 
 def profile(frames: Mapping[str, DataFrame], *, top_n: int = 10) -> DataFrame:
-    """P1–P5 of every table as (table, section, column, measure, number, text) rows."""
+    """P1–P5 of every table as (table, section, column, measure, number, text) rows.
+
+    Each part scans its table once or more, so the joins and casts behind a table are run once and their rows stored.
+    """
 
     def long(table: str, section: str, rows: DataFrame, numbers: Sequence[str], text: str | None = None) -> DataFrame:
         name = F.col("column") if "column" in rows.columns else F.lit(None).cast("string")
@@ -257,7 +261,8 @@ def profile(frames: Mapping[str, DataFrame], *, top_n: int = 10) -> DataFrame:
         )
 
     parts = []
-    for table, frame in frames.items():
+    for table, source in frames.items():
+        frame = stored(source)
         parts.append(long(table, "dataset", dataset_summary(frame), ["rows", "columns", "duplicate_rows"]))
         parts.append(long(table, "missing", missing_values(frame), ["missing_count", "missing_percent"]))
         if numeric_columns(frame):

@@ -83,3 +83,31 @@ def test_the_column_of_more_values_takes_its_ranks_first(spark, rows, columns):
     assert set(re.findall(r"x, (\w+)#\w+, jy, \d+, y, (\w+)#", plan)) == {("whole", "few")}
     # From the top: products by pair, below them sums by value of the other side, below those pairs of values.
     assert plan.index("sum((rx#") < plan.index("sum((cast(n#") < plan.index("jx, ")
+
+
+def test_a_profiled_table_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        made.add(1)
+        return (i, f"t{i % 3}", float(i % 7), None)
+
+    source = spark.createDataFrame(spark.sparkContext.parallelize(range(60), 3).map(row), "k long, s string, x double, gap string")
+    got = {(r.section, r.column, r.measure, r.text): r.number for r in profiling.profile({"t": source}).collect()}
+    assert made.value == 60
+    assert got["dataset", None, "rows", None] == 60 and got["dataset", None, "duplicate_rows", None] == 0
+    assert got["categorical", "s", "n", "t0"] == 20 and got["categorical", "s", "unique_count", "t0"] == 3
+    assert got["categorical", "gap", "unique_count", None] == 0 and got["missing", "gap", "missing_count", None] == 60
+    assert got["numeric", "x", "max", None] == 6 and got["iqr_outliers", "k", "outlier_count", None] == 0
+
+
+def test_a_profile_takes_cells_that_parquet_has_no_type_for(spark):
+    source = spark.range(4).withColumn("nothing", F.lit(None))
+    got = {(r.section, r.column, r.measure): r.number for r in profiling.profile({"t": source}).collect()}
+    assert got["dataset", None, "duplicate_rows"] == 0 and got["missing", "nothing", "missing_count"] == 4
+
+
+def test_category_counts_are_shuffled_once(spark):
+    top = profiling.categorical_summary(spark.range(50).selectExpr("string(id % 5) AS a", "string(id % 7) AS b"))
+    top.collect()
+    assert "ReusedExchange" in top._jdf.queryExecution().executedPlan().toString()
