@@ -308,6 +308,66 @@ def test_rows_of_a_fit_are_dealt_to_the_cores_and_folds_do_not_wait(spark, gappy
     assert jobs == [3, 3, 3] and pools == [6]
 
 
+def test_boosting_in_a_task_scores_as_spark_ml(spark, gappy, monkeypatch):
+    trials = {"g": ("gradient_boosting", {"maxIter": 4, "maxDepth": 3, "minInstancesPerNode": 20, "stepSize": 0.1})}
+    got = {r.customer_id: r[models.SCORE] for r in models.out_of_fold(gappy, trials, folds=3).collect()}
+    monkeypatch.setattr(models, "ROWS_OF_A_TASK", 0)
+    spark_ml = {r.customer_id: r[models.SCORE] for r in models.out_of_fold(gappy, trials, folds=3).collect()}
+    assert len(got) == 240 and got == pytest.approx(spark_ml, abs=1e-9)
+
+
+def test_forest_in_a_task_scores_nearly_as_spark_ml_and_repeats(spark, gappy, monkeypatch):
+    trials = {"f": ("random_forest", {"numTrees": 60, "maxDepth": 4, "minInstancesPerNode": 5})}
+    got = {r.customer_id: r[models.SCORE] for r in models.out_of_fold(gappy, trials, folds=3).collect()}
+    again = models.out_of_fold(gappy.repartition(3), trials, folds=3).collect()
+    assert len(got) == 240 and got == {r.customer_id: r[models.SCORE] for r in again}
+    monkeypatch.setattr(models, "ROWS_OF_A_TASK", 0)
+    spark_ml = {r.customer_id: r[models.SCORE] for r in models.out_of_fold(gappy, trials, folds=3).collect()}
+    assert sum(abs(got[k] - x) for k, x in spark_ml.items()) / 240 < 0.05
+
+
+def test_a_fit_of_trees_takes_few_jobs(spark, gappy):
+    """Spark ML ran a job for each level of each tree."""
+    trials = {
+        "f": ("random_forest", {"numTrees": 5, "maxDepth": 8, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}),
+        "g": ("gradient_boosting", {"maxIter": 20, "maxDepth": 3, "minInstancesPerNode": 10, "stepSize": 0.1}),
+    }
+    prepared = models.prepare(gappy)
+    spark.sparkContext.setJobGroup("trees", "trees")
+    scored = models.out_of_fold(gappy, trials, folds=3, prepared=prepared)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("trees"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 40
+    assert Counter((r.trial, r.fold) for r in scored.collect()) == {(t, k): 80 for t in trials for k in range(3)}
+
+
+def test_trees_refuse_other_labels_and_leave_other_parameters_to_spark(spark, gappy):
+    with pytest.raises(Exception, match="Labels must be 0 or 1"):
+        models.out_of_fold(gappy.withColumn(LABEL, F.col(LABEL) * 2), {"g": ("gradient_boosting", None)}, folds=3)
+    few = {"g": ("gradient_boosting", {"maxIter": 1, "subsamplingRate": 0.5})}
+    assert models.out_of_fold(gappy, few, folds=3).filter(F.col(models.SCORE).between(0, 1)).count() == 240
+
+
+def test_split_points_are_midpoints_at_equal_weights():
+    import numpy as np
+
+    from tallygrain.functions import trees
+
+    assert trees.split_points(np.array([2.0, 1.0, 2.0, 4.0]), np.ones(4)).tolist() == [1.5, 3.0]
+    assert trees.split_points(np.ones(5), np.ones(5)).tolist() == []
+    draw = np.random.default_rng(1)
+    values, weights = draw.integers(0, 300, 2000).astype(float), draw.choice([0.5, 3.0], 2000)
+    seen = sorted(set(values))
+    reached = np.cumsum([weights[values == v].sum() for v in seen])
+    expected, target = [], reached[-1] / 32
+    for i in range(1, len(seen)):
+        if abs(reached[i - 1] - target) < abs(reached[i] - target):
+            expected.append((seen[i - 1] + seen[i]) / 2)
+            target += reached[-1] / 32
+    assert trees.split_points(values, weights).tolist() == expected
+    assert [trees.features_of_a_node(x, 66) for x in ("sqrt", "0.5", "0.8", "all", "3")] == [9, 33, 53, 66, 3]
+
+
 def test_drawn_parameters_are_distinct_and_repeatable():
     space = {"a": (1, 2, 3), "b": (1, 2)}
     drawn = models.drawn_parameters(space, 12, 42)
