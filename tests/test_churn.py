@@ -308,6 +308,32 @@ def test_rows_of_a_fit_are_dealt_to_the_cores_and_folds_do_not_wait(spark, gappy
     assert jobs == [3, 3, 3] and pools == [6]
 
 
+def test_steps_of_a_logistic_fit_take_no_second_stage_for_few_rows(spark, gappy, monkeypatch):
+    monkeypatch.setattr(models, "FEW_ROWS", 30)
+    learnt = models.prepare(gappy)[None]
+
+    def stages(group):
+        spark.sparkContext.setJobGroup(group, group)
+        models.fit_candidate(gappy, "logistic_regression", {"C": 1.0}, learnt=learnt)
+        tracker = spark.sparkContext.statusTracker()
+        found = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group)]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    few = stages("few")
+    monkeypatch.setattr(models, "LINEAR_ROWS", 1)
+    many = stages("many")
+    assert len(few) > 5 and max(few) < max(many)
+
+
+def test_permutation_lets_the_driver_return_what_the_fit_took(spark, gappy, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "release", seen.append)
+    scorer = SimpleNamespace(score=lambda frame: frame.withColumn(models.SCORE, F.lit(0.5)))
+    models.permutation_importance(scorer, gappy, repeats=1)
+    assert seen == [spark]
+
+
 def test_boosting_in_a_task_scores_as_spark_ml(spark, gappy, monkeypatch):
     trials = {"g": ("gradient_boosting", {"maxIter": 4, "maxDepth": 3, "minInstancesPerNode": 20, "stepSize": 0.1})}
     got = {r.customer_id: r[models.SCORE] for r in models.out_of_fold(gappy, trials, folds=3).collect()}
